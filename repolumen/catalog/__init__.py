@@ -1,7 +1,7 @@
 """Queries over the test tables."""
 import importlib
 
-FAMILIES = ["inventory", "imports"]
+FAMILIES = ["inventory", "imports", "graphs"]
 
 
 def load():

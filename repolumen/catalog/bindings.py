@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import landed_table
+
+_LANDED: dict[tuple, DataFrame] = {}
+
 
 class Tables:
     """The test tables of one folder, and the model tables derived from them."""
@@ -18,6 +22,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def landed(self, name: str, build) -> DataFrame:
+        """Written once per application, as the sources of a repository are landed once for many queries."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _LANDED:
+            _LANDED[key] = landed_table(build(), name)
+        return _LANDED[key]
+
     # -- graphs ---------------------------------------------------------------
     def trade_edges(self) -> DataFrame:
         """Customer nation → the three supplier nations with most line items per supplier."""
@@ -115,6 +126,9 @@ class Tables:
         return self.documents_as_files().groupBy("repo_id", "path").agg(F.max_by("content", "doc_id").alias("content"))
 
     def modules(self) -> DataFrame:
+        return self.landed("modules", self._module_sources)
+
+    def _module_sources(self) -> DataFrame:
         """Source files (repo_id, path, content) written from orders, line items and suppliers.
 
         A supplier is a module that imports its most frequent successors; an order is a file that

@@ -36,43 +36,52 @@ def is_html(path: Column) -> Column:
     return path.endswith(".html") | path.endswith(".htm")
 
 
-def _matches(contents: DataFrame, pattern: str, kind: str) -> DataFrame:
-    found = F.regexp_extract_all(F.col("content"), F.lit(pattern), F.lit(1))
-    return contents.select(
-        "repo_id", F.col("path").alias("src"), F.posexplode(found).alias("ord", "spec")
-    ).withColumn("kind", F.lit(kind))
-
-
-def _with_target(raw: DataFrame) -> DataFrame:
-    spec = F.col("spec")
-    aliased = spec.rlike("^[@~]/")
-    return raw.withColumn("is_alias", aliased & ~spec.startswith(".")).withColumn(
-        "target",
-        F.when(spec.startswith("."), normalize_relative(spec, dirname(F.col("src")))).otherwise(spec),
+def _found(pattern: str, kind: str) -> Column:
+    """All matches of a pattern in ``content`` as an array of (kind, ord, spec)."""
+    return F.transform(
+        F.regexp_extract_all(F.col("content"), F.lit(pattern), F.lit(1)),
+        lambda spec, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), spec.alias("spec")),
+    )
+
+
+def _references(contents: DataFrame, found: Column) -> DataFrame:
+    """References worth keeping, with relative ones folded against the directory of their file."""
+    spec, kind = F.col("spec"), F.col("kind")
+    relative, aliased = spec.startswith("."), spec.rlike("^[@~]/")
+    kept = (
+        F.when(kind == "es", relative | spec.contains("/"))
+        .when(kind == "cjs", relative | aliased)
+        .otherwise(~spec.rlike(fixed.HTML_EXTERNAL))
+    )
+    script = kind.isin("es", "cjs")
+    return (
+        contents.select("repo_id", F.col("path").alias("src"), F.inline(found))
+        .filter(kept)
+        .select("repo_id", "src", "ord", "spec", "kind", (script & aliased).alias("is_alias"),
+                F.when(script & relative, normalize_relative(spec, dirname(F.col("src")))).otherwise(spec).alias("target"))
     )
 
 
 def extract_es_imports(contents: DataFrame) -> DataFrame:
     """``import`` and ``export … from`` specifiers; bare package names are dropped."""
-    raw = _matches(contents, fixed.ES_IMPORT, "es")
-    kept = F.col("spec").startswith(".") | F.col("spec").contains("/")
-    return _with_target(raw.filter(kept))
+    return _references(contents, _found(fixed.ES_IMPORT, "es"))
 
 
 def extract_cjs_requires(contents: DataFrame) -> DataFrame:
     """``require(...)`` specifiers, relative and aliased ones only."""
-    raw = _matches(contents, fixed.CJS_REQUIRE, "cjs")
-    return _with_target(raw.filter(F.col("spec").rlike(r"^(\.|[@~]/)")))
+    return _references(contents, _found(fixed.CJS_REQUIRE, "cjs"))
 
 
 def extract_html_refs(contents: DataFrame) -> DataFrame:
     """Local script and stylesheet references, kept as written."""
-    both = _matches(contents, fixed.HTML_SCRIPT, "script").unionByName(
-        _matches(contents, fixed.HTML_LINK, "link")
-    )
-    return both.filter(~F.col("spec").rlike(fixed.HTML_EXTERNAL)).withColumns(
-        {"is_alias": F.lit(False), "target": F.col("spec")}
-    )
+    return _references(contents, F.concat(_found(fixed.HTML_SCRIPT, "script"), _found(fixed.HTML_LINK, "link")))
+
+
+def extract_references(contents: DataFrame) -> DataFrame:
+    """All references of all files in one pass over the text, by the kind of file."""
+    html = F.concat(_found(fixed.HTML_SCRIPT, "script"), _found(fixed.HTML_LINK, "link"))
+    code = F.concat(_found(fixed.ES_IMPORT, "es"), _found(fixed.CJS_REQUIRE, "cjs"))
+    return _references(contents, F.when(is_html(F.col("path")), html).otherwise(code))
 
 
 # --- aliases ------------------------------------------------------------------
@@ -245,11 +254,8 @@ def inject_layout_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 def raw_imports(contents: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """All references of all files with aliases applied."""
-    code = contents.filter(~is_html(F.col("path")))
-    pages = contents.filter(is_html(F.col("path")))
     aliases = parse_aliases(contents) if aliases is None else aliases
-    named = resolve_alias(extract_es_imports(code).unionByName(extract_cjs_requires(code)), aliases)
-    return named.unionByName(extract_html_refs(pages))
+    return resolve_alias(extract_references(contents), aliases)
 
 
 def build_dependency_graph(

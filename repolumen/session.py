@@ -90,3 +90,10 @@ def measured(df: DataFrame) -> Cut:
     cut = durable(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")))
     got = seen.get
     return Cut(cut, int(got["n"]), int(got["b"] or 0))
+
+
+def landed_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: columnar, prunable, with exact size."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
