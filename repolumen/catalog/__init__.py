@@ -1,7 +1,7 @@
 """Queries over the test tables."""
 import importlib
 
-FAMILIES = ["inventory", "imports", "graphs"]
+FAMILIES = ["inventory", "imports", "graphs", "history", "texts", "operations"]
 
 
 def load():

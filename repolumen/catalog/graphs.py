@@ -1,4 +1,5 @@
 """Graph queries: statistics, reachability, ranking, components, biconnectivity, betweenness."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -371,7 +372,7 @@ def w5b(t):
     return gs.hot_edges(t.successor_edges(), pr.pagerank_default(successor_nodes(t), t.successor_edges()))
 
 
-@query("A9_coverage_gaps", COVER_SQL + ", " + GRAPH.split("modules AS", 1)[0].split("WITH RECURSIVE ")[0] + GRAPH[GRAPH.index("es AS ("):] + f", {FAN}, " + pagerank_sql("edges", "nodes", 20) + f""", ranks AS ({MINMAX}),
+@query("A9_coverage_gaps", COVER_SQL + ", " + GRAPH[GRAPH.index("es AS (SELECT"):] + f", {FAN}, " + pagerank_sql("edges", "nodes", 20) + f""", ranks AS ({MINMAX}),
   cover AS (SELECT repo_id, path, count(test_path) > 0 AS is_tested FROM sources LEFT JOIN tests USING (repo_id, path) GROUP BY 1, 2),
   gaps AS (SELECT repo_id, path, fan_in, coalesce(is_tested, false) AS is_tested, CAST(coalesce(score, 0) AS DOUBLE) AS page_rank_score,
     CASE WHEN coalesce(is_tested, false) THEN 0 ELSE CAST(floor(coalesce(score, 0) * 0.7::DOUBLE + fan_in * 0.3::DOUBLE + 0.5) AS BIGINT) END AS risk_score
@@ -432,18 +433,31 @@ def a4b(t):
 
 
 # removal of every node (or edge) in turn, then reachability over what is left
-UND = "und AS (SELECT repo_id, src AS a, dst AS b FROM trade WHERE src <> dst UNION SELECT repo_id, dst, src FROM trade WHERE src <> dst)"
-CUT = f"{TW}, {UND}" + """, w0(s, p) AS (SELECT path, path FROM trade_nodes UNION SELECT w0.s, u.b FROM w0 JOIN und u ON u.a = w0.p),
-  w(x, s, p) AS (SELECT x.path, s.path, s.path FROM trade_nodes x, trade_nodes s WHERE x.path <> s.path UNION SELECT w.x, w.s, u.b FROM w JOIN und u ON u.a = w.p WHERE u.b <> w.x),
-  parts AS (SELECT x, s, count(*) AS size FROM w GROUP BY 1, 2),
+# the most frequent successor only: trees hanging on cycles, with bridges and articulation points
+LEAD_SQL = SW + """, lead_edges AS (SELECT repo_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, CAST(substr(dst, 2) AS BIGINT)) rn FROM successor) WHERE rn = 1),
+lead_nodes AS (SELECT repo_id, src AS path FROM lead_edges UNION SELECT repo_id, dst FROM lead_edges)"""
+
+
+def lead_edges(t):
+    best = Window.partitionBy("src").orderBy(F.desc("weight"), F.substring("dst", 2, 20).cast("bigint"))
+    return t.successor_edges().withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("repo_id", "src", "dst")
+
+
+def lead_graph(t):
+    edges = durable(lead_edges(t))
+    return gs.union_nodes(edges), edges
+
+
+UND = "und AS (SELECT repo_id, src AS a, dst AS b FROM lead_edges WHERE src <> dst UNION SELECT repo_id, dst, src FROM lead_edges WHERE src <> dst)"
+CUT = f"{LEAD_SQL}, {UND}" + """, w(x, s, p) AS (SELECT x.path, s.path, s.path FROM lead_nodes x, lead_nodes s WHERE x.path <> s.path UNION SELECT w.x, w.s, u.b FROM w JOIN und u ON u.a = w.p WHERE u.b <> w.x),
   near AS (SELECT DISTINCT u.a AS x, u.b AS s FROM und u),
   pieces AS (SELECT n.x, count(DISTINCT c.comp) AS comps, max(c.size) AS largest FROM near n JOIN (SELECT x, s, min(p) AS comp, count(*) AS size FROM w GROUP BY 1, 2) c ON c.x = n.x AND c.s = n.s GROUP BY 1),
-  ap AS (SELECT 'trade' AS repo_id, x AS path, largest AS fragment_size FROM pieces WHERE comps >= 2)"""
+  ap AS (SELECT 'next' AS repo_id, x AS path, largest AS fragment_size FROM pieces WHERE comps >= 2)"""
 
 
 @query("G7_articulation_points", CUT + " SELECT * FROM ap")
 def g7(t):
-    return bic.biconnected(t.trade_nodes(), t.trade_edges()).articulation_points
+    return bic.biconnected(*lead_graph(t)).articulation_points
 
 
 @query("G7_articulation_points_forest", FW + f", {FOREST_NODES}" + """, tree AS (SELECT repo_id, src, dst FROM forest), sub(repo_id, x, p) AS (SELECT repo_id, path, path FROM forest_nodes UNION SELECT s.repo_id, s.x, f.src FROM sub s JOIN tree f ON f.repo_id = s.repo_id AND f.dst = s.p),
@@ -454,14 +468,14 @@ def g7b(t):
     return bic.biconnected(forest_nodes(t), t.forest_edges()).articulation_points
 
 
-BRIDGES = f"{TW}, " + """pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(DISTINCT src) AS k FROM trade WHERE src <> dst GROUP BY 1, 2),
+BRIDGES = f"{LEAD_SQL}, " + """pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(DISTINCT src) AS k FROM lead_edges WHERE src <> dst GROUP BY 1, 2),
   w(a, b, p) AS (SELECT a, b, a FROM pairs WHERE k = 1 UNION SELECT w.a, w.b, CASE WHEN q.a = w.p THEN q.b ELSE q.a END FROM w JOIN pairs q ON (q.a = w.p OR q.b = w.p) AND NOT (q.a = w.a AND q.b = w.b)),
   bridges AS (SELECT a, b FROM pairs WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM w WHERE w.a = pairs.a AND w.b = pairs.b AND w.p = pairs.b))"""
 
 
-@query("G7_bridges", BRIDGES + " SELECT DISTINCT repo_id, src, dst FROM trade JOIN bridges ON least(src, dst) = a AND greatest(src, dst) = b")
+@query("G7_bridges", BRIDGES + " SELECT DISTINCT repo_id, src, dst FROM lead_edges JOIN bridges ON least(src, dst) = a AND greatest(src, dst) = b")
 def g7c(t):
-    return bic.biconnected(t.trade_nodes(), t.trade_edges()).bridges
+    return bic.biconnected(*lead_graph(t)).bridges
 
 
 @query("G7_bridges_forest", FW + " SELECT repo_id, src, dst FROM forest")
@@ -472,7 +486,7 @@ def g7d(t):
 @query("W4_rank_articulation", CUT + """ SELECT repo_id, path, fragment_size, CASE rn WHEN 1 THEN 'critical' WHEN 2 THEN 'high' ELSE 'medium' END AS severity, CAST(floor(CAST(fragment_size AS DOUBLE) / peak * 100 + 0.5) AS INTEGER) AS pct
   FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY fragment_size DESC, path) AS rn, max(fragment_size) OVER (PARTITION BY repo_id) AS peak FROM ap)""")
 def w4(t):
-    return gs.rank_articulation(bic.biconnected(t.trade_nodes(), t.trade_edges()).articulation_points)
+    return gs.rank_articulation(bic.biconnected(*lead_graph(t)).articulation_points)
 
 
 BTW = f"{SW}, {SUCC_NODES}" + """, e AS (SELECT DISTINCT src, dst FROM successor WHERE src <> dst),
@@ -514,8 +528,9 @@ REPORT = (
 
 
 @query("Q1_architecture_report", REPORT + f""" SELECT s.repo_id, s.path, afferent, efferent, round(instability, 6) AS instability, zone, coalesce(r.score, 0) AS page_rank, {TIER.replace('score', 'coalesce(r.score, 0)')} AS tier,
-    d.depth AS entry_depth, d.depth IS NOT NULL AS reachable, h.score AS health_score, grade
+    coalesce(d.depth, -1) AS entry_depth, d.depth IS NOT NULL AS reachable, h.score AS health_score, grade
   FROM stab s LEFT JOIN ranks r USING (repo_id, path) LEFT JOIN depths d USING (repo_id, path) LEFT JOIN health h USING (repo_id)""")
 def q1(t):
     nodes, edges = module_graph(t)
-    return repository.architecture_report(t.module_files(), nodes, edges, module_entries(t))
+    report = repository.architecture_report(t.module_files(), nodes, edges, module_entries(t))
+    return report.withColumn("entry_depth", F.coalesce("entry_depth", F.lit(-1)))

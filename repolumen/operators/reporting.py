@@ -143,7 +143,7 @@ def sliding_window_quota(events: DataFrame, key: str, n: int, span_seconds: int)
     every row appearing twice.
     """
     span = span_seconds * 1_000_000
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     slices = F.array(F.struct(F.lit(True).alias("own"), F.floor(micros / span).alias("slice")),
                      F.struct(F.lit(False).alias("own"), (F.floor(micros / span) + 1).alias("slice")))
     frame = Window.partitionBy(key, "slice").orderBy("us").rangeBetween(-span, 0)
