@@ -372,7 +372,7 @@ def w5b(t):
     return gs.hot_edges(t.successor_edges(), pr.pagerank_default(successor_nodes(t), t.successor_edges()))
 
 
-@query("A9_coverage_gaps", COVER_SQL + ", " + GRAPH[GRAPH.index("es AS (SELECT"):] + f", {FAN}, " + pagerank_sql("edges", "nodes", 20) + f""", ranks AS ({MINMAX}),
+@query("A9_coverage_gaps", COVER_SQL + GRAPH[GRAPH.index(", es AS (SELECT"):] + f", {FAN}, " + pagerank_sql("edges", "nodes", 20) + f""", ranks AS ({MINMAX}),
   cover AS (SELECT repo_id, path, count(test_path) > 0 AS is_tested FROM sources LEFT JOIN tests USING (repo_id, path) GROUP BY 1, 2),
   gaps AS (SELECT repo_id, path, fan_in, coalesce(is_tested, false) AS is_tested, CAST(coalesce(score, 0) AS DOUBLE) AS page_rank_score,
     CASE WHEN coalesce(is_tested, false) THEN 0 ELSE CAST(floor(coalesce(score, 0) * 0.7::DOUBLE + fan_in * 0.3::DOUBLE + 0.5) AS BIGINT) END AS risk_score

@@ -2,7 +2,8 @@
 
 The steps are a breadth-first spanning tree, subtree sizes, preorder numbers, low/high numbers,
 an auxiliary graph on the tree edges whose components are the biconnected blocks, and sums over
-the blocks. The number of rounds follows the depth of the tree, not the number of nodes.
+the blocks. Building the tree takes a round per level; the folds over the tree double the
+distance per round.
 """
 from __future__ import annotations
 
@@ -33,9 +34,9 @@ def biconnected(nodes: DataFrame, edges: DataFrame) -> Biconnected:
     pairs = durable(undirected_pairs(arcs))
     parts = durable(connected_components(nodes.filter(F.col("path") != ""), arcs))
     levels = spanning_tree(pairs, parts)
-    sizes = subtree_sizes(levels)
-    tree = preorder(sizes)
-    tree = durable(low_high(tree, pairs))
+    forest = durable(reduce(DataFrame.unionByName, [x.df for x in levels]).join(
+        parts.select("repo_id", F.col("path").alias("node"), F.col("component").alias("root")), ["repo_id", "node"]))
+    tree = durable(numbered_tree(forest, pairs, len(levels) - 1))
     blocks = durable(block_labels(tree, pairs))
     pair_blocks = durable(block_of_pairs(tree, pairs, blocks))
     return Biconnected(
@@ -74,28 +75,48 @@ def spanning_tree(pairs: DataFrame, parts: DataFrame) -> list[Cut]:
     return levels[:-1]
 
 
-def subtree_sizes(levels: list[Cut]) -> list[DataFrame]:
-    """Bottom-up: every level with ``nd``, the number of nodes in the subtree."""
-    out: list[DataFrame] = []
-    below = None
-    for level in reversed(levels):
-        here = level.df
-        if below is None:
-            here = here.withColumn("nd", F.lit(1).cast("bigint"))
-        else:
-            sums = below.groupBy("repo_id", F.col("parent").alias("node")).agg(F.sum("nd").alias("nd_below"))
-            here = here.join(sums, ["repo_id", "node"], "left").select(
-                "repo_id", "node", "parent", "depth", (F.coalesce("nd_below", F.lit(0)) + 1).alias("nd"))
-        below = durable(here)
-        out.append(below)
-    return out[::-1]
-
-
-def _sibling_offsets(level: DataFrame) -> DataFrame:
+def ancestor_jumps(tree: DataFrame, depth: int) -> list[DataFrame]:
+    """Tables (repo_id, node, anc) of the ancestor 1, 2, 4, … levels up, as far as the tree is deep."""
+    jumps = [durable(tree.filter(F.col("parent").isNotNull()).select("repo_id", "node", F.col("parent").alias("anc")))]
+    while 2 ** len(jumps) <= depth:
+        half = jumps[-1]
+        jumps.append(durable(
+            half.join(half.select("repo_id", F.col("node").alias("anc"), F.col("anc").alias("next")), ["repo_id", "anc"])
+            .select("repo_id", "node", F.col("next").alias("anc"))))
+    return jumps
+
+
+def fold_subtrees(values: DataFrame, jumps: list[DataFrame], merges: dict) -> DataFrame:
+    """Fold columns over every subtree by doubling.
+
+    After step k a node holds the fold over its descendants less than 2^k levels below; the node
+    2^k levels further up takes that in, so the steps follow the logarithm of the depth.
+    ``merges`` maps a column to its (aggregate, combine two columns) pair.
+    """
+    for jump in jumps:
+        lifted = values.join(jump, ["repo_id", "node"]).groupBy("repo_id", F.col("anc").alias("node")).agg(
+            *[agg(c).alias(f"up_{c}") for c, (agg, _) in merges.items()])
+        values = durable(values.join(lifted, ["repo_id", "node"], "left").select(
+            "repo_id", "node", *[both(F.col(c), F.col(f"up_{c}")).alias(c) for c, (_, both) in merges.items()]))
+    return values
+
+
+def sum_to_root(values: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """Sum ``x`` over the path from every node to its root, again by doubling."""
+    for jump in jumps:
+        above = values.select("repo_id", F.col("node").alias("anc"), F.col("x").alias("up_x"))
+        lifted = jump.join(above, ["repo_id", "anc"]).select("repo_id", "node", "up_x")
+        values = durable(values.join(lifted, ["repo_id", "node"], "left").select(
+            "repo_id", "node", (F.col("x") + F.coalesce("up_x", F.lit(0))).alias("x")))
+    return values
+
+
+def _sibling_offsets(sized: DataFrame) -> DataFrame:
     """Sum of ``nd`` over earlier siblings; any fixed order serves, so the children of a hub are
     split into hashed groups, ordered by group and then by name."""
-    counts = level.groupBy("repo_id", "parent").agg(F.count(F.lit(1)).alias("siblings"))
-    split = level.join(counts, ["repo_id", "parent"]).withColumn(
+    children = sized.filter(F.col("parent").isNotNull())
+    counts = children.groupBy("repo_id", "parent").agg(F.count(F.lit(1)).alias("siblings"))
+    split = children.join(counts, ["repo_id", "parent"]).withColumn(
         "grp", F.pmod(F.xxhash64("node"), (F.col("siblings") / SIBLINGS_PER_GROUP).cast("int") + 1).cast("int"))
     upto = Window.partitionBy("repo_id", "parent").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     groups = (
@@ -106,22 +127,29 @@ def _sibling_offsets(level: DataFrame) -> DataFrame:
     return (
         split.withColumn("own_before", F.coalesce(F.sum("nd").over(inside), F.lit(0)))
         .join(groups, ["repo_id", "parent", "grp"])
-        .select("repo_id", "node", "parent", "depth", "nd",
-                (F.col("grp_before") + F.col("own_before")).alias("before"))
+        .select("repo_id", "node", (F.col("grp_before") + F.col("own_before") + 1).alias("x"))
     )
 
 
-def preorder(levels: list[DataFrame]) -> list[DataFrame]:
-    """Top-down: every level with ``pre``, the preorder number inside its component."""
-    cols = ["repo_id", "node", "parent", "depth", "nd"]
-    out = [durable(levels[0].select(*cols, F.lit(0).cast("bigint").alias("pre"), F.col("node").alias("root")))]
-    for level in levels[1:]:
-        above = out[-1].select("repo_id", F.col("node").alias("parent"), F.col("pre").alias("p"), "root")
-        out.append(durable(
-            _sibling_offsets(level).join(above, ["repo_id", "parent"])
-            .select(*cols, (F.col("p") + 1 + F.col("before")).alias("pre"), "root")
-        ))
-    return out
+def numbered_tree(tree: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """The tree with subtree size ``nd``, preorder number ``pre`` and the extreme numbers
+    ``low``/``high`` seen from the subtree over non-tree pairs."""
+    jumps = ancestor_jumps(tree, depth)
+    plus = (F.sum, lambda own, up: own + F.coalesce(up, F.lit(0)))
+    sizes = fold_subtrees(tree.select("repo_id", "node", F.lit(1).cast("bigint").alias("nd")), jumps, {"nd": plus})
+    sized = durable(tree.join(sizes, ["repo_id", "node"]))
+    steps = sized.select("repo_id", "node").join(_sibling_offsets(sized), ["repo_id", "node"], "left").select(
+        "repo_id", "node", F.coalesce("x", F.lit(0)).alias("x"))
+    pre = sum_to_root(durable(steps), jumps).withColumnRenamed("x", "pre")
+    numbered = durable(sized.join(pre, ["repo_id", "node"]))
+
+    number = numbered.select("repo_id", F.col("node").alias("other"), F.col("pre").alias("other_pre"))
+    seen = _both_ways(_non_tree(pairs, tree)).join(number, ["repo_id", "other"]).groupBy("repo_id", "node").agg(
+        F.min("other_pre").alias("lo"), F.max("other_pre").alias("hi"))
+    own = numbered.join(seen, ["repo_id", "node"], "left").select(
+        "repo_id", "node", F.least("pre", "lo").alias("low"), F.greatest("pre", "hi").alias("high"))
+    extremes = fold_subtrees(durable(own), jumps, {"low": (F.min, F.least), "high": (F.max, F.greatest)})
+    return numbered.join(extremes, ["repo_id", "node"])
 
 
 def _non_tree(pairs: DataFrame, tree: DataFrame) -> DataFrame:
@@ -130,30 +158,6 @@ def _non_tree(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     return pairs.join(tree_pairs, ["repo_id", "a", "b"], "left_anti")
 
 
-def low_high(levels: list[DataFrame], pairs: DataFrame) -> DataFrame:
-    """The whole tree with ``low``/``high``: extreme preorder numbers seen from the subtree."""
-    tree = durable(reduce(DataFrame.unionByName, levels))
-    number = tree.select("repo_id", F.col("node").alias("other"), F.col("pre").alias("other_pre"))
-    seen = durable(
-        _both_ways(_non_tree(pairs, tree)).join(number, ["repo_id", "other"])
-        .groupBy("repo_id", "node").agg(F.min("other_pre").alias("lo"), F.max("other_pre").alias("hi"))
-    )
-    done: list[DataFrame] = []
-    below = None
-    for level in reversed(levels):
-        here = level.join(seen, ["repo_id", "node"], "left")
-        low, high = F.least("pre", "lo"), F.greatest("pre", "hi")
-        if below is not None:
-            sums = below.groupBy("repo_id", F.col("parent").alias("node")).agg(
-                F.min("low").alias("lo2"), F.max("high").alias("hi2"))
-            here = here.join(sums, ["repo_id", "node"], "left")
-            low, high = F.least(low, "lo2"), F.greatest(high, "hi2")
-        below = durable(here.select("repo_id", "root", "node", "parent", "depth", "nd", "pre",
-                                    low.alias("low"), high.alias("high")))
-        done.append(below)
-    return reduce(DataFrame.unionByName, done)
-
-
 def block_labels(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     """(repo_id, node, block): the block of the tree edge above each non-root node."""
     inner = tree.filter(F.col("parent").isNotNull())
