@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Cut, durable, measured
+from ..session import Cut, durable, measured, together
 from .graph_stats import union_nodes
 
 
@@ -45,12 +45,11 @@ def _accumulate(start: DataFrame, arcs: DataFrame) -> DataFrame:
             levels[-1].for_join().join(arcs.withColumnRenamed("src", "v"), ["repo_id", "v"])
             .groupBy("repo_id", "s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
         )
-        for part in seen:
-            found = found.join(part.for_join().select("repo_id", "s", "v"), ["repo_id", "s", "v"], "left_anti")
-        levels.append(measured(found))
+        known = together(seen).for_join().select("repo_id", "s", "v")
+        levels.append(measured(found.join(known, ["repo_id", "s", "v"], "left_anti")))
         seen.append(levels[-1])
         if len(seen) >= 8:
-            seen = [measured(reduce(DataFrame.unionByName, [x.df.select("repo_id", "s", "v") for x in seen]))]
+            seen = [measured(together(seen).df)]
     levels.pop()
     sums: list[DataFrame] = []
     below: DataFrame | None = None

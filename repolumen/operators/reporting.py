@@ -135,22 +135,33 @@ def recent_history(analyses: DataFrame, as_of: Column, search: str = "", limit:
     )
 
 
-def sliding_window_quota(events: DataFrame, key: str, n: int, span_seconds: int) -> DataFrame:
+def sliding_window_quota(events: DataFrame, key: str, n: int, span_seconds: int, slices: int = 60) -> DataFrame:
     """Events with the number of events of the same key in the span ending at them, and whether that exceeds ``n``.
 
-    Time is cut into slices of one span. An event is counted in its own slice and shown as
-    history to the next one, so the frame of a hot key is split over its slices at the cost of
-    every row appearing twice.
+    The span is cut into slices, so the sorting of a hot key is split over them. For an event of
+    slice s the count is exact: the events of its own slice up to it, all of the ``slices`` slices
+    before, minus those of the oldest one that have left the window. The latter are the events
+    of slice s - slices moved forward by one span, sorted together with the own ones.
     """
     span = span_seconds * 1_000_000
+    width = span // slices
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    slices = F.array(F.struct(F.lit(True).alias("own"), F.floor(micros / span).alias("slice")),
-                     F.struct(F.lit(False).alias("own"), (F.floor(micros / span) + 1).alias("slice")))
-    frame = Window.partitionBy(key, "slice").orderBy("us").rangeBetween(-span, 0)
+    own = events.select("*", micros.alias("pos"), F.floor(micros / width).alias("slice"), F.lit(1).alias("own"))
+    moved = own.withColumns({"pos": F.col("pos") + span, "slice": F.col("slice") + slices, "own": F.lit(0)})
+    order = Window.partitionBy(key, "slice").orderBy("pos")
+    upto, before = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy(key, "slice").agg(F.count(F.lit(1)).alias("n"))
+    # a slice knows the sum of the slices before it, also where it has no event of its own before
+    earlier = counts.withColumn("n_before", F.coalesce(
+        F.sum("n").over(Window.partitionBy(key).orderBy("slice").rangeBetween(-slices, -1)), F.lit(0))).drop("n")
     return (
-        events.select("*", micros.alias("us"), F.inline(slices))
-        .withColumn("n_in_window", F.count(F.lit(1)).over(frame)).filter("own")
-        .withColumn("exceeded", F.col("n_in_window") > n).drop("us", "own", "slice")
+        own.unionByName(moved)
+        .withColumns({"own_upto": F.sum("own").over(upto), "left": F.coalesce(F.sum(1 - F.col("own")).over(before), F.lit(0))})
+        .filter(F.col("own") == 1)
+        .join(earlier, [key, "slice"])
+        .withColumn("n_in_window", F.col("own_upto") + F.col("n_before") - F.col("left"))
+        .withColumn("exceeded", F.col("n_in_window") > n)
+        .select(*events.columns, "n_in_window", "exceeded")
     )
 
 

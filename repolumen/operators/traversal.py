@@ -7,12 +7,10 @@ frontier; a measured-small frontier is broadcast, a larger one shuffles on the j
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import Cut, durable, measured
+from ..session import Cut, durable, measured, together
 from .graph_stats import fan_in
 
 COMPACT_EVERY = 8
@@ -46,20 +44,15 @@ def expand(
             frontier.for_join().join(hops, ["repo_id", "node"])
             .select(*keys, F.col("next").alias("node")).distinct()
         )
-        for part in seen:
-            found = found.join(part.for_join().select(*keys, "node"), [*keys, "node"], "left_anti")
+        if seen:
+            known = together(seen).for_join().select(*keys, "node")
+            found = found.join(known, [*keys, "node"], "left_anti")
         frontier = measured(found.withColumn("depth", F.lit(level)))
         if frontier.rows:
             seen.append(frontier)
         if len(seen) >= COMPACT_EVERY:
-            seen = [measured(_union(seen))]
-    if not seen:
-        return start.df.limit(0)
-    return _union(seen)
-
-
-def _union(parts: list[Cut]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [p.df for p in parts])
+            seen = [measured(together(seen).df)]
+    return together(seen).df if seen else start.df.limit(0)
 
 
 def risk_level(n):

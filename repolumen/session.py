@@ -4,6 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,12 @@ class Cut:
         return F.broadcast(self.df) if self.bytes <= broadcast_limit(self.df.sparkSession) else self.df
 
 
+def together(cuts: list[Cut]) -> Cut:
+    """Several cuts as one table; their sizes add up."""
+    table = reduce(DataFrame.unionByName, [c.df for c in cuts])
+    return Cut(table, sum(c.rows for c in cuts), sum(c.bytes for c in cuts))
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).lower().rstrip("b")
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
@@ -92,8 +99,8 @@ def measured(df: DataFrame) -> Cut:
     return Cut(cut, int(got["n"]), int(got["b"] or 0))
 
 
-def landed_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: columnar, prunable, with exact size."""
+def land(df: DataFrame, name: str) -> str:
+    """Write a table to the shared folder and return its path: columnar, prunable, of exact size."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path

@@ -1,6 +1,8 @@
 """Readers for landed listings, contents, histories and pull requests, with explicit schemas."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +23,13 @@ def read_landed(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
 
 def read_source_tree(spark: SparkSession, glob: str, root: str, repo_id: str) -> DataFrame:
     """Whole text files below ``root`` as (repo_id, path, content)."""
-    name = F.regexp_replace(F.col("_metadata.file_path"), r"^.*?" + _quoted(root.rstrip("/")) + "/", "")
-    return spark.read.option("wholetext", "true").text(glob).select(
+    # file addresses are percent-encoded; a plus sign stands for itself
+    address = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_replace(address, r"^.*?" + re.escape(root.rstrip("/")) + "/", "")
+    return spark.read.text(glob, wholetext=True).select(
         F.lit(repo_id).alias("repo_id"), name.alias("path"), F.col("value").alias("content"))
 
 
-def _quoted(text: str) -> str:
-    import re
-
-    return re.escape(text)
-
-
 def scan_file_tree(tree: DataFrame) -> DataFrame:
     """Files of a tree listing; a missing size counts as zero."""
     return tree.filter(F.col("type") == "blob").select(
