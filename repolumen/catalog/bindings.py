@@ -175,9 +175,13 @@ class Tables:
                     F.struct("l_linenumber", "l_suppkey", "l_partkey", text.alias("t")))), lambda x: x["t"]), "\n").alias("content"))
             .select(F.concat(F.lit("repo"), F.col("l_orderkey") % 3).alias("repo_id"), order_path.alias("path"), "content")
         )
-        layouts = self.raw("orders").filter(F.col("o_orderkey") % 10 == 0).select(
-            F.concat(F.lit("repo"), F.col("o_orderkey") % 3).alias("repo_id"),
-            F.concat(F.lit("src/app/o"), "o_orderkey", F.lit("/layout.tsx")).alias("path"), F.lit("").alias("content"))
+        o = F.col("o_orderkey")
+        companion = (
+            F.when(o % 10 == 0, F.concat(F.lit("src/app/o"), o, F.lit("/layout.tsx")))
+            .when(o % 10 == 5, F.concat(F.lit("src/app/o"), o, F.lit("/loading.tsx")))
+            .otherwise(F.concat(F.lit("src/orders/__tests__/o"), o, F.lit(".ts"))))
+        companions = self.raw("orders").select(
+            F.concat(F.lit("repo"), o % 3).alias("repo_id"), companion.alias("path"), F.lit("").alias("content"))
         key = F.col("s_suppkey")
         nxt = self.successor_edges().groupBy(F.substring("src", 2, 20).cast("bigint").alias("s_suppkey")).agg(
             F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("import '@/sup/"), "dst", F.lit("';")))), "\n").alias("content"))
@@ -191,7 +195,7 @@ class Tables:
         configs = self.raw("supplier").select(
             F.concat(F.lit("repo"), key % 3).alias("repo_id"), F.lit("tsconfig.json").alias("path"),
             F.lit(TSCONFIG).alias("content")).distinct()
-        return of_orders.unionByName(layouts).unionByName(of_suppliers).unionByName(configs)
+        return of_orders.unionByName(companions).unionByName(of_suppliers).unionByName(configs)
 
     def module_files(self) -> DataFrame:
         return self.modules().select("repo_id", "path", F.length("content").cast("bigint").alias("size"))
@@ -246,13 +250,13 @@ class Tables:
             F.when(d % 3 == 0, "added").otherwise("modified").alias("status"), (d % 50).cast("int").alias("additions"),
             (d % 80).cast("int").alias("changes"), F.when(d % 9 == 0, F.lit(None)).otherwise(F.col("text")).alias("patch"))
 
-    def module_prs(self) -> DataFrame:
-        """Orders as pull requests on the modules: the supplier files of the lines, for one order in twenty."""
+    def supplier_prs(self) -> DataFrame:
+        """A day of orders is a pull request on the successor graph: it changes the suppliers of its lines."""
+        day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("bigint")
         return (
-            self.raw("lineitem").filter(F.col("l_orderkey") % 20 == 0)
-            .select(F.concat(F.lit("repo"), F.col("l_suppkey") % 3).alias("repo_id"), F.col("l_orderkey").alias("pr_number"),
-                    F.concat(F.lit("src/sup/s"), "l_suppkey", F.when(F.col("l_suppkey") % 4 == 2, ".js").otherwise(".ts")).alias("path"))
-            .distinct()
+            self.raw("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+            .join(self.raw("orders").select("o_orderkey", day.alias("pr_number")), "o_orderkey")
+            .select(F.lit("next").alias("repo_id"), "pr_number", F.concat(F.lit("s"), "l_suppkey").alias("path")).distinct()
         )
 
     # -- operations --------------------------------------------------------------------
@@ -358,7 +362,8 @@ modules AS (
   SELECT 'repo' || (o % 3) AS repo_id, CASE WHEN o % 11 = 0 THEN 'public/o' || o || '.html' WHEN o % 5 = 0 THEN 'src/app/o' || o || '/page.tsx'
       WHEN o % 7 = 0 THEN 'src/orders/o' || o || '.test.ts' ELSE 'src/orders/o' || o || '.ts' END AS path,
     string_agg(t, chr(10) ORDER BY ln, sk, pk, t) AS content FROM order_text GROUP BY o
-  UNION ALL SELECT 'repo' || (o_orderkey % 3), 'src/app/o' || o_orderkey || '/layout.tsx', '' FROM orders WHERE o_orderkey % 10 = 0
+  UNION ALL SELECT 'repo' || (o_orderkey % 3), CASE o_orderkey % 10 WHEN 0 THEN 'src/app/o' || o_orderkey || '/layout.tsx' WHEN 5 THEN 'src/app/o' || o_orderkey || '/loading.tsx'
+      ELSE 'src/orders/__tests__/o' || o_orderkey || '.ts' END, '' FROM orders
   UNION ALL SELECT 'repo' || (s_suppkey % 3), CASE s_suppkey % 4 WHEN 0 THEN 'src/sup/s' || s_suppkey || '.ts' WHEN 1 THEN 'src/sup/s' || s_suppkey || '/index.tsx'
       WHEN 2 THEN 'src/sup/s' || s_suppkey || '.js' ELSE 'lib/sup/s' || s_suppkey || '.mjs' END,
     coalesce(content, '') FROM supplier LEFT JOIN (SELECT src, string_agg('import ''@/sup/' || dst || ''';', chr(10) ORDER BY 'import ''@/sup/' || dst || ''';') content
@@ -378,6 +383,11 @@ TRACES = """traces AS (
       ELSE '    at go (index.tsx:9:2)' END || chr(10) || '    at main (/srv/src/sup/s4.ts:2:2)' AS trace
   FROM (SELECT *, user_id % 100 + 1 AS s FROM events))"""
 
+PRS = """prs AS (SELECT DISTINCT 'next' AS repo_id, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS pr_number, 's' || l_suppkey AS path
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+walk(repo_id, pr_number, path) AS (SELECT * FROM prs UNION SELECT w.repo_id, w.pr_number, e.src FROM walk w JOIN successor e ON e.repo_id = w.repo_id AND e.dst = w.path),
+classes AS (SELECT w.repo_id, w.pr_number, w.path, CASE WHEN p.path IS NULL THEN 'blast' ELSE 'modified' END AS class FROM walk w LEFT JOIN prs p USING (repo_id, pr_number, path))"""
+
 PR_FILES = """pr_files AS (
   SELECT lang AS repo_id, doc_id % 37 AS pr_number, source || '/doc' || doc_id || '.ts' AS path,
     CASE WHEN doc_id % 3 = 0 THEN 'added' ELSE 'modified' END AS status, CAST(doc_id % 50 AS INTEGER) AS additions, CAST(doc_id % 80 AS INTEGER) AS changes,

@@ -10,7 +10,7 @@ from ..operators import (
 from ..plans import repository
 from ..session import durable
 from ..sources import sinks
-from .bindings import FOREST, SUCCESSOR, TRADE
+from .bindings import FOREST, PRS, SUCCESSOR, TRADE
 from .imports import COVER_SQL, GRAPH, covered_files, module_graph
 from .inventory import boosted
 from .registry import query
@@ -170,13 +170,7 @@ def w9(t):
 
 # --- reachability ---------------------------------------------------------------------
 
-SEEDS = "seeds AS (SELECT repo_id, path FROM forest_nodes WHERE path LIKE 'n:%' OR path LIKE 'r:%')"
-
-
-def forest_seeds(t):
-    return forest_nodes(t).filter("path LIKE 'n:%' OR path LIKE 'r:%'")
-
-
+SEEDS = "seeds AS (SELECT repo_id, path FROM forest_nodes)"
 BLAST = f"{FW}, {FOREST_NODES}, {SEEDS}" + """, reach(repo_id, seed, affected) AS (
   SELECT s.repo_id, s.path, f.src FROM seeds s JOIN forest f ON f.repo_id = s.repo_id AND f.dst = s.path
   UNION SELECT r.repo_id, r.seed, f.src FROM reach r JOIN forest f ON f.repo_id = r.repo_id AND f.dst = r.affected)"""
@@ -184,14 +178,13 @@ BLAST = f"{FW}, {FOREST_NODES}, {SEEDS}" + """, reach(repo_id, seed, affected) A
 
 @query("G1_blast_radius", BLAST + " SELECT * FROM reach")
 def g1(t):
-    return tr.blast_radius(t.forest_edges(), forest_seeds(t))
+    return tr.blast_radius(t.forest_edges(), forest_nodes(t))
 
 
 RISK = "CASE WHEN n > 20 THEN 'CRITICAL' WHEN n > 10 THEN 'HIGH' WHEN n > 3 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
-@query("G1_blast_risk", BLAST.replace("seeds AS (SELECT repo_id, path FROM forest_nodes WHERE path LIKE 'n:%' OR path LIKE 'r:%')", "seeds AS (SELECT repo_id, path FROM forest_nodes)")
-       + f" SELECT repo_id, seed, n, {RISK} AS risk FROM (SELECT s.repo_id, s.path AS seed, count(affected) AS n FROM seeds s LEFT JOIN reach r ON r.repo_id = s.repo_id AND r.seed = s.path GROUP BY 1, 2)")
+@query("G1_blast_risk", BLAST + f" SELECT repo_id, seed, n, {RISK} AS risk FROM (SELECT s.repo_id, s.path AS seed, count(affected) AS n FROM seeds s LEFT JOIN reach r ON r.repo_id = s.repo_id AND r.seed = s.path GROUP BY 1, 2)")
 def g1b(t):
     seeds = forest_nodes(t)
     return tr.blast_risk(tr.blast_radius(t.forest_edges(), seeds), seeds)
@@ -214,37 +207,26 @@ def g1d(t):
     return tr.node_blast(t.trade_edges(), t.trade_nodes())[1]
 
 
-PRS = MG + """, prs AS (SELECT DISTINCT 'repo' || (l_suppkey % 3) AS repo_id, l_orderkey AS pr_number,
-    'src/sup/s' || l_suppkey || CASE WHEN l_suppkey % 4 = 2 THEN '.js' ELSE '.ts' END AS path FROM lineitem WHERE l_orderkey % 20 = 0),
-sup_edges AS (SELECT * FROM edges WHERE src LIKE 'src/sup/%' OR src LIKE 'lib/%'),
-walk(repo_id, pr_number, path) AS (SELECT * FROM prs UNION SELECT w.repo_id, w.pr_number, e.src FROM walk w JOIN sup_edges e ON e.repo_id = w.repo_id AND e.dst = w.path),
-classes AS (SELECT w.repo_id, w.pr_number, w.path, CASE WHEN p.path IS NULL THEN 'blast' ELSE 'modified' END AS class FROM walk w LEFT JOIN prs p USING (repo_id, pr_number, path))"""
-
-
-def supplier_graph(t):
-    """The module graph without the order files: what pull requests on suppliers can reach."""
-    nodes, edges = module_graph(t)
-    return nodes, durable(edges.filter("src LIKE 'src/sup/%' OR src LIKE 'lib/%'"))
+PR_SQL = f"{SW}, {SUCC_NODES}, {PRS}"
 
 
-@query("G2_pr_blast", PRS + " SELECT * FROM classes")
+@query("G2_pr_blast", PR_SQL + " SELECT * FROM classes")
 def g2(t):
-    nodes, edges = supplier_graph(t)
-    return tr.pr_blast(edges, nodes, t.module_prs())
+    return tr.pr_blast(t.successor_edges(), successor_nodes(t), t.supplier_prs())
 
 
-@query("G2_pr_edge_classes", PRS + """ SELECT e.repo_id, a.pr_number, e.src, e.dst, CASE WHEN a.class = 'modified' AND b.class = 'modified' THEN 'modified' ELSE 'hot' END AS class
-  FROM sup_edges e JOIN classes a ON a.repo_id = e.repo_id AND a.path = e.src JOIN classes b ON b.repo_id = e.repo_id AND b.path = e.dst AND b.pr_number = a.pr_number""")
+@query("G2_pr_edge_classes", PR_SQL + """ SELECT e.repo_id, a.pr_number, e.src, e.dst, CASE WHEN a.class = 'modified' AND b.class = 'modified' THEN 'modified' ELSE 'hot' END AS class
+  FROM successor e JOIN classes a ON a.repo_id = e.repo_id AND a.path = e.src JOIN classes b ON b.repo_id = e.repo_id AND b.path = e.dst AND b.pr_number = a.pr_number""")
 def g2b(t):
-    nodes, edges = supplier_graph(t)
-    return tr.pr_edge_classes(edges, tr.pr_blast(edges, nodes, t.module_prs()))
+    edges = durable(t.successor_edges())
+    return tr.pr_edge_classes(edges, tr.pr_blast(edges, successor_nodes(t), t.supplier_prs()))
 
 
-@query("G2_pr_counts", PRS + """ SELECT c.repo_id, pr_number, count(*) FILTER (WHERE class = 'modified') AS modified, count(*) FILTER (WHERE class = 'blast') AS blast, max(total) - count(n.path) AS unaffected
-  FROM classes c LEFT JOIN nodes n USING (repo_id, path) JOIN (SELECT repo_id, count(*) AS total FROM nodes GROUP BY 1) USING (repo_id) GROUP BY 1, 2""")
+@query("G2_pr_counts", PR_SQL + """ SELECT c.repo_id, pr_number, count(*) FILTER (WHERE class = 'modified') AS modified, count(*) FILTER (WHERE class = 'blast') AS blast, max(total) - count(n.path) AS unaffected
+  FROM classes c LEFT JOIN succ_nodes n USING (repo_id, path) JOIN (SELECT repo_id, count(*) AS total FROM succ_nodes GROUP BY 1) USING (repo_id) GROUP BY 1, 2""")
 def g2c(t):
-    nodes, edges = supplier_graph(t)
-    return tr.pr_unaffected_counts(nodes, tr.pr_blast(edges, nodes, t.module_prs()))
+    nodes = successor_nodes(t)
+    return tr.pr_unaffected_counts(nodes, tr.pr_blast(t.successor_edges(), nodes, t.supplier_prs()))
 
 
 DEPTH = MG + f", {M_ENTRIES}" + """, present AS (SELECT e.repo_id, e.path FROM entries e JOIN nodes USING (repo_id, path)),

@@ -117,13 +117,13 @@ def u6(t):
 def u6b(t):
     a = t.analyses()
     keys = a.filter("user_id IN ('u1', 'u2')").select("repo_url", "user_id").union(
-        t.raw("region").limit(1).select(F.lit("none"), F.lit("u1")))
+        t.raw("region").select(F.lit("none"), F.lit("u1")).distinct())
     return rp.invalidate_cache(a, keys, ["repo_url", "user_id"])[1]
 
 
-@query("J8_unseen_events", SW + """ SELECT DISTINCT event_id FROM sub_events WHERE event_id NOT IN (SELECT 'e' || event_id FROM events WHERE event_id % 4 = 0)""")
+@query("J8_unseen_events", SW + """ SELECT DISTINCT event_id FROM sub_events WHERE event_id NOT IN (SELECT 'e' || event_id FROM events WHERE event_type = 'click')""")
 def j8(t):
-    seen = t.raw("events").filter("event_id % 4 = 0").select(F.concat(F.lit("e"), "event_id").alias("event_id"))
+    seen = t.raw("events").filter("event_type = 'click'").select(F.concat(F.lit("e"), "event_id").alias("event_id"))
     return rp.unseen_events(t.sub_events(), seen).select("event_id")
 
 

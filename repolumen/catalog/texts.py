@@ -6,8 +6,7 @@ from ..functions.columns import any_literal, any_pattern
 from ..operators import content as ct, graph_stats as gs, traces as tc, traversal as tr
 from ..plans import diagnosis, pull_request
 from ..session import durable
-from .bindings import DOC_FILES, MODULES, PR_FILES, TRACES
-from .graphs import supplier_graph
+from .bindings import DOC_FILES, MODULES, PR_FILES, PRS, SUCCESSOR, TRACES
 from .imports import GRAPH, module_graph
 from .registry import q, query
 
@@ -61,20 +60,21 @@ def t3(t):
     return tc.locate_crash(tc.parse_frames(t.traces()), t.modules())
 
 
-# crash sites around the supplier modules, three steps both ways
-WALK = """sup_edges AS MATERIALIZED (SELECT * FROM edges WHERE src LIKE 'src/sup/%' OR src LIKE 'lib/%'), sfan AS MATERIALIZED (SELECT repo_id, dst AS file, count(*) AS fan_in FROM sup_edges GROUP BY 1, 2),
-down(repo_id, trace_id, file, distance) AS (SELECT repo_id, trace_id, path, 0 FROM located UNION SELECT d.repo_id, trace_id, e.dst, distance + 1 FROM down d JOIN sup_edges e ON e.repo_id = d.repo_id AND e.src = d.file WHERE distance < 3),
-up(repo_id, trace_id, file, distance) AS (SELECT repo_id, trace_id, path, 0 FROM located UNION SELECT d.repo_id, trace_id, e.src, distance + 1 FROM up d JOIN sup_edges e ON e.repo_id = d.repo_id AND e.dst = d.file WHERE distance < 3),
-around AS (SELECT repo_id, trace_id, file, distance, coalesce(fan_in, 0) AS fan_in, relationship, CASE WHEN relationship = 'crash_site' THEN 1000.0::DOUBLE ELSE (3 - distance) * (1.0::DOUBLE + ln(coalesce(fan_in, 0) + 1.0::DOUBLE)) END AS relevance_score
-  FROM (SELECT repo_id, trace_id, path AS file, 0 AS distance, 'crash_site' AS relationship FROM located
-    UNION ALL SELECT * FROM (SELECT repo_id, trace_id, file, min(distance) AS distance, 'downstream' FROM down GROUP BY 1, 2, 3) WHERE distance > 0
-    UNION ALL SELECT * FROM (SELECT repo_id, trace_id, file, min(distance) AS distance, 'upstream' FROM up GROUP BY 1, 2, 3) WHERE distance > 0) LEFT JOIN sfan USING (repo_id, file)),
-best AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, trace_id ORDER BY round(relevance_score, 9) DESC, distance, relationship, file) rn FROM around) WHERE rn <= 15)"""
+# files around the distinct crash sites, three steps both ways
+WALK = """sfan AS MATERIALIZED (SELECT repo_id, dst AS file, count(*) AS fan_in FROM edges GROUP BY 1, 2), sites AS MATERIALIZED (SELECT DISTINCT repo_id, path AS site FROM located), ed AS MATERIALIZED (SELECT * FROM edges),
+down(repo_id, site, file, distance) AS (SELECT repo_id, site, site, 0 FROM sites UNION SELECT d.repo_id, site, e.dst, distance + 1 FROM down d JOIN ed e ON e.repo_id = d.repo_id AND e.src = d.file WHERE distance < 3),
+up(repo_id, site, file, distance) AS (SELECT repo_id, site, site, 0 FROM sites UNION SELECT d.repo_id, site, e.src, distance + 1 FROM up d JOIN ed e ON e.repo_id = d.repo_id AND e.dst = d.file WHERE distance < 3),
+around AS (SELECT repo_id, site, file, distance, coalesce(fan_in, 0) AS fan_in, relationship, CASE WHEN relationship = 'crash_site' THEN 1000.0::DOUBLE ELSE (3 - distance) * (1.0::DOUBLE + ln(coalesce(fan_in, 0) + 1.0::DOUBLE)) END AS relevance_score
+  FROM (SELECT repo_id, site, site AS file, 0 AS distance, 'crash_site' AS relationship FROM sites
+    UNION ALL SELECT * FROM (SELECT repo_id, site, file, min(distance) AS distance, 'downstream' FROM down GROUP BY 1, 2, 3) WHERE distance > 0
+    UNION ALL SELECT * FROM (SELECT repo_id, site, file, min(distance) AS distance, 'upstream' FROM up GROUP BY 1, 2, 3) WHERE distance > 0) LEFT JOIN sfan USING (repo_id, file)),
+best AS MATERIALIZED (SELECT l.repo_id, l.trace_id, a.* EXCLUDE (rn, repo_id, site) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, site ORDER BY round(relevance_score, 9) DESC, distance, relationship, file) rn FROM around) a
+  JOIN located l ON l.repo_id = a.repo_id AND l.path = a.site WHERE rn <= 15)"""
 GW = GRAPH + ", " + ", ".join([TRACES, FRAMES, LOCATE, CRASH, WALK])
 
 
 def around(t):
-    _, edges = supplier_graph(t)
+    edges = module_graph(t)[1]
     crashes = durable(tc.locate_crash(tc.parse_frames(t.traces()), t.modules()))
     return tr.crash_traversal(crashes, edges, gs.fan_in(edges))
 
@@ -256,21 +256,17 @@ def t17(t):
 @query("Q2_crash_diagnosis", f"""{HW}, {CONF} SELECT i.repo_id, i.trace_id, substr(sha256(trace), 1, 16) AS trace_hash, error_type, error_message, path, coalesce(line, 0) AS line, coalesce(confidence, 'low') AS confidence,
     {RUNTIME} AS needs_runtime_check FROM info i JOIN traces USING (repo_id, trace_id) LEFT JOIN located USING (repo_id, trace_id) LEFT JOIN conf USING (repo_id, trace_id)""")
 def q2(t):
-    _, edges = supplier_graph(t)
+    edges = module_graph(t)[1]
     return diagnosis.diagnose(t.traces(), t.modules(), edges)[1].withColumn("line", F.coalesce("line", F.lit(0)))
 
 
-PR_SQL = GRAPH + """, prs AS (SELECT DISTINCT 'repo' || (l_suppkey % 3) AS repo_id, l_orderkey AS pr_number,
-    'src/sup/s' || l_suppkey || CASE WHEN l_suppkey % 4 = 2 THEN '.js' ELSE '.ts' END AS path FROM lineitem WHERE l_orderkey % 20 = 0),
-sup_edges AS (SELECT * FROM edges WHERE src LIKE 'src/sup/%' OR src LIKE 'lib/%'),
-walk(repo_id, pr_number, path) AS (SELECT * FROM prs UNION SELECT w.repo_id, w.pr_number, e.src FROM walk w JOIN sup_edges e ON e.repo_id = w.repo_id AND e.dst = w.path),
-pr_files AS (SELECT repo_id, pr_number, path, CASE WHEN pr_number % 3 = 0 THEN 'pass' || 'word = "' || md5(path) || '"' ELSE 'x' END AS patch FROM prs)"""
+PR_SQL = f"WITH RECURSIVE {SUCCESSOR}, {PRS}" + """, pr_files AS (SELECT repo_id, pr_number, path, CASE WHEN pr_number % 3 = 0 THEN 'pass' || 'word = "' || md5(path) || '"' ELSE 'x' END AS patch FROM prs)"""
 
 
 @query("Q3_pr_impact", f"""{PR_SQL}, {ALERTS}, c AS (SELECT w.repo_id, w.pr_number, count(p.path) AS modified, count(*) - count(p.path) AS blast FROM walk w LEFT JOIN prs p USING (repo_id, pr_number, path) GROUP BY 1, 2),
   n AS (SELECT repo_id, pr_number, count(*) AS alerts FROM alerts GROUP BY 1, 2)
   SELECT repo_id, pr_number, modified, blast, CASE WHEN alerts > 0 THEN 'high' WHEN blast > 20 THEN 'critical' WHEN blast > 10 THEN 'high' WHEN blast > 3 THEN 'medium' ELSE 'low' END AS risk_level, coalesce(alerts, 0) AS alerts FROM c LEFT JOIN n USING (repo_id, pr_number)""")
 def q3(t):
-    nodes, edges = supplier_graph(t)
     patch = F.when(F.col("pr_number") % 3 == 0, F.concat(F.lit("pass"), F.lit('word = "'), F.md5("path"), F.lit('"'))).otherwise("x")
-    return pull_request.pr_impact(t.module_prs().withColumn("patch", patch), nodes, edges)[0]
+    return pull_request.pr_impact(
+        t.supplier_prs().withColumn("patch", patch), gs.union_nodes(t.successor_edges()), t.successor_edges())[0]

@@ -201,9 +201,13 @@ def crash_traversal(
     crashes: DataFrame, edges: DataFrame, fan_in_rows: DataFrame,
     max_depth: int = 3, max_nodes: int | None = 15,
 ) -> DataFrame:
-    """Files around a crash in both directions, with a relevance from distance and fan-in."""
-    keys = ["repo_id", "trace_id"]
-    start = crashes.select(*keys, F.col("path").alias("node"))
+    """Files around a crash in both directions, with a relevance from distance and fan-in.
+
+    The walk depends on the crash site only, so it runs once per distinct site, however many
+    traces end there, and the ranked files are joined to the traces last.
+    """
+    keys = ["repo_id", "site"]
+    start = durable(crashes.select("repo_id", F.col("path").alias("site")).distinct()).withColumn("node", F.col("site"))
 
     def side(reverse: bool, name: str) -> DataFrame:
         return (
@@ -213,18 +217,21 @@ def crash_traversal(
                     F.lit(name).alias("relationship"))
         )
 
-    site = start.distinct().select(*keys, F.col("node").alias("file"), F.lit(0).alias("distance"),
-                                   F.lit("crash_site").alias("relationship"))
+    site = start.select(*keys, F.col("node").alias("file"), F.lit(0).alias("distance"),
+                        F.lit("crash_site").alias("relationship"))
     fan = F.coalesce("fan_in", F.lit(0))
     relevance = F.when(F.col("relationship") == "crash_site", F.lit(1000.0)).otherwise(
         (F.lit(max_depth) - F.col("distance")) * (F.lit(1.0) + F.log(fan + 1.0)))
-    out = (
+    around = (
         site.unionByName(side(False, "downstream")).unionByName(side(True, "upstream"))
         .join(fan_in_rows.withColumnRenamed("path", "file"), ["repo_id", "file"], "left")
         .select(*keys, "file", "distance", fan.alias("fan_in"), "relationship", relevance.alias("relevance_score"))
     )
-    if max_nodes is None:
-        return out
-    order = Window.partitionBy(*keys).orderBy(
-        F.desc(F.round("relevance_score", 9)), "distance", "relationship", "file")
-    return out.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= max_nodes).drop("rn")
+    if max_nodes is not None:
+        order = Window.partitionBy(*keys).orderBy(
+            F.desc(F.round("relevance_score", 9)), "distance", "relationship", "file")
+        around = around.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= max_nodes).drop("rn")
+    return (
+        crashes.select("repo_id", "trace_id", F.col("path").alias("site")).join(around, keys)
+        .select("repo_id", "trace_id", "file", "distance", "fan_in", "relationship", "relevance_score")
+    )
