@@ -12,15 +12,19 @@ def fan_in(edges: DataFrame) -> DataFrame:
     return edges.groupBy("repo_id", F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("fan_in"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """In- and out-degree of every endpoint from one shuffle of the doubled edge list."""
+def _ends(edges: DataFrame) -> DataFrame:
+    """Both endpoints of every edge as (repo_id, path, efferent, afferent) rows of ones and zeros."""
     ends = F.array(
-        F.struct(F.col("src").alias("path"), F.lit(1).alias("o"), F.lit(0).alias("i")),
-        F.struct(F.col("dst").alias("path"), F.lit(0).alias("o"), F.lit(1).alias("i")),
-    )
-    return edges.select("repo_id", F.inline(ends)).groupBy("repo_id", "path").agg(
-        F.sum("o").alias("efferent"), F.sum("i").alias("afferent")
+        F.struct(F.col("src").alias("path"), F.lit(1).alias("efferent"), F.lit(0).alias("afferent")),
+        F.struct(F.col("dst").alias("path"), F.lit(0).alias("efferent"), F.lit(1).alias("afferent")),
     )
+    return edges.select("repo_id", F.inline(ends))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """In- and out-degree of every endpoint from one shuffle of the doubled edge list."""
+    return _ends(edges).groupBy("repo_id", "path").agg(
+        F.sum("efferent").alias("efferent"), F.sum("afferent").alias("afferent"))
 
 
 def union_nodes(edges: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def stability(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ca, ce, i = F.col("afferent"), F.col("efferent"), F.col("instability")
     zeros = nodes.select("repo_id", "path", F.lit(0).alias("efferent"), F.lit(0).alias("afferent"))
     return (
-        degrees(edges).unionByName(zeros).groupBy("repo_id", "path")
+        _ends(edges).unionByName(zeros).groupBy("repo_id", "path")
         .agg(F.sum("afferent").alias("afferent"), F.sum("efferent").alias("efferent"))
         .withColumn("instability", F.when(ca + ce == 0, F.lit(0.5)).otherwise(ce / (ca + ce)))
         .withColumn("label", F.when(i < 0.3, "stable").when(i > 0.7, "unstable").otherwise("balanced"))
@@ -110,9 +114,12 @@ def stability_plot(files: DataFrame, entries: DataFrame) -> DataFrame:
 
 def graph_quality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Is the graph of a repository worth drawing?"""
-    touched = degrees(edges).select("repo_id", "path", F.lit(True).alias("touched"))
-    per_repo = nodes.join(touched, ["repo_id", "path"], "left").groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("total_nodes"), F.count("touched").alias("connected")
+    marks = _ends(edges).select("repo_id", "path", F.lit(0).alias("is_node"), F.lit(1).alias("touched")).union(
+        nodes.select("repo_id", "path", F.lit(1), F.lit(0)))
+    per_repo = (
+        marks.groupBy("repo_id", "path").agg(F.max("is_node").alias("is_node"), F.max("touched").alias("touched"))
+        .filter("is_node = 1").groupBy("repo_id")
+        .agg(F.count(F.lit(1)).alias("total_nodes"), F.sum("touched").alias("connected"))
     )
     n_edges = edges.groupBy("repo_id").agg(F.count(F.lit(1)).alias("edge_count"))
     orphan, share = F.col("orphan_count"), F.col("connectedness")
