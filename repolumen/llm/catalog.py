@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secret_scan, simhash
-from .common import written
+from . import boilerplate, chat, class_lm, language_id, mixing, nearest, packing, quality, secret_scan, simhash
+from .common import held_out, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +75,41 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(docs, mixing.word_count(F.col("text")), mixing.letter_share(F.col("text")), keep_text=False)
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target",
                         (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
+
+
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 5, 0)
+    filters = language_id.learn(docs.filter(~out & F.col("doc_id").isNotNull()))
+    return language_id.predict(docs.select("doc_id", out.alias("held_out"), "text"), filters)
+
+
+@query
+def op5_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest.search(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = boilerplate.main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    marks = "<|im_end|><|im_start|>assistant ok"
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], turns.schema)
+    return chat.read_back(chat.examples(turns.union(more)))
+
+
+@query
+def op10_class_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 7, 2)
+    model = class_lm.learn(docs.filter(~out))
+    scored = class_lm.score(docs.select("doc_id", out.alias("held_out"), "text"), model)
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long")).withColumn("perplexity", perplexity)
