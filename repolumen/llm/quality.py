@@ -106,19 +106,21 @@ def base_failed(counts: str) -> Column:
 
 def language_references(counted: DataFrame, lang: str = "lang", counts: str = "counts", least_words: int = LEAST_WORDS,
                         wanted: Column | None = None) -> DataFrame:
-    """(language, ref_classes, ref_words): the histograms, as shares, of all documents of a language together.
+    """(language, ref_classes, ref_words): the mean histogram, as shares, of the documents of a language.
 
-    Documents that the plain rules reject, under the least number of words, or not ``wanted``, are left out.
+    Every document counts the same, so a few very long ones do not make the reference. Documents that the plain rules reject, under the least number of words, or not ``wanted``, are left out.
     A null language is ''.
     """
     used = counted.filter(~base_failed(counts) & (F.col(f"{counts}.n_words") >= least_words))
     used = used if wanted is None else used.filter(wanted)
-    used = used.select(F.coalesce(F.col(lang), F.lit("")).alias("language"), f"{counts}.classes", f"{counts}.words")
+    used = used.select(F.coalesce(F.col(lang), F.lit("")).alias("language"), *[
+        _shares(F.col(f"{counts}.{k}")).alias(k) for k in ("classes", "words")])
     lengths = {"classes": len(CLASSES), "words": 1 + max(map(len, COMMON_WORDS.values()))}
-    sums = used.groupBy("language").agg(*[
-        F.sum(F.get(F.col(k), F.lit(i))).alias(f"{k}{i}") for k, m in lengths.items() for i in range(m)])
-    return sums.select("language", *[
-        _shares(F.filter(F.array(*[F.col(f"{k}{i}") for i in range(m)]), lambda x: x.isNotNull())).alias(f"ref_{k}")
+    means = used.groupBy("language").agg(*[
+        F.avg(F.get(F.col(k), F.lit(i))).alias(f"{k}{i}") for k, m in lengths.items() for i in range(m)])
+    # a list shorter than the longest has no mean for the places that it lacks
+    return means.select("language", *[F.nullif(
+        F.filter(F.array(*[F.col(f"{k}{i}") for i in range(m)]), lambda x: x.isNotNull()), F.array().cast("array<double>")).alias(f"ref_{k}")
         for k, m in lengths.items()])
 
 
