@@ -328,7 +328,7 @@ COMMITS = """commit_rows AS (
   FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY l_orderkey, l_suppkey, o_custkey, o_orderdate),
 commit_ok AS (
   SELECT c.* FROM commit_rows c JOIN (SELECT repo_id, sha FROM commit_rows GROUP BY 1,2
-    HAVING count(*) < 300 AND count(*) FILTER (WHERE status <> 'removed') >= 2) USING (repo_id, sha) WHERE status <> 'removed'),
+    HAVING count(*) FILTER (WHERE status <> 'removed') >= 2) USING (repo_id, sha) WHERE status <> 'removed'),
 history_edges AS (SELECT 'repo' || (c_custkey % 4) AS repo_id, 'f' || c_custkey AS src, 'f' || (c_custkey + 1) AS dst FROM customer)"""
 
 DOC_FILES = """doc_files AS (

@@ -76,8 +76,7 @@ def a3(t):
     return gs.stability_zone_counts(gs.stability(*module_graph(t)))
 
 
-M_ENTRIES = f"""entries AS (SELECT repo_id, path FROM (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) rn
-  FROM ({boosted('module_files')}) WHERE role = 'entry') WHERE rn <= 5)"""
+M_ENTRIES = f"""entries AS (SELECT repo_id, path FROM ({boosted('module_files')}) WHERE role = 'entry')"""
 
 
 def module_entries(t):
@@ -231,17 +230,18 @@ def g2c(t):
 
 DEPTH = MG + f", {M_ENTRIES}" + """, present AS (SELECT e.repo_id, e.path FROM entries e JOIN nodes USING (repo_id, path)),
 start AS (SELECT * FROM present UNION SELECT repo_id, path FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY fan_in DESC, path) rn FROM fan) WHERE rn <= 5 AND repo_id NOT IN (SELECT repo_id FROM present)),
-walk(repo_id, path, depth) AS (SELECT repo_id, path, 0 FROM start UNION SELECT w.repo_id, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.repo_id = w.repo_id AND e.src = w.path WHERE w.depth < {max}),
-depths AS (SELECT repo_id, path, min(depth) AS depth FROM walk GROUP BY 1, 2)"""
+depths(repo_id, path, depth) USING KEY (repo_id, path) AS (SELECT repo_id, path, 0 FROM start UNION SELECT w.repo_id, e.dst, w.depth + 1 FROM depths w JOIN edges e ON e.repo_id = w.repo_id AND e.src = w.path
+  WHERE w.depth < {max} AND NOT EXISTS (SELECT 1 FROM recurring.depths r WHERE r.repo_id = e.repo_id AND r.path = e.dst))"""
+DEPTH_ALL = DEPTH.replace("w.depth < {max} AND ", "")
 
 
-@query("G3_bfs_depth", DEPTH.replace("{max}", "40") + " SELECT * FROM depths")
+@query("G3_bfs_depth", DEPTH_ALL + " SELECT * FROM depths")
 def g3(t):
     nodes, edges = module_graph(t)
-    return tr.bfs_depth(edges, nodes, module_entries(t), max_depth=None)
+    return tr.bfs_depth(edges, nodes, module_entries(t))
 
 
-@query("G3_layer_sizes", DEPTH.replace("{max}", "3") + " SELECT repo_id, depth, count(*) AS files FROM depths WHERE depth >= 1 GROUP BY 1, 2")
+@query("G3_layer_sizes", DEPTH_ALL + " SELECT repo_id, depth, count(*) AS files FROM depths WHERE depth >= 1 GROUP BY 1, 2")
 def g3b(t):
     nodes, edges = module_graph(t)
     return tr.layer_sizes(tr.bfs_depth(edges, nodes, module_entries(t)))
@@ -255,21 +255,27 @@ have AS (SELECT repo_id, count(*) AS have FROM depths GROUP BY 1),
 filled AS (SELECT * FROM depths UNION ALL SELECT repo_id, path, 4 FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY position, path) AS rn FROM ranked ANTI JOIN depths USING (repo_id, path)) LEFT JOIN have USING (repo_id) WHERE rn <= 60 - coalesce(have, 0))"""
 
 
-@query("G3_files_by_depth", DEPTH.replace("{max}", "3") + FILL + """ SELECT repo_id, path, depth FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY depth, path) rn FROM filled) WHERE rn <= 60""")
+@query("G3_files_by_depth", DEPTH_ALL + " SELECT * FROM depths")
 def g3c(t):
+    nodes, edges = module_graph(t)
+    return tr.files_by_depth(edges, nodes, module_entries(t))
+
+
+@query("G3_files_by_depth_first_60", DEPTH.replace("{max}", "3") + FILL + """ SELECT repo_id, path, depth FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY depth, path) rn FROM filled) WHERE rn <= 60""")
+def g3d(t):
     nodes, edges = module_graph(t)
     ranked = inv.top_files(inv.boost_entry_points(inv.classify_and_score(t.module_files())), 60)
-    return tr.files_by_depth(edges, nodes, module_entries(t), fallback=ranked)
+    return tr.files_by_depth(edges, nodes, module_entries(t), max_depth=3, max_nodes=60, fallback=ranked)
 
 
 @query("U5_fallback_fill", DEPTH.replace("{max}", "3") + FILL + " SELECT * FROM filled")
 def u5(t):
     nodes, edges = module_graph(t)
     ranked = inv.top_files(inv.boost_entry_points(inv.classify_and_score(t.module_files())), 60)
-    return tr.fallback_fill(tr.bfs_depth(edges, nodes, module_entries(t)), ranked, 60, 4)
+    return tr.fallback_fill(tr.bfs_depth(edges, nodes, module_entries(t), max_depth=3), ranked, 60, 4)
 
 
-@query("J7_entry_seeds", DEPTH.replace("{max}", "3") + " SELECT * FROM start")
+@query("J7_entry_seeds", DEPTH_ALL + " SELECT * FROM start")
 def j7(t):
     nodes, edges = module_graph(t)
     return tr.entry_seeds(nodes, module_entries(t), edges)
@@ -505,7 +511,7 @@ def s10(t):
 
 
 REPORT = (
-    MS + f", {M_ENTRIES}, " + DEPTH.replace("{max}", "40").split(f"{M_ENTRIES}, ", 1)[1] + ", "
+    MS + f", {M_ENTRIES}, " + DEPTH_ALL.split(f"{M_ENTRIES}, ", 1)[1] + ", "
     + pagerank_sql("edges", "nodes", 20) + f", ranks AS ({MINMAX}), " + HEALTH.replace("{cycles}", "0"))
 
 

@@ -14,7 +14,7 @@ DEPTH = "len(string_split(path, '/'))"
 SKIP = f"""(list_has_any(list_slice(string_split(path, '/'), 1, -2), {qlist(fixed.SKIP_DIRECTORIES)})
   OR regexp_matches(path, {q(any_pattern(fixed.SKIP_DIRECTORY_PATTERNS))})
   OR len(list_filter({qlist(fixed.SKIP_EXTENSIONS)}, lambda e: ends_with({NAME}, e))) > 0
-  OR regexp_matches(path, {q('(?i)' + any_pattern(fixed.SKIP_NAME_PATTERNS))}) OR coalesce(size > 50000, false))"""
+  OR regexp_matches(path, {q('(?i)' + any_pattern(fixed.SKIP_NAME_PATTERNS))}))"""
 IGNORED = f"""(len(list_filter({qlist(fixed.IGNORED_SUBSTRINGS)}, lambda e: contains(path, e))) > 0
   OR len(list_filter({qlist(fixed.IGNORED_EXTENSIONS)}, lambda e: ends_with(path, e))) > 0)"""
 STRENGTH = f"""CASE WHEN list_contains({qlist(fixed.STRONG_NODE_EXTENSIONS)}, {EXT}) THEN 'strong'
@@ -89,8 +89,7 @@ def f7(t):
     return inv.top_files(inv.boost_entry_points(inv.classify_and_score(t.files())))
 
 
-@query("F8_entry_points", WITH + f"""SELECT repo_id, path FROM (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) rn
-  FROM ({boosted('files')}) WHERE role = 'entry') WHERE rn <= 5""")
+@query("F8_entry_points", WITH + f"""SELECT repo_id, path FROM ({boosted('files')}) WHERE role = 'entry'""")
 def f8(t):
     return inv.entry_points(inv.boost_entry_points(inv.classify_and_score(t.files())))
 
@@ -208,11 +207,10 @@ def s3(t):
         F.col("lang").alias("repo_id"), path.alias("path"), F.col("text").alias("content")))
 
 
-@query("S4_upload_prioritize", WITH + f"""SELECT repo_id, path, CAST(d AS INTEGER) AS path_depth, CAST(rn AS INTEGER) AS rn FROM (
-  SELECT repo_id, path, d, row_number() OVER (PARTITION BY repo_id ORDER BY d, path) rn FROM (
+@query("S4_upload_prioritize", WITH + f"""SELECT repo_id, path, CAST(d AS INTEGER) AS path_depth FROM (
     SELECT repo_id, path, {DEPTH} AS d FROM file_contents
     WHERE NOT regexp_matches(path, {q(any_literal(fixed.UPLOAD_BLOCKED_DIRECTORIES))})
-      AND NOT regexp_matches(lower(path), {q(any_literal(fixed.UPLOAD_BLOCKED_EXTENSIONS) + chr(92) + 'z')}) AND regexp_matches(content, '\\S'))) WHERE rn <= 40""")
+      AND NOT regexp_matches(lower(path), {q(any_literal(fixed.UPLOAD_BLOCKED_EXTENSIONS) + chr(92) + 'z')}) AND regexp_matches(content, '\\S'))""")
 def s4(t):
     return inv.upload_prioritize(t.file_contents())
 

@@ -82,7 +82,7 @@ def w7(t):
     return rp.history_timeline(t.analyses(), prs)
 
 
-@query("W7_recent_history", AW + """, x AS (SELECT *, epoch(TIMESTAMP '2001-01-01 00:00:00') - CAST(floor(epoch(created_at)) AS BIGINT) AS age FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) rn FROM analyses) WHERE rn <= 50)
+@query("W7_recent_history", AW + """, x AS (SELECT *, epoch(TIMESTAMP '2001-01-01 00:00:00') - CAST(floor(epoch(created_at)) AS BIGINT) AS age FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) rn FROM analyses))
   SELECT user_id, id, repo_url, repo_name, created_at, CAST(rn AS INTEGER) AS rn, CASE WHEN age < 60 THEN 'just now' WHEN age < 3600 THEN CAST(floor(age / 60) AS BIGINT) || 'm ago'
     WHEN age < 86400 THEN CAST(floor(age / 3600) AS BIGINT) || 'h ago' ELSE CAST(floor(age / 86400) AS BIGINT) || 'd ago' END AS age FROM x WHERE contains(lower(repo_name), 'org3')""")
 def w7b(t):
@@ -113,6 +113,21 @@ def u6(t):
     return rp.invalidate_cache(a, a.filter("repo_name LIKE 'Org1/%'"), ["repo_url"])[0].select("id", "repo_url", "user_id")
 
 
+@query("U6_rewrite", AW + ", " + GONE[2:] + " SELECT id, repo_url, user_id, analysis_version FROM analyses ANTI JOIN gone USING (repo_url) WHERE analysis_version <> 2")
+def u6c(t):
+    """A whole partition and some rows of the others are deleted from a table on disk, which is then read back."""
+    path = shared_path(t.spark, "analyses")
+    t.analyses().write.partitionBy("analysis_version").parquet(path)
+    gone = t.spark.read.parquet(path).filter("analysis_version = 2 OR repo_name LIKE 'Org1/%'").select("id")
+    rp.rewrite_without(t.spark, path, gone, ["id"])
+    return t.spark.read.schema(t.analyses().schema).parquet(path).select("id", "repo_url", "user_id", "analysis_version")
+
+
+@query("W8_sliding_window_odd_span", SLIDE.format(n=2, s="100003 SECOND"))
+def w8c(t):
+    return rp.sliding_window_quota(t.raw("events").select("event_id", "user_id", "ts"), "user_id", 2, 100_003)
+
+
 @query("U6_invalidate_count", AW + """, k AS (SELECT DISTINCT repo_url, user_id FROM analyses WHERE user_id IN ('u1', 'u2') UNION SELECT 'none', 'u1') SELECT repo_url, user_id, count(id) AS deleted FROM k LEFT JOIN analyses USING (repo_url, user_id) GROUP BY 1, 2""")
 def u6b(t):
     a = t.analyses()
@@ -121,10 +136,10 @@ def u6b(t):
     return rp.invalidate_cache(a, keys, ["repo_url", "user_id"])[1]
 
 
-@query("J8_unseen_events", SW + """ SELECT DISTINCT event_id FROM sub_events WHERE event_id NOT IN (SELECT 'e' || event_id FROM events WHERE event_type = 'click')""")
+@query("J8_unseen_events", SW + """ SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, user_id, event, status) AS rn FROM sub_events) WHERE rn = 1 AND event_id NOT IN (SELECT 'e' || event_id FROM events WHERE event_type = 'click')""")
 def j8(t):
     seen = t.raw("events").filter("event_type = 'click'").select(F.concat(F.lit("e"), "event_id").alias("event_id"))
-    return rp.unseen_events(t.sub_events(), seen).select("event_id")
+    return rp.unseen_events(t.sub_events(), seen)
 
 
 @query("J2_fan_in_with_defaults", "SELECT c_custkey, coalesce(n, 0) AS orders, coalesce(total, 0) AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) ON o_custkey = c_custkey")

@@ -68,20 +68,20 @@ around AS (SELECT repo_id, site, file, distance, coalesce(fan_in, 0) AS fan_in,
   FROM (SELECT repo_id, site, site AS file, 0 AS distance, 'crash_site' AS relationship FROM sites
     UNION ALL SELECT * FROM (SELECT repo_id, site, file, min(distance) AS distance, 'downstream' FROM down GROUP BY 1, 2, 3) WHERE distance > 0
     UNION ALL SELECT * FROM (SELECT repo_id, site, file, min(distance) AS distance, 'upstream' FROM up GROUP BY 1, 2, 3) WHERE distance > 0) LEFT JOIN sfan USING (repo_id, file)),
-best AS MATERIALIZED (SELECT l.repo_id, l.trace_id, a.* EXCLUDE (rn, repo_id, site) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, site ORDER BY round(relevance_score, 9) DESC, distance, relationship, file) rn FROM around) a
-  JOIN located l ON l.repo_id = a.repo_id AND l.path = a.site WHERE rn <= 15)"""
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY repo_id, site ORDER BY round(relevance_score, 9) DESC, distance, relationship, file) rn FROM around),
+best AS MATERIALIZED (SELECT l.repo_id, l.trace_id, a.* EXCLUDE (repo_id, site) FROM ranked a JOIN located l ON l.repo_id = a.repo_id AND l.path = a.site WHERE rn <= 10)"""
 GW = GRAPH + ", " + ", ".join([TRACES, FRAMES, LOCATE, CRASH, WALK])
 
 
 def around(t):
     edges = module_graph(t)[1]
     crashes = durable(tc.locate_crash(tc.parse_frames(t.traces()), t.modules()))
-    return tr.crash_traversal(crashes, edges, gs.fan_in(edges))
+    return crashes, tr.site_traversal(crashes, edges, gs.fan_in(edges))
 
 
-@query("G9_crash_traversal", GW + " SELECT * REPLACE (round(relevance_score, 6) AS relevance_score) FROM best")
+@query("G9_crash_traversal", GW + " SELECT * REPLACE (round(relevance_score, 6) AS relevance_score) FROM around")
 def g9(t):
-    return around(t).withColumn("relevance_score", F.round("relevance_score", 6))
+    return around(t)[1].withColumn("relevance_score", F.round("relevance_score", 6))
 
 
 BONUS = """scored AS (SELECT b.* EXCLUDE (relevance_score), error_type, relevance_score
@@ -93,22 +93,25 @@ BONUS = """scored AS (SELECT b.* EXCLUDE (relevance_score), error_type, relevanc
 HW = f"{GW}, {INFO}, {BONUS}"
 
 
-def scored(t):
-    return tc.debug_heuristics(around(t).join(tc.extract_error_info(t.traces()), ["repo_id", "trace_id"]))
-
-
-@query("T4_debug_heuristics", HW + " SELECT repo_id, trace_id, file, relationship, round(relevance_score, 6) AS relevance_score FROM scored")
+@query("T4_debug_heuristics", f"{GW}, {INFO}, pairs AS (SELECT a.*, error_type FROM around a JOIN (SELECT DISTINCT repo_id, path AS site, error_type FROM located JOIN info USING (repo_id, trace_id)) USING (repo_id, site)), "
+       + BONUS.replace(" JOIN info USING (repo_id, trace_id)", "").replace("EXCLUDE (relevance_score), error_type,", "EXCLUDE (relevance_score),").replace("FROM best b", "FROM pairs b")
+       + " SELECT repo_id, site, error_type, file, relationship, round(relevance_score, 6) AS relevance_score FROM scored")
 def t4(t):
-    return scored(t).select("repo_id", "trace_id", "file", "relationship", F.round("relevance_score", 6).alias("relevance_score"))
+    crashes, near = around(t)
+    kinds = crashes.join(tc.extract_error_info(t.traces()), ["repo_id", "trace_id"]).select(
+        "repo_id", F.col("path").alias("site"), "error_type").distinct()
+    return tc.debug_heuristics(near.join(kinds, ["repo_id", "site"])).select(
+        "repo_id", "site", "error_type", "file", "relationship", F.round("relevance_score", 6).alias("relevance_score"))
 
 
-CONF = """conf AS (SELECT repo_id, trace_id, CASE WHEN n <= 1 THEN 'low' WHEN CAST(up AS DOUBLE) / n >= 0.3 AND CAST(busy AS DOUBLE) / n >= 0.2 THEN 'high' WHEN up >= 1 THEN 'medium' ELSE 'low' END AS confidence
-  FROM (SELECT repo_id, trace_id, count(*) AS n, count(*) FILTER (WHERE relationship = 'upstream') AS up, count(*) FILTER (WHERE fan_in > 5) AS busy FROM best GROUP BY 1, 2))"""
+CONF = """conf AS (SELECT l.repo_id, trace_id, confidence FROM located l JOIN (SELECT repo_id, site, CASE WHEN n <= 1 THEN 'low' WHEN CAST(up AS DOUBLE) / n >= 0.3 AND CAST(busy AS DOUBLE) / n >= 0.2 THEN 'high' WHEN up >= 1 THEN 'medium' ELSE 'low' END AS confidence
+  FROM (SELECT repo_id, site, count(*) AS n, count(*) FILTER (WHERE relationship = 'upstream') AS up, count(*) FILTER (WHERE fan_in > 5) AS busy FROM around GROUP BY 1, 2)) c ON c.repo_id = l.repo_id AND c.site = l.path)"""
 
 
 @query("T5_confidence", f"{GW}, {CONF} SELECT * FROM conf")
 def t5(t):
-    return tc.confidence(around(t))
+    crashes, near = around(t)
+    return tr.by_trace(crashes, tc.confidence(near))
 
 
 RUNTIME = f"regexp_matches(error_type || ' ' || error_message, {q('(?i)' + any_pattern(fixed.RUNTIME_WORDS_ANY_CASE))}) OR regexp_matches(error_type || ' ' || error_message, {q(any_literal(fixed.RUNTIME_WORDS))})"
@@ -120,13 +123,14 @@ def t6(t):
         "trace_id", tc.requires_runtime_check(F.col("error_type"), F.col("error_message")).alias("needs_runtime_check"))
 
 
-BUDGET = """budget AS (SELECT repo_id, trace_id, file, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, trace_id ORDER BY round(relevance_score, 9) DESC, distance, relationship, file) rn FROM scored)
-  WHERE rn <= CASE error_type WHEN 'TypeError' THEN 5 WHEN 'ReferenceError' THEN 5 WHEN 'SyntaxError' THEN 3 WHEN 'RangeError' THEN 4 ELSE 10 END)"""
+BUDGET = """budget AS (SELECT repo_id, trace_id, file, relationship, CAST(rn AS INTEGER) AS rn, round(relevance_score, 6) AS relevance_score FROM scored WHERE rn <= CASE error_type WHEN 'TypeError' THEN 5 WHEN 'ReferenceError' THEN 5 WHEN 'SyntaxError' THEN 3 WHEN 'RangeError' THEN 4 ELSE 10 END)"""
 
 
 @query("T7_context_budget", f"{HW}, {BUDGET} SELECT * FROM budget")
 def t7(t):
-    return tc.context_budget(scored(t)).select("repo_id", "trace_id", "file", "rn")
+    crashes, near = around(t)
+    return tc.context_budget(near, crashes, tc.extract_error_info(t.traces())).select(
+        "repo_id", "trace_id", "file", "relationship", "rn", F.round("relevance_score", 6).alias("relevance_score"))
 
 
 SNIP = """array_to_string(list_transform(list_slice(ls, s0 + 1, greatest(e, 0)), lambda x, i: CASE WHEN s0 + i = line THEN '>>> ' ELSE '    ' END

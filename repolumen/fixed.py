@@ -24,7 +24,6 @@ SKIP_DIRECTORY_PATTERNS = [
     r"__mocks__", r"__fixtures__", r"/__tests__/", r"/\.storybook/", r"/storybook/",
     r"/migrations/", r"/seeds?/", r"/snapshots?/", r"/\.github/", r"/\.husky/", r"/scripts/generated/",
 ]
-MAX_FILE_BYTES = 50_000
 LARGE_FILE_BYTES = 15_000
 
 IGNORED_SUBSTRINGS = [

@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_half_up
 
 
+#: Files of one commit that are paired with the others in one task.
+FILES_PER_SHARE = 256
+
+
 def commit_pairs(commit_files: DataFrame) -> DataFrame:
     """Unordered file pairs of each commit.
 
-    A commit holds fewer than 300 files once it has passed ``scan_commits``, so its pairs are
-    bounded; the many commits of a hub file spread over the hash of (repo_id, sha).
+    The many commits of a hub file spread over the hash of (repo_id, sha). A mass commit is dealt in shares: each of
+    its files stands on the left in one share and on the right in all, so its pairs are made by many tasks.
     """
     files = commit_files.select("repo_id", "sha", "path").distinct()
-    return (
-        files.withColumnRenamed("path", "a").join(files.withColumnRenamed("path", "b"), ["repo_id", "sha"])
-        .filter(F.col("a") < F.col("b")).select("repo_id", "sha", "a", "b")
-    )
+    shares = files.groupBy("repo_id", "sha").agg(F.ceil(F.count(F.lit(1)) / FILES_PER_SHARE).cast("int").alias("shares"))
+    dealt = files.join(shares, ["repo_id", "sha"])
+    left = dealt.select("repo_id", "sha", F.col("path").alias("a"), F.pmod(F.xxhash64("path"), "shares").cast("int").alias("share"))
+    right = dealt.select("repo_id", "sha", F.col("path").alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    return left.join(right, ["repo_id", "sha", "share"]).filter(F.col("a") < F.col("b")).select("repo_id", "sha", "a", "b")
 
 
 def pair_counts(commit_files: DataFrame, min_count: int = 1) -> DataFrame:

@@ -15,13 +15,15 @@ from ..functions.columns import (
 )
 
 
-def should_skip_file(path: Column, size: Column, max_bytes: int = fixed.MAX_FILE_BYTES) -> Column:
+def should_skip_file(path: Column, size: Column, max_bytes: int | None = None) -> Column:
+    """By name; by size only where a limit is given."""
+    too_large = F.lit(False) if max_bytes is None else F.coalesce(size > max_bytes, F.lit(False))
     return (
         path.rlike("(?:^|/)" + any_literal(fixed.SKIP_DIRECTORIES) + "/")
         | path.rlike(any_pattern(fixed.SKIP_DIRECTORY_PATTERNS))
         | path.rlike(any_literal(fixed.SKIP_EXTENSIONS) + r"\z")
         | path.rlike("(?i)" + any_pattern(fixed.SKIP_NAME_PATTERNS))
-        | F.coalesce(size > max_bytes, F.lit(False))
+        | too_large
     )
 
 
@@ -48,11 +50,11 @@ def is_config_file(path: Column) -> Column:
     return path.rlike(fixed.CONFIG_FILE_PATTERN)
 
 
-def filter_files(files: DataFrame, max_bytes: int = fixed.MAX_FILE_BYTES) -> DataFrame:
+def filter_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return files.filter(~should_skip_file(F.col("path"), F.col("size"), max_bytes))
 
 
-def filter_graph_files(files: DataFrame, max_bytes: int = fixed.MAX_FILE_BYTES) -> DataFrame:
+def filter_graph_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return filter_files(files, max_bytes).filter(graph_node_strength(F.col("path")) != "none")
 
 
@@ -111,27 +113,25 @@ def top_files(scored: DataFrame, limit: int = 30, max_entries: int = 8) -> DataF
     )
 
 
-def entry_points(scored: DataFrame, k: int = 5) -> DataFrame:
+def entry_points(scored: DataFrame, k: int | None = None) -> DataFrame:
+    """Every entry file; with ``k`` the first by path of each repository."""
+    entries = scored.filter(F.col("role") == "entry")
+    if k is None:
+        return entries.select("repo_id", "path")
     first = Window.partitionBy("repo_id").orderBy("path")
-    return (
-        scored.filter(F.col("role") == "entry")
-        .withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= k)
-        .select("repo_id", "path")
-    )
+    return entries.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= k).select("repo_id", "path")
 
 
-def upload_prioritize(contents: DataFrame, k: int = 40) -> DataFrame:
-    """Archive intake: drop blocked and blank files, keep the ``k`` shallowest per repository."""
+def upload_prioritize(contents: DataFrame, k: int | None = None) -> DataFrame:
+    """Archive intake: drop blocked and blank files; with ``k`` keep the shallowest of each repository."""
     path = F.col("path")
     blocked = path.rlike(any_literal(fixed.UPLOAD_BLOCKED_DIRECTORIES)) | F.lower(path).rlike(
         any_literal(fixed.UPLOAD_BLOCKED_EXTENSIONS) + r"\z"
     )
     shallow = Window.partitionBy("repo_id").orderBy("path_depth", "path")
-    return (
-        contents.filter(~blocked & F.col("content").rlike(r"\S"))
-        .select("repo_id", "path", depth(path).cast("int").alias("path_depth"))
-        .withColumn("rn", F.row_number().over(shallow)).filter(F.col("rn") <= k)
-    )
+    kept = contents.filter(~blocked & F.col("content").rlike(r"\S")).select(
+        "repo_id", "path", depth(path).cast("int").alias("path_depth"))
+    return kept if k is None else kept.withColumn("rn", F.row_number().over(shallow)).filter(F.col("rn") <= k).drop("rn")
 
 
 # --- repository type ---------------------------------------------------------

@@ -1,11 +1,12 @@
 """Operations reporting: latest rows, cache state, usage, quotas, feedback, history, subscriptions."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed, schemas
 from ..functions.columns import round_half_up
+from ..session import land
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -44,11 +45,24 @@ def invalidate_cache(analyses: DataFrame, keys: DataFrame, by: list[str]) -> tup
     return analyses.join(wanted, by, "left_anti"), deleted
 
 
-def rewrite_without(analyses: DataFrame, keys: DataFrame, by: list[str], path: str) -> None:
-    """Write the remaining rows as the next version of the table, only the partitions concerned."""
-    remaining, _ = invalidate_cache(analyses, keys, by)
-    (remaining.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("analysis_version").parquet(path))
+def rewrite_without(spark: SparkSession, path: str, keys: DataFrame, by: list[str], partition: str = "analysis_version") -> None:
+    """Delete the keys from the table at ``path``: only partitions that hold one are written anew.
+
+    What remains of these is written aside first and then replaces them; partitions of which nothing remains go.
+    """
+    table = spark.read.parquet(path)
+    concerned = [r[0] for r in table.join(keys.select(*by).distinct(), by, "left_semi").select(partition).distinct().collect()]
+    if not concerned:
+        return
+    part = table.filter(F.col(partition).isin(concerned))
+    aside = land(invalidate_cache(part, keys, by)[0], "remaining")
+    remaining = spark.read.schema(table.schema).parquet(aside)
+    left = {r[0] for r in remaining.select(partition).distinct().collect()}
+    (remaining.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+    for value in concerned:
+        if value not in left:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={value}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def group_by_repo(analyses: DataFrame) -> DataFrame:
@@ -120,8 +134,8 @@ def history_timeline(repo_scans: DataFrame, pr_scans: DataFrame) -> DataFrame:
     return repos.unionByName(prs)
 
 
-def recent_history(analyses: DataFrame, as_of: Column, search: str = "", limit: int = 50) -> DataFrame:
-    """Each user's latest ``limit`` analyses, then the name search over them, with their age in words."""
+def recent_history(analyses: DataFrame, as_of: Column, search: str = "", limit: int | None = None) -> DataFrame:
+    """The name search over each user's analyses, or over the latest ``limit``, with their rank by time and age in words."""
     age = F.unix_timestamp(as_of) - F.unix_timestamp("created_at")
     words = (
         F.when(age < 60, "just now").when(age < 3600, F.concat(F.floor(age / 60), F.lit("m ago")))
@@ -130,7 +144,7 @@ def recent_history(analyses: DataFrame, as_of: Column, search: str = "", limit:
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
     return (
         analyses.select("user_id", "id", "repo_url", "repo_name", "created_at")
-        .withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= limit)
+        .withColumn("rn", F.row_number().over(newest)).filter(F.lit(True) if limit is None else F.col("rn") <= limit)
         .filter(F.lower("repo_name").contains(search.lower())).withColumn("age", words)
     )
 
@@ -138,35 +152,39 @@ def recent_history(analyses: DataFrame, as_of: Column, search: str = "", limit:
 def sliding_window_quota(events: DataFrame, key: str, n: int, span_seconds: int, slices: int = 60) -> DataFrame:
     """Events with the number of events of the same key in the span ending at them, and whether that exceeds ``n``.
 
-    The span is cut into slices, so the sorting of a hot key is split over them. For an event of
-    slice s the count is exact: the events of its own slice up to it, all of the ``slices`` slices
-    before, minus those of the oldest one that have left the window. The latter are the events
-    of slice s - slices moved forward by one span, sorted together with the own ones.
+    The time line is cut into slices, so the sorting of a hot key is split over them. An event counts from its own
+    time on and leaves one span later, so every event stands twice, as a coming and as a leaving, each in the slice of
+    its own time. The count at an event is exact for any span: the comings less the leavings of all slices before, and
+    those of its own slice up to it.
     """
     span = span_seconds * 1_000_000
-    width = span // slices
+    width = max(1, span // slices)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    own = events.select("*", micros.alias("pos"), F.floor(micros / width).alias("slice"), F.lit(1).alias("own"))
-    moved = own.withColumns({"pos": F.col("pos") + span, "slice": F.col("slice") + slices, "own": F.lit(0)})
+    coming = events.select("*", micros.alias("pos"), F.lit(1).alias("own"))
+    leaving = coming.withColumns({"pos": F.col("pos") + span, "own": F.lit(0)})
+    both = coming.unionByName(leaving).withColumn("slice", F.floor(F.col("pos") / width))
     order = Window.partitionBy(key, "slice").orderBy("pos")
     upto, before = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(Window.unboundedPreceding, -1)
-    counts = own.groupBy(key, "slice").agg(F.count(F.lit(1)).alias("n"))
-    # a slice knows the sum of the slices before it, also where it has no event of its own before
-    earlier = counts.withColumn("n_before", F.coalesce(
-        F.sum("n").over(Window.partitionBy(key).orderBy("slice").rangeBetween(-slices, -1)), F.lit(0))).drop("n")
+    # one row per slice that has an event: what is inside when the slice begins
+    net = both.groupBy(key, "slice").agg(F.sum(2 * F.col("own") - 1).alias("net"))
+    inside = net.withColumn("inside", F.coalesce(
+        F.sum("net").over(Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("net")
     return (
-        own.unionByName(moved)
-        .withColumns({"own_upto": F.sum("own").over(upto), "left": F.coalesce(F.sum(1 - F.col("own")).over(before), F.lit(0))})
+        both.withColumns({"own_upto": F.sum("own").over(upto), "left": F.coalesce(F.sum(1 - F.col("own")).over(before), F.lit(0))})
         .filter(F.col("own") == 1)
-        .join(earlier, [key, "slice"])
-        .withColumn("n_in_window", F.col("own_upto") + F.col("n_before") - F.col("left"))
+        .join(inside, [key, "slice"])
+        .withColumn("n_in_window", F.col("inside") + F.col("own_upto") - F.col("left"))
         .withColumn("exceeded", F.col("n_in_window") > n)
         .select(*events.columns, "n_in_window", "exceeded")
     )
 
 
 def unseen_events(events: DataFrame, seen: DataFrame) -> DataFrame:
-    return events.dropDuplicates(["event_id"]).join(seen.select("event_id"), "event_id", "left_anti")
+    """Of every event id not seen before, the earliest row; ties go by the other columns in order."""
+    others = [c for c in events.columns if c not in ("event_id", "ts")]
+    first = events.groupBy("event_id").agg(F.min(F.struct("ts", *others)).alias("e"))
+    return first.join(seen.select("event_id"), "event_id", "left_anti").select(
+        *[F.col("event_id") if c == "event_id" else F.col(f"e.{c}").alias(c) for c in events.columns])
 
 
 # --- subscriptions -----------------------------------------------------------------

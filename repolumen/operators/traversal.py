@@ -139,8 +139,8 @@ def entry_seeds(nodes: DataFrame, entries: DataFrame, edges: DataFrame, k: int =
     return present.unionByName(busiest)
 
 
-def bfs_depth(edges: DataFrame, nodes: DataFrame, entries: DataFrame, max_depth: int | None = 3) -> DataFrame:
-    """(repo_id, path, depth) of everything within ``max_depth`` imports of the entry points."""
+def bfs_depth(edges: DataFrame, nodes: DataFrame, entries: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(repo_id, path, depth) of everything that the entry points import, within ``max_depth`` steps if given."""
     seeds = entry_seeds(nodes, entries, edges).withColumnRenamed("path", "node")
     return expand(seeds, edges, ["repo_id"], max_depth=max_depth).select(
         "repo_id", F.col("node").alias("path"), "depth")
@@ -166,9 +166,12 @@ def fallback_fill(chosen: DataFrame, ranked: DataFrame, quota: int, depth: int)
 
 def files_by_depth(
     edges: DataFrame, nodes: DataFrame, entries: DataFrame,
-    max_depth: int = 3, max_nodes: int | None = 60, fallback: DataFrame | None = None,
+    max_depth: int | None = None, max_nodes: int | None = None, fallback: DataFrame | None = None,
 ) -> DataFrame:
-    """File selection by import depth, filled from a ranking up to ``max_nodes`` per repository."""
+    """File selection by import depth; with ``max_nodes`` filled from a ranking, or cut, to so many per repository.
+
+    Files from the ranking count as one step beyond ``max_depth``, which a fallback therefore needs.
+    """
     chosen = bfs_depth(edges, nodes, entries, max_depth)
     if max_nodes is None:
         return chosen
@@ -197,21 +200,21 @@ def dead_code_score(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> D
     )
 
 
-def crash_traversal(
-    crashes: DataFrame, edges: DataFrame, fan_in_rows: DataFrame,
-    max_depth: int = 3, max_nodes: int | None = 15,
+def site_traversal(
+    crashes: DataFrame, edges: DataFrame, fan_in_rows: DataFrame, reach: int = 3, max_nodes: int | None = None,
 ) -> DataFrame:
-    """Files around a crash in both directions, with a relevance from distance and fan-in.
+    """(repo_id, site, file, …): files around each distinct crash site in both directions.
 
-    The walk depends on the crash site only, so it runs once per distinct site, however many
-    traces end there, and the ranked files are joined to the traces last.
+    Relevance falls with the distance, to nothing at ``reach`` steps, where the walk ends, and grows with the fan-in.
+    The walk depends on the site only, so it runs once however many traces end there; all that follows from it alone
+    (ranks, shares) is computed per site too and joined to the traces last.
     """
     keys = ["repo_id", "site"]
     start = durable(crashes.select("repo_id", F.col("path").alias("site")).distinct()).withColumn("node", F.col("site"))
 
     def side(reverse: bool, name: str) -> DataFrame:
         return (
-            expand(start, edges, keys, reverse=reverse, max_depth=max_depth)
+            expand(start, edges, keys, reverse=reverse, max_depth=reach)
             .filter(F.col("depth") > 0)
             .select(*keys, F.col("node").alias("file"), F.col("depth").alias("distance"),
                     F.lit(name).alias("relationship"))
@@ -221,17 +224,22 @@ def crash_traversal(
                         F.lit("crash_site").alias("relationship"))
     fan = F.coalesce("fan_in", F.lit(0))
     relevance = F.when(F.col("relationship") == "crash_site", F.lit(1000.0)).otherwise(
-        (F.lit(max_depth) - F.col("distance")) * (F.lit(1.0) + F.log(fan + 1.0)))
+        (F.lit(reach) - F.col("distance")) * (F.lit(1.0) + F.log(fan + 1.0)))
     around = (
         site.unionByName(side(False, "downstream")).unionByName(side(True, "upstream"))
         .join(fan_in_rows.withColumnRenamed("path", "file"), ["repo_id", "file"], "left")
         .select(*keys, "file", "distance", fan.alias("fan_in"), "relationship", relevance.alias("relevance_score"))
     )
-    if max_nodes is not None:
-        order = Window.partitionBy(*keys).orderBy(
-            F.desc(F.round("relevance_score", 9)), "distance", "relationship", "file")
-        around = around.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= max_nodes).drop("rn")
-    return (
-        crashes.select("repo_id", "trace_id", F.col("path").alias("site")).join(around, keys)
-        .select("repo_id", "trace_id", "file", "distance", "fan_in", "relationship", "relevance_score")
-    )
+    return around if max_nodes is None else most_relevant(around, max_nodes).drop("rn")
+
+
+def most_relevant(around: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most relevant files of each site with their rank ``rn``."""
+    order = Window.partitionBy("repo_id", "site").orderBy(
+        F.desc(F.round("relevance_score", 9)), "distance", "relationship", "file")
+    return around.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n)
+
+
+def by_trace(crashes: DataFrame, per_site: DataFrame) -> DataFrame:
+    """What is known of each site for every trace that ends there."""
+    return crashes.select("repo_id", "trace_id", F.col("path").alias("site")).join(per_site, ["repo_id", "site"]).drop("site")

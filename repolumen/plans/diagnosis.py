@@ -12,13 +12,13 @@ def diagnose(traces: DataFrame, files: DataFrame, edges: DataFrame) -> tuple[Dat
     """(context, summary): the files to look at per trace, and one row per trace."""
     info = t.extract_error_info(traces)
     crashes = durable(t.locate_crash(t.parse_frames(traces), files))
-    around = traversal.crash_traversal(crashes, edges, graph_stats.fan_in(edges))
-    scored = durable(t.debug_heuristics(around.join(info, ["repo_id", "trace_id"])))
-    context = t.context_budget(scored)
+    around = durable(traversal.site_traversal(crashes, edges, graph_stats.fan_in(edges)))
+    context = t.context_budget(around, crashes, info)
+    sure = traversal.by_trace(crashes, t.confidence(around))
     summary = (
         info.join(traces.select("repo_id", "trace_id", t.trace_hash(F.col("trace")).alias("trace_hash")), ["repo_id", "trace_id"])
         .join(crashes.select("repo_id", "trace_id", "path", "line"), ["repo_id", "trace_id"], "left")
-        .join(t.confidence(scored), ["repo_id", "trace_id"], "left")
+        .join(sure, ["repo_id", "trace_id"], "left")
         .select("repo_id", "trace_id", "trace_hash", "error_type", "error_message", "path", "line",
                 F.coalesce("confidence", F.lit("low")).alias("confidence"),
                 t.requires_runtime_check(F.col("error_type"), F.col("error_message")).alias("needs_runtime_check"))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-MAX_COMMIT_FILES = 300
-
 
 def read_landed(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """Parquet, ORC, JSON or CSV with a given schema; broken JSON rows land in ``_corrupt_record``."""
@@ -68,18 +66,20 @@ def explode_commits(commits: DataFrame) -> DataFrame:
         "repo_id", "sha", "committed_at", "author", F.col("filename").alias("path"), "status")
 
 
-def scan_commits(commit_files: DataFrame, max_commits: int | None = None) -> DataFrame:
-    """Commits fit for co-change mining: fewer than 300 listed files, removed files left out, at
-    least two files remaining; optionally only the newest ``max_commits`` per repository.
+def scan_commits(commit_files: DataFrame, max_commits: int | None = None, max_files: int | None = None) -> DataFrame:
+    """Commits fit for co-change mining: removed files left out, at least two files remaining.
 
-    The cut at 300 is the rule of the history format: a longer list arrives truncated.
+    Optionally only the newest ``max_commits`` per repository, and only commits that list fewer than ``max_files``
+    files, for sources that truncate longer lists.
     """
     kept = F.col("status") != "removed"
     fit = (
         commit_files.groupBy("repo_id", "sha", "committed_at")
         .agg(F.count(F.lit(1)).alias("listed"), F.count_if(kept).alias("left"))
-        .filter((F.col("listed") < MAX_COMMIT_FILES) & (F.col("left") >= 2))
+        .filter(F.col("left") >= 2)
     )
+    if max_files is not None:
+        fit = fit.filter(F.col("listed") < max_files)
     if max_commits is not None:
         newest = Window.partitionBy("repo_id").orderBy(F.desc("committed_at"), F.desc("sha"))
         fit = fit.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= max_commits)

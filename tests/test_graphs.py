@@ -243,10 +243,10 @@ def test_dead_code(spark):
 def test_crash_traversal(spark):
     nodes, edges = graph(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("z", "a"), ("b", "a")])
     crash = spark.createDataFrame([("r", "t", "a")], "repo_id string, trace_id string, path string")
-    out = tr.crash_traversal(crash, edges, gs.fan_in(edges))
+    out = tr.by_trace(crash, tr.site_traversal(crash, edges, gs.fan_in(edges)))
     assert rows(out, "file", "relationship", "distance") == [
         ("a", "crash_site", 0), ("b", "downstream", 1), ("b", "upstream", 1), ("c", "downstream", 2), ("d", "downstream", 3), ("z", "upstream", 1)]
-    assert tr.crash_traversal(crash, edges, gs.fan_in(edges), max_nodes=2).count() == 2
+    assert tr.site_traversal(crash, edges, gs.fan_in(edges), max_nodes=2).count() == 2
 
 
 def test_severity_bands(spark):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from repolumen.operators import imports as imp, inventory as inv
+from repolumen.operators import cochange, imports as imp, inventory as inv
 from repolumen.sources import landed
 
 SKIPPED = [
@@ -19,7 +19,7 @@ def files(spark, rows_):
 
 def test_skip_rules(spark):
     df = files(spark, [(p, 10) for p in SKIPPED + KEPT] + [("lib/big.ts", 100_000), ("lib/small.ts", 1_000)])
-    kept = {p for (p,) in rows(inv.filter_files(df), "path")}
+    kept = {p for (p,) in rows(inv.filter_files(df, max_bytes=50_000), "path")}
     assert kept == set(KEPT) | {"lib/small.ts"}
 
 
@@ -120,7 +120,11 @@ def test_commit_scan(spark):
     small = [("r", "ok", "a", "modified"), ("r", "ok", "b", "renamed"), ("r", "ok", "c", "removed"), ("r", "one", "a", "modified"), ("r", "one", "b", "removed")]
     df = spark.createDataFrame(big + small, "repo_id string, sha string, path string, status string").withColumns(
         {"committed_at": F.lit("2024-01-01").cast("timestamp"), "author": F.lit("x")})
-    assert rows(landed.scan_commits(df), "sha", "path") == [("ok", "a"), ("ok", "b")]
+    assert rows(landed.scan_commits(df, max_files=300), "sha", "path") == [("ok", "a"), ("ok", "b")]
+    assert landed.scan_commits(df).count() == 302
+    # the pairs of a mass commit are made in shares, each once
+    pairs = cochange.commit_pairs(landed.scan_commits(df).withColumn("repo_id", F.lit("r")))
+    assert pairs.count() == pairs.distinct().count() == 300 * 299 // 2 + 1
 
 
 def test_repo_urls(spark):

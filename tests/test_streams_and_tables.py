@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -73,8 +74,29 @@ def test_append_and_rewrite(spark, tmp_path):
     keys = spark.createDataFrame([("url1", "u"), ("gone", "u")], "repo_url string, user_id string")
     remaining, deleted = rp.invalidate_cache(table, keys, ["repo_url", "user_id"])
     assert rows(deleted, "repo_url", "deleted") == [("gone", 0), ("url1", 2)]
-    rp.rewrite_without(table, keys, ["repo_url"], str(tmp_path / "next"))
-    assert spark.read.parquet(str(tmp_path / "next")).count() == remaining.count() == 4
+    before = {f.name for f in (tmp_path / "analyses" / "analysis_version=2").iterdir()}
+    one = spark.createDataFrame([(10,)], "id int")
+    rp.rewrite_without(spark, path, one, ["id"])
+    assert {f.name for f in (tmp_path / "analyses" / "analysis_version=2").iterdir()} == before  # not written anew
+    assert rows(spark.read.parquet(path), "id") == [(11,), (12,), (20,), (21,), (22,)]
+    rp.rewrite_without(spark, path, spark.createDataFrame([(11,), (12,), (21,), (99,)], "id int"), ["id"])
+    assert rows(spark.read.parquet(path), "id", "analysis_version") == [(20, 2), (22, 2)]  # a whole partition is gone
+
+
+def test_first_row_of_each_unseen_event(spark):
+    e = spark.createDataFrame([("a", "u2", 5), ("a", "u1", 5), ("a", "u9", 7), ("b", "x", 1), ("c", "y", 2)], "event_id string, user_id string, ts int")
+    seen = spark.createDataFrame([("c",)], "event_id string")
+    assert rows(rp.unseen_events(e, seen), "event_id", "user_id", "ts") == [("a", "u1", 5), ("b", "x", 1)]
+
+
+def test_sliding_windows_of_any_span(spark):
+    rng = random.Random(8)
+    for span in (7, 10, 61):
+        at = sorted(rng.choice([0, 5, -5]) + rng.randint(0, 40) * span * 1_000_000 // rng.choice([1, 2, 60, 61]) for _ in range(150))
+        df = spark.createDataFrame([(i, "k" if i % 5 else "j", t) for i, t in enumerate(at)], "id int, user string, us bigint").withColumn("ts", F.timestamp_micros("us"))
+        got = {r["id"]: r["n_in_window"] for r in rp.sliding_window_quota(df, "user", 3, span).collect()}
+        for i, t in enumerate(at):
+            assert got[i] == sum(bool(j % 5) == bool(i % 5) and t - span * 1_000_000 <= x <= t for j, x in enumerate(at)), (span, i)
 
 
 def test_cache_of_anonymous_users(spark):
