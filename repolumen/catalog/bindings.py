@@ -157,7 +157,8 @@ class Tables:
         q = F.col("l_quantity").cast("bigint") % 5
         p = F.col("l_partkey")
         body = (
-            F.when(q == 0, F.concat(F.lit("function f"), p, F.lit("(x) {\n  return x;\n  log(x);\n}")))
+            F.when((q == 0) & (p % 2 == 0), F.concat(F.lit("function f"), p, F.lit("(x) {\n  return x\n  log(x)\n}")))
+            .when(q == 0, F.concat(F.lit("function f"), p, F.lit("(x) {\n  return x;\n  log(x);\n}")))
             .when(q == 1, F.concat(F.lit("async function g"), p, F.lit("(x) {\n  const v = await load(x);\n  return v;\n}")))
             .when(q == 2, F.concat(F.lit("async function h"), p, F.lit("(x) {\n  try {\n    await load(x);\n  } catch (e) {\n    log(e);\n  }\n}")))
             .when(q == 3, F.concat(F.lit("function w"), p, F.lit("() {\n  while (true) {\n    step("), p, F.lit(");\n  }\n}")))
@@ -352,7 +353,7 @@ order_text AS (
       WHEN 3 THEN 'export * from ''sup/s' || l_suppkey || ''';'
       WHEN 4 THEN 'import ''~/sup/s' || l_suppkey || ''';' ELSE 'import react from ''react'';' END || chr(10) ||
       replace(CASE CAST(l_quantity AS BIGINT) % 5
-        WHEN 0 THEN 'function f' || l_partkey || '(x) {@  return x;@  log(x);@}'
+        WHEN 0 THEN 'function f' || l_partkey || CASE WHEN l_partkey % 2 = 0 THEN '(x) {@  return x@  log(x)@}' ELSE '(x) {@  return x;@  log(x);@}' END
         WHEN 1 THEN 'async function g' || l_partkey || '(x) {@  const v = await load(x);@  return v;@}'
         WHEN 2 THEN 'async function h' || l_partkey || '(x) {@  try {@    await load(x);@  } catch (e) {@    log(e);@  }@}'
         WHEN 3 THEN 'function w' || l_partkey || '() {@  while (true) {@    step(' || l_partkey || ');@  }@}'

@@ -214,7 +214,7 @@ LINT = f"""raw_lines AS (SELECT repo_id, path, unnest(l) AS r, CAST(unnest(gener
 cl AS MATERIALIZED (SELECT repo_id, path, line, t, net, lead_close, sum(net) OVER (PARTITION BY repo_id, path ORDER BY line) - net - lead_close AS lvl, net + lead_close > 0 AS opens
   FROM (SELECT repo_id, path, line, t, length(t) - length(replace(t, '{{', '')) - (length(t) - length(replace(t, '}}', ''))) AS net, length(regexp_extract(t, '^(\\}}+)', 1)) AS lead_close
     FROM (SELECT repo_id, path, line, {TRIM.format('r')} AS t FROM raw_lines) WHERE t <> '' AND NOT regexp_matches(t, '^(//|/\\*|\\*)'))),
-op AS MATERIALIZED (SELECT o.repo_id, o.path, o.line, o.t, o.lvl, (SELECT min(c.line) FROM cl c WHERE c.repo_id = o.repo_id AND c.path = o.path AND c.lvl = o.lvl AND c.line > o.line) AS until FROM cl o WHERE opens),
+op AS MATERIALIZED (SELECT o.repo_id, o.path, o.line, o.t, o.lvl, (SELECT min(c.line) FROM cl c WHERE c.repo_id = o.repo_id AND c.path = o.path AND c.lvl <= o.lvl AND c.line > o.line) AS until FROM cl o WHERE opens),
 st AS MATERIALIZED (SELECT c.repo_id, c.path, c.line, c.t, c.lvl, o.line AS bl, o.t AS bt FROM cl c JOIN op o ON o.repo_id = c.repo_id AND o.path = c.path AND o.lvl = c.lvl - 1 AND c.line > o.line AND (o.until IS NULL OR c.line < o.until) WHERE NOT starts_with(c.t, '}}')),
 nx AS (SELECT *, lead(line) OVER (PARTITION BY repo_id, path, bl ORDER BY line) AS nl FROM st),
 fn AS (SELECT * FROM nx WHERE regexp_matches(bt, {FO})),

@@ -107,108 +107,119 @@ def impact_rows(impacts: DataFrame, alerts: DataFrame) -> DataFrame:
 # --- code checks -------------------------------------------------------------------
 
 FUNCTION_OPENER = r"\bfunction\b[^{]*\{\s*\z|=>\s*\{\s*\z"
-TERMINATOR = r"^(return|throw|break|continue)\b.*;\s*\z|^(break|continue|return)\s*\z"
+# a statement that ends on its line, with or without a semicolon
+TERMINATOR = r"^(return|throw|break|continue)\b(.*[^{(\[,+*/=&|?:<>.\s-])?\s*\z"
 LOOP_OPENER = r"^(while\s*\(\s*(true|1)\s*\)|for\s*\(\s*;\s*;\s*\))\s*\{\s*\z"
 
+BLOCK = (
+    "struct<level:int,line:int,text:string,fn:boolean,ended:int,word:string,told:boolean,tries:boolean,leaves:boolean,"
+    "awaits:int,async:boolean,loop:boolean,outer:string>")
+FINDING = "struct<kind:int,line:int,at:int,text:string,word:string>"
 
-def code_lines(contents: DataFrame) -> DataFrame:
-    """Non-blank, non-comment lines with their block depth; a line that starts by closing a block
-    already counts as outside of it."""
-    text = F.col("text")
 
-    def braces(mark: str) -> Column:
+def _lines(content: Column) -> Column:
+    """The lines that are neither blank nor comment, with what the rules ask of each."""
+    def braces(text: Column, mark: str) -> Column:
         return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
-    order = Window.partitionBy("repo_id", "path").orderBy("line")
-    leading = F.length(F.regexp_extract(text, r"^(\}+)", 1))
-    return (
-        contents.select("repo_id", "path", F.posexplode(F.split("content", "\n")).alias("pos", "raw"))
-        .select("repo_id", "path", (F.col("pos") + 1).alias("line"), strip_ws(F.col("raw")).alias("text"))
-        .filter((text != "") & ~text.rlike(r"^(//|/\*|\*)"))
-        .withColumn("net", braces("{") - braces("}"))
-        .withColumn("before", F.coalesce(
-            F.sum("net").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("awaits", F.sum(text.rlike(r"\bawait\b").cast("int")).over(
-            order.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("repo_id", "path", "line", "text", (F.col("before") - leading).alias("level"),
-                ((F.col("net") + leading) > 0).alias("opens"), "awaits")
-    )
+    texts = F.transform(F.split(content, "\n"), lambda raw, i: F.struct((i + 1).alias("line"), strip_ws(raw).alias("text")))
+    code = F.filter(texts, lambda x: (x["text"] != "") & ~x["text"].rlike(r"^(//|/\*|\*)"))
+
+    def seen(x: Column) -> Column:
+        text = x["text"]
+        closing = text.startswith("}")
+        fn = text.rlike(FUNCTION_OPENER)
+        return F.struct(
+            x["line"].alias("line"), text.alias("text"), (braces(text, "{") - braces(text, "}")).alias("net"),
+            F.length(F.regexp_extract(text, r"^(\}+)", 1)).alias("leading"), (~closing).alias("statement"), fn.alias("fn"),
+            (fn & ~closing & text.rlike(r"\basync\b")).alias("async"), (~closing & text.rlike(LOOP_OPENER)).alias("loop"),
+            text.rlike(TERMINATOR).alias("ends"), F.regexp_extract(text, r"^(\w+)", 1).alias("word"),
+            text.rlike(r"\bawait\b").cast("int").alias("awaits"))
+
+    return F.transform(code, seen)
+
+
+def _one(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _step(state: Column, x: Column) -> Column:
+    """The state after one line: depth, awaits so far, the stack of open blocks, findings."""
+    none = F.array().cast(f"array<{FINDING}>")
+
+    def told(kind: int, line: Column, at: Column, text: Column, word: Column) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), line.alias("line"), at.alias("at"), text.alias("text"), word.alias("word")))
+
+    def after(level: Column) -> Column:
+        awaits = state["awaits"] + x["awaits"]
+        closed = F.filter(state["open"], lambda b: b["level"] >= level)
+        found = F.flatten(F.transform(closed, lambda b: F.concat(
+            F.when(b["async"] & (awaits > b["awaits"]) & ~b["tries"], told(1, b["line"], b["line"], b["text"], b["word"])).otherwise(none),
+            F.when(b["loop"] & ~b["leaves"], told(2, b["line"], b["line"], b["outer"], b["word"])).otherwise(none))))
+        kept = F.filter(state["open"], lambda b: b["level"] < level)
+        return _one(F.struct(kept.alias("kept"), found.alias("found")), lambda s: _one(
+            F.when(F.get(s["kept"], F.size(s["kept"]) - 1)["level"] == level - 1, F.get(s["kept"], F.size(s["kept"]) - 1)),
+            lambda block: placed(level, awaits, s["kept"], s["found"], block)))
+
+    def placed(level: Column, awaits: Column, kept: Column, found: Column, block: Column) -> Column:
+        inside = x["statement"] & block.isNotNull()
+        in_function = F.coalesce(inside & block["fn"], F.lit(False))
+        dead = in_function & (block["ended"] > 0) & ~block["told"]
+        stops = in_function & (block["ended"] == 0) & x["ends"]
+        changed = F.struct(
+            block["level"].alias("level"), block["line"].alias("line"), block["text"].alias("text"), block["fn"].alias("fn"),
+            F.when(stops, x["line"]).otherwise(block["ended"]).alias("ended"), F.when(stops, x["word"]).otherwise(block["word"]).alias("word"),
+            (block["told"] | dead).alias("told"), (block["tries"] | (in_function & (x["word"] == "try"))).alias("tries"),
+            (block["leaves"] | x["word"].isin("break", "return")).alias("leaves"), block["awaits"].alias("awaits"),
+            block["async"].alias("async"), block["loop"].alias("loop"), block["outer"].alias("outer"))
+        stack = F.when(inside, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(changed))).otherwise(kept)
+        new = F.struct(
+            level.alias("level"), x["line"].alias("line"), x["text"].alias("text"), x["fn"].alias("fn"), F.lit(0).alias("ended"),
+            x["word"].alias("word"), F.lit(False).alias("told"), F.lit(False).alias("tries"), F.lit(False).alias("leaves"),
+            awaits.alias("awaits"), x["async"].alias("async"), (in_function & x["loop"]).alias("loop"), block["text"].alias("outer"))
+        opens = x["net"] + x["leading"] > 0
+        return F.struct(
+            (state["depth"] + x["net"]).alias("depth"), awaits.alias("awaits"),
+            F.when(opens, F.concat(stack, F.array(new))).otherwise(stack).alias("open"),
+            F.concat(state["found"], found, F.when(dead, told(0, x["line"], block["ended"], block["text"], block["word"])).otherwise(none)).alias("found"))
+
+    return _one(state["depth"] - x["leading"], after)
 
 
 def lint_code_lines(contents: DataFrame) -> DataFrame:
     """Findings (repo_id, path, type, function_name, line, description, severity).
 
-    Token rules over lines, one window per file: a statement right after a terminator in a function
-    body (first per function), an async function that awaits without a ``try`` in its body, an
-    endless loop in a function body without a direct ``break`` or ``return``. Blocks are found by
-    brace depth, so braces inside string literals and one-line functions are not seen.
+    Token rules over lines: a statement right after a terminator in a function body (first per function), an async
+    function that awaits without a ``try`` in its body, an endless loop in a function body without a direct ``break``
+    or ``return``. Blocks are found by brace depth, so braces inside string literals and one-line functions are not
+    seen. A file's lines are folded once inside its row with the stack of open blocks as state; nothing is exchanged.
     """
-    lines = code_lines(contents)
-    text = F.col("text")
-    file_level = ["repo_id", "path", "level"]
-    closes_at = Window.partitionBy(*file_level).orderBy("line")
-    opener = F.struct("line", "text")
-    # every line joins its own level; a block opener also announces itself one level deeper
-    marked = (
-        lines.withColumns({
-            "end_line": F.lead("line").over(closes_at), "end_awaits": F.lead("awaits").over(closes_at)})
-        .select("repo_id", "path", "line", "text", "awaits", "end_line", "end_awaits", "level",
-                F.explode(F.when(F.col("opens"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("as_opener"))
-        .withColumn("level", F.col("level") + F.col("as_opener"))
-    )
-    upto = Window.partitionBy(*file_level).orderBy("line", F.desc("as_opener")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        marked.withColumn("block", F.last(F.when(F.col("as_opener") == 1, opener), ignorenulls=True).over(upto))
-        .filter((F.col("as_opener") == 0) & ~text.startswith("}"))
-        .withColumn("block_line", F.col("block.line"))
-        .withColumn("in_function", F.coalesce(F.col("block.text").rlike(FUNCTION_OPENER), F.lit(False)))
-    )
-    inside = Window.partitionBy("repo_id", "path", "block_line").orderBy("line")
-    placed = placed.withColumn("next_line", F.lead("line").over(inside))
-    name = F.nullif(F.regexp_extract("fn_text", r"\bfunction\b\s*\*?\s*([A-Za-z_$][\w$]*)", 1), F.lit(""))
-    base = ["repo_id", "path"]
-
-    word = F.regexp_extract(text, r"^(\w+)", 1)
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(0).alias("awaits"), F.array().cast(f"array<{BLOCK}>").alias("open"),
+        F.array().cast(f"array<{FINDING}>").alias("found"))
+
+    def finish(state: Column) -> Column:
+        # loops of blocks that are never closed
+        left = F.filter(state["open"], lambda b: b["loop"] & ~b["leaves"])
+        return F.concat(state["found"], F.transform(left, lambda b: F.struct(
+            F.lit(2).alias("kind"), b["line"].alias("line"), b["line"].alias("at"), b["outer"].alias("text"), b["word"].alias("word"))))
+
+    found = contents.select("repo_id", "path", F.inline(F.aggregate(_lines(F.col("content")), start, _step, finish)))
+    name = F.nullif(F.regexp_extract("text", r"\bfunction\b\s*\*?\s*([A-Za-z_$][\w$]*)", 1), F.lit(""))
+    word, kind = F.col("word"), F.col("kind")
     statement = (
         F.when(word == "return", "ReturnStatement").when(word == "throw", "ThrowStatement")
         .when(word == "break", "BreakStatement").otherwise("ContinueStatement"))
-    unreachable = (
-        placed.filter(F.col("in_function") & text.rlike(TERMINATOR) & F.col("next_line").isNotNull())
-        .groupBy(*base, "block_line")
-        .agg(F.min(F.struct(F.col("line"), F.col("next_line"), statement.alias("st"), F.col("block.text").alias("fn"))).alias("m"))
-        .withColumn("fn_text", F.col("m.fn"))
-        .select(*base, F.lit("unreachable_code").alias("type"), name.alias("function_name"),
-                F.col("m.next_line").alias("line"),
-                F.concat(F.lit("Unreachable statement after "), "m.st", F.lit(" at line "), "m.line").alias("description"),
-                F.lit("error").alias("severity"))
-    )
-
-    with_try = placed.filter(F.col("in_function") & text.rlike(r"^try\b")).select(
-        *base, F.col("block_line").alias("fn_line")).distinct()
-    is_async = text.rlike(r"\basync\b") & text.rlike(FUNCTION_OPENER)
-    no_handler = (
-        placed.filter(is_async & (F.coalesce("end_awaits", F.lit(0)) - F.col("awaits") > 0))
-        .select(*base, F.col("line").alias("fn_line"), F.col("text").alias("fn_text"))
-        .join(with_try, [*base, "fn_line"], "left_anti")
-        .select(*base, F.lit("missing_error_handling").alias("type"), name.alias("function_name"),
-                F.col("fn_line").alias("line"),
-                F.concat(F.lit("Async function '"), F.coalesce(name, F.lit("(anonymous)")),
-                         F.lit("' uses await without try/catch")).alias("description"),
-                F.lit("warning").alias("severity"))
-    )
-
-    exits = placed.filter(text.rlike(r"^(break|return)\b")).select(
-        *base, F.col("block_line").alias("line")).distinct()
-    endless = (
-        placed.filter(F.col("in_function") & text.rlike(LOOP_OPENER))
-        .select(*base, "line", F.col("text").alias("loop"), F.col("block.text").alias("fn_text"))
-        .join(exits, [*base, "line"], "left_anti")
-        .select(*base, F.lit("infinite_loop_candidate").alias("type"), name.alias("function_name"), "line",
-                F.concat(F.when(F.col("loop").startswith("while"), "while(true)").otherwise("for(;;)"),
-                         F.lit(" loop without break/return — potential infinite loop")).alias("description"),
-                F.lit("warning").alias("severity"))
-    )
-    return unreachable.unionByName(no_handler).unionByName(endless)
+    description = (
+        F.when(kind == 0, F.concat(F.lit("Unreachable statement after "), statement, F.lit(" at line "), "at"))
+        .when(kind == 1, F.concat(F.lit("Async function '"), F.coalesce(name, F.lit("(anonymous)")), F.lit("' uses await without try/catch")))
+        .otherwise(F.concat(F.when(word == "while", "while(true)").otherwise("for(;;)"),
+                            F.lit(" loop without break/return — potential infinite loop"))))
+    types = F.array(*[F.lit(x) for x in ("unreachable_code", "missing_error_handling", "infinite_loop_candidate")])
+    return found.select(
+        "repo_id", "path", F.get(types, kind).alias("type"), name.alias("function_name"), "line", description.alias("description"),
+        F.when(kind == 0, "error").otherwise("warning").alias("severity"))
 
 
 def lint_top_files(contents: DataFrame, ranks: DataFrame, k: int = 5) -> DataFrame:

@@ -23,6 +23,12 @@ def test_lint_rules(spark):
     assert lint(spark, "function f() {\n  while (true) {\n    if (done) break;\n  }\n}") == [("infinite_loop_candidate", "f", 2, "warning")]
     assert lint(spark, "function f() {\n  for (;;) {\n    return;\n  }\n}") == []
     assert lint(spark, "while (true) {\n}\n") == []
+    # the same without semicolons
+    assert lint(spark, "function f() {\n  return x\n  g()\n}") == [("unreachable_code", "f", 3, "error")]
+    assert lint(spark, "const f = () => {\n  throw new Error('x')\n  g()\n}") == [("unreachable_code", None, 3, "error")]
+    assert lint(spark, "function f() {\n  return {\n    a: 1\n  }\n}") == []
+    assert lint(spark, "function f() {\n  return a +\n    b\n}") == []
+    assert lint(spark, "function f() {\n  while (true) {\n    g()\n") == [("infinite_loop_candidate", "f", 2, "warning")]
 
 
 def test_lint_top_files_and_summary(spark):
