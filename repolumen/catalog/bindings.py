@@ -5,11 +5,10 @@ checks of the operators start from equal inputs. All rows derive from the given
 """
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import land
+from ..session import is_landed, land
 
 _LANDED: dict[tuple, tuple] = {}
 
@@ -26,14 +25,9 @@ class Tables:
     def landed(self, name: str, build) -> DataFrame:
         """Written once per application, as the sources of a repository are landed once for many queries."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key in _LANDED:
-            path, schema = _LANDED[key]
-            try:
-                return self.spark.read.schema(schema).parquet(path)
-            except AnalysisException:  # the folder was cleared
-                pass
-        df = build()
-        _LANDED[key] = (land(df, name), df.schema)
+        if key not in _LANDED or not is_landed(self.spark, _LANDED[key][0]):  # new, or the folder was cleared
+            df = build()
+            _LANDED[key] = (land(df, name), df.schema)
         path, schema = _LANDED[key]
         return self.spark.read.schema(schema).parquet(path)
 

@@ -504,7 +504,18 @@ def w6(t):
 
 # --- exports and the flagship ------------------------------------------------------------
 
-@query("S10_edge_list_export")
+CLEAN = "regexp_replace({}, '[^a-zA-Z0-9_]', '_', 'g')"
+
+
+@query("S10_edge_list_export", MG + f", {M_ENTRIES}" + f""", guess AS (SELECT repo_id, path FROM (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) rn FROM nodes LEFT JOIN fan USING (repo_id, path)
+    WHERE repo_id NOT IN (SELECT repo_id FROM entries) AND (regexp_matches(path, 'index\\.|main\\.|page\\.|app\\.') OR fan_in > 2)) WHERE rn <= 3),
+  start AS (SELECT repo_id, path FROM entries UNION SELECT repo_id, path FROM guess),
+  met(repo_id, node, depth) USING KEY (repo_id, node) AS (SELECT repo_id, path, 0 FROM start UNION SELECT w.repo_id, e.dst, w.depth + 1 FROM met w JOIN edges e ON e.repo_id = w.repo_id AND e.src = w.node
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.met r WHERE r.repo_id = e.repo_id AND r.node = e.dst))
+  SELECT DISTINCT repo_id, 0 AS part, 0 AS depth, '' AS node, '' AS dep, 'graph TD' AS line FROM nodes
+  UNION ALL SELECT DISTINCT repo_id, 1, 0, '', '', 'subgraph Entry' FROM start UNION ALL SELECT DISTINCT repo_id, 3, 0, '', '', 'end' FROM start
+  UNION ALL SELECT repo_id, 2, 0, path, '', '  ' || {CLEAN.format('path')} || '["' || regexp_extract(path, '[^/]*$') || '"]' FROM start
+  UNION ALL SELECT m.repo_id, 4, depth, node, dst, '  ' || {CLEAN.format('node')} || ' --> ' || {CLEAN.format('dst')} FROM met m JOIN (SELECT DISTINCT repo_id, src, dst FROM edges) e ON e.repo_id = m.repo_id AND e.src = m.node""")
 def s10(t):
     nodes, edges = module_graph(t)
     return sinks.edge_list_export(edges, nodes, module_entries(t))

@@ -292,24 +292,20 @@ def sub_stream(t):
 
 @query("ST2_subscription_state", f"{SW}, {UPD} SELECT user_id, plan_tier, subscription_status, ts AS changed_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rn FROM upd) WHERE rn = 1")
 def st2(t):
-    updates = jobs.run_to_table(jobs.subscription_updates(sub_stream(t)), shared_path(t.spark, "subscriptions"))
-    return rp.profile_state(updates).withColumn("changed_at", F.col("changed_at").cast("timestamp_ntz"))
+    state = jobs.keep_profile_state(jobs.subscription_updates(sub_stream(t)), shared_path(t.spark, "subscriptions"))
+    return state.select("user_id", "plan_tier", "subscription_status", F.col("ts").cast("timestamp_ntz").alias("changed_at"))
 
 
-CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
-
-
-@query("ST4_sliding_quota_stream", f"""WITH w AS (SELECT user_id, to_timestamp(3600 * unnest(generate_series(CAST(floor(epoch(ts) / 3600) AS BIGINT) - 23, CAST(floor(epoch(ts) / 3600) AS BIGINT))))::TIMESTAMP AS window_start FROM events)
-  SELECT user_id, window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) AS n_in_window, count(*) > 3 AS exceeded FROM w WHERE window_start + INTERVAL 24 HOUR <= {CLOSED} GROUP BY 1, 2""")
+@query("ST4_sliding_quota_stream", """WITH w AS (SELECT user_id, to_timestamp(3600 * unnest(generate_series(CAST(floor(epoch(ts) / 3600) AS BIGINT) - 23, CAST(floor(epoch(ts) / 3600) AS BIGINT))))::TIMESTAMP AS window_start FROM events)
+  SELECT user_id, window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) AS n_in_window, count(*) > 3 AS exceeded FROM w GROUP BY 1, 2""")
 def st4(t):
-    counts = jobs.sliding_quota(stream(t, "events").select("user_id", "ts"), 3)
-    table = jobs.run_to_table(counts, shared_path(t.spark, "sliding-quota"))
-    return table.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    hours = jobs.keep_updates(jobs.hourly_counts(stream(t, "events").select("user_id", "ts")), shared_path(t.spark, "hours"), ["user_id", "hour"])
+    return jobs.sliding_quota(hours, 3).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-@query("ST5_usage_counters_stream", UW + f", x AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN kind IN ('repo', 'pr') THEN 'scan' ELSE kind END AS kind, count(*) AS n FROM usage GROUP BY 1, 2, 3) SELECT user_id, day, kind, n FROM x WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM usage) - INTERVAL 10 MINUTE")
+@query("ST5_usage_counters_stream", UW + f", x AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN kind IN ('repo', 'pr') THEN 'scan' ELSE kind END AS kind, count(*) AS n FROM usage GROUP BY 1, 2, 3) SELECT user_id, day, kind, n FROM x")
 def st5(t):
     k = F.col("event_type")
     kind = F.when(k == "purchase", "repo").when(k == "click", "pr").when(k == "error", "debug").when(k == "signup", "ai")
     usage = stream(t, "events").select(F.concat(F.lit("u"), "user_id").alias("user_id"), kind.alias("kind"), "ts").filter(F.col("kind").isNotNull())
-    return jobs.run_to_table(jobs.usage_counters(usage), shared_path(t.spark, "usage")).withColumn("day", F.col("day").cast("string"))
+    return jobs.keep_updates(jobs.usage_counters(usage), shared_path(t.spark, "usage"), ["user_id", "day", "kind"]).withColumn("day", F.col("day").cast("string"))

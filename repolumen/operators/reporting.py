@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed, schemas
 from ..functions.columns import round_half_up
-from ..session import land
+from ..session import land, remove
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -61,8 +61,8 @@ def rewrite_without(spark: SparkSession, path: str, keys: DataFrame, by: list[st
     (remaining.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
     for value in concerned:
         if value not in left:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={value}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(spark, f"{path}/{partition}={value}")
+    remove(spark, aside)
 
 
 def group_by_repo(analyses: DataFrame) -> DataFrame:

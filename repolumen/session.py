@@ -1,6 +1,9 @@
 """Session settings and durable cuts of long lineages."""
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -36,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -99,6 +103,21 @@ def measured(df: DataFrame) -> Cut:
     return Cut(cut, int(got["n"]), int(got["b"] or 0))
 
 
+def is_landed(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to the end at the path and is still there."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(mark) and any(
+        s.getPath().getName().startswith("part-") for s in system.listStatus(files))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a landed table, wherever the shared folder is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def land(df: DataFrame, name: str) -> str:
     """Write a table to the shared folder and return its path: columnar, prunable, of exact size."""
     path = shared_path(df.sparkSession, name)

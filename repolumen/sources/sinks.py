@@ -53,18 +53,18 @@ def report_export(reports: DataFrame) -> DataFrame:
 
 
 def edge_list_export(
-    edges: DataFrame, nodes: DataFrame, entries: DataFrame, max_nodes: int = 30, max_deps: int = 5,
+    edges: DataFrame, nodes: DataFrame, entries: DataFrame, max_nodes: int | None = None, max_deps: int | None = None,
 ) -> DataFrame:
-    """(repo_id, ord, line): diagram lines of the first ``max_nodes`` files met from the entry points.
+    """(repo_id, part, depth, node, dep, line): the lines of a diagram, to be read in the order of these columns.
 
-    Each expanded file shows up to ``max_deps`` dependencies. Repositories without entry points
-    start from three files that look like one or have a fan-in above two.
+    Every file met from the entry points shows its dependencies, nearest files first; with ``max_nodes`` and
+    ``max_deps`` only the first of each. Repositories without entry points start from files that look like one or have
+    a fan-in above two, the first three by path. Part 0 is the head, 1 to 3 the entries, 4 the arrows.
     """
-    deps_order = Window.partitionBy("repo_id", "src").orderBy("dst")
-    shown = (
-        edges.withColumn("dep_no", F.row_number().over(deps_order)).filter(F.col("dep_no") <= max_deps)
-        .select("repo_id", "src", "dst", "dep_no")
-    )
+    shown = edges.select("repo_id", "src", "dst").distinct()
+    if max_deps is not None:
+        deps_order = Window.partitionBy("repo_id", "src").orderBy("dst")
+        shown = shown.withColumn("rn", F.row_number().over(deps_order)).filter(F.col("rn") <= max_deps).drop("rn")
     has_entry = entries.select("repo_id").distinct()
     looks = F.col("path").rlike(r"index\.|main\.|page\.|app\.")
     first = Window.partitionBy("repo_id").orderBy("path")
@@ -75,24 +75,25 @@ def edge_list_export(
     )
     seeds = entries.select("repo_id", "path").unionByName(guessed).distinct()
     met = expand(seeds.withColumnRenamed("path", "node"), shown, ["repo_id"], max_depth=max_nodes)
-    order = Window.partitionBy("repo_id").orderBy("depth", "node")
-    expanded = met.withColumn("node_no", F.row_number().over(order)).filter(F.col("node_no") <= max_nodes)
+    if max_nodes is not None:
+        order = Window.partitionBy("repo_id").orderBy("depth", "node")
+        met = met.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= max_nodes).drop("rn")
 
     def clean(name):
         return F.regexp_replace(name, "[^a-zA-Z0-9_]", "_")
 
-    arrows = expanded.join(shown, (shown["repo_id"] == expanded["repo_id"]) & (shown["src"] == expanded["node"])).select(
-        expanded["repo_id"], (F.col("node_no") * 1000 + F.col("dep_no") + 1_000_000).alias("ord"),
-        F.concat(F.lit("  "), clean(F.col("src")), F.lit(" --> "), clean(F.col("dst"))).alias("line"))
-    labels = seeds.select(
-        "repo_id", F.lit(2).alias("ord"),
-        F.concat(F.lit("  "), clean(F.col("path")), F.lit('["'), F.substring_index("path", "/", -1), F.lit('"]')).alias("line"))
-    repos = nodes.select("repo_id").distinct()
-    head = repos.select("repo_id", F.lit(0).alias("ord"), F.lit("graph TD").alias("line"))
-    frame = seeds.select("repo_id").distinct().select("repo_id", F.inline(F.array(
-        F.struct(F.lit(1).alias("ord"), F.lit("subgraph Entry").alias("line")),
-        F.struct(F.lit(3).alias("ord"), F.lit("end").alias("line")))))
-    return head.unionByName(frame).unionByName(labels).unionByName(arrows)
+    def row(part: int, line, depth=None, node=None, dep=None):
+        return ["repo_id", F.lit(part).alias("part"), (F.lit(0) if depth is None else depth).alias("depth"),
+                (F.lit("") if node is None else node).alias("node"), (F.lit("") if dep is None else dep).alias("dep"), line.alias("line")]
+
+    arrows = met.join(shown.withColumnRenamed("src", "node"), ["repo_id", "node"]).select(*row(
+        4, F.concat(F.lit("  "), clean(F.col("node")), F.lit(" --> "), clean(F.col("dst"))), F.col("depth"), F.col("node"), F.col("dst")))
+    labels = seeds.select(*row(
+        2, F.concat(F.lit("  "), clean(F.col("path")), F.lit('["'), F.substring_index("path", "/", -1), F.lit('"]')), node=F.col("path")))
+    head = nodes.select("repo_id").distinct().select(*row(0, F.lit("graph TD")))
+    framed = seeds.select("repo_id").distinct()
+    return (head.unionByName(framed.select(*row(1, F.lit("subgraph Entry")))).unionByName(labels)
+            .unionByName(framed.select(*row(3, F.lit("end")))).unionByName(arrows))
 
 
 def badge_lookup(repos: DataFrame, analyses: DataFrame) -> DataFrame:

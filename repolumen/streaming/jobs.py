@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.content import has_diff_tokens
-from ..operators.reporting import profile_update, usage_class
+from ..operators.reporting import latest_per_key, profile_update, usage_class
+from ..session import is_landed, remove
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -40,22 +42,82 @@ def subscription_updates(events: DataFrame, watermark: str = "1 hour") -> DataFr
         "event_id", "user_id", "plan_tier", "subscription_status", "ts")
 
 
-def sliding_quota(events: DataFrame, n: int, span: str = "24 hours", slide: str = "1 hour",
-                  watermark: str = "10 minutes") -> DataFrame:
-    """Counts per key and sliding window with whether they exceed ``n``; a window is emitted once it is closed."""
+def keep_updates(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Process everything available in update mode and return the table of the latest value per key.
+
+    Every batch writes the keys that it changed under its number, and a batch that is repeated after a failure replaces
+    its own rows; so groups are in the table from their first row on, also those that no watermark has closed yet.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    table = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/data")
+    return latest_per_key(table, keys, ["batch"]).select(*stream.columns)
+
+
+def hourly_counts(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """(user_id, hour, n): events per key and hour, the partial sums of sliding windows."""
+    return (
+        events.withWatermark("ts", watermark).groupBy("user_id", F.window("ts", "1 hour").alias("w"))
+        .agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("hour"), "n")
+    )
+
+
+def sliding_quota(hours: DataFrame, n: int, span_hours: int = 24) -> DataFrame:
+    """Counts per key and window of ``span_hours``, sliding by an hour, with whether they exceed ``n``.
+
+    An hour's count, not its events, goes into the windows that hold it.
+    """
+    starts = F.sequence(F.col("hour") - F.make_dt_interval(hours=F.lit(span_hours - 1)), F.col("hour"), F.expr("INTERVAL 1 HOUR"))
     return (
-        events.withWatermark("ts", watermark).groupBy("user_id", F.window("ts", span, slide).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n_in_window"))
-        .select("user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_in_window",
-                (F.col("n_in_window") > n).alias("exceeded"))
+        hours.select("user_id", F.explode(starts).alias("window_start"), "n")
+        .groupBy("user_id", "window_start").agg(F.sum("n").alias("n_in_window"))
+        .select("user_id", "window_start", (F.col("window_start") + F.make_dt_interval(hours=F.lit(span_hours))).alias("window_end"),
+                "n_in_window", (F.col("n_in_window") > n).alias("exceeded"))
     )
 
 
 def usage_counters(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Daily usage per user and kind; a day is emitted once it is closed."""
+    """Daily usage per user and kind."""
     return (
         events.withWatermark("ts", watermark)
         .groupBy("user_id", usage_class(F.col("kind")).alias("kind"), F.window("ts", "1 day").alias("w"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select("user_id", F.to_date("w.start").alias("day"), "kind", "n")
     )
+
+
+def keep_profile_state(updates: DataFrame, path: str) -> DataFrame:
+    """Process the updates available and return the current (user_id, plan_tier, subscription_status, ts, event_id).
+
+    Each batch is upserted by user into the next version of the state table; the last two versions stay, so a batch
+    that is repeated after a failure starts again from the version before it.
+    """
+    spark = updates.sparkSession
+
+    def version(number: int) -> str:
+        return f"{path}/version={number}"
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*updates.columns)
+        if number > 0 and is_landed(spark, version(number - 1)):
+            rows = rows.unionByName(spark.read.schema(updates.schema).parquet(version(number - 1)))
+        latest_per_key(rows, ["user_id"], ["ts", "event_id"]).select(*updates.columns).write.mode("overwrite").parquet(version(number))
+        if number > 1:
+            remove(spark, version(number - 2))
+
+    query = (
+        updates.writeStream.outputMode("append").foreachBatch(upsert)
+        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    state = spark.read.schema(T.StructType([*updates.schema.fields, T.StructField("version", T.LongType())])).option("basePath", path).parquet(f"{path}/version=*")
+    newest = state.agg(F.max("version")).first()[0]
+    return state.filter(F.col("version") == newest).select(*updates.columns)

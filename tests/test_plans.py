@@ -32,10 +32,11 @@ def test_diagram_lines(spark):
     entry = spark.createDataFrame([("r", "main.ts")], "repo_id string, path string")
     want = ["graph TD", "subgraph Entry", '  main_ts["main.ts"]', "end"] + [f"  main_ts --> d_x{i}_ts" for i in range(5)] + ["  d_x0_ts --> d_y_ts"]
     for entries in (entry, entry.filter("false")):  # without entries the file that looks like one is taken
-        lines = [r["line"] for r in sinks.edge_list_export(edges, nodes, entries).orderBy("repo_id", "ord").collect()]
-        assert lines == want
-    few = sinks.edge_list_export(edges, nodes, entry, max_nodes=1)
+        made = sinks.edge_list_export(edges, nodes, entries, max_nodes=30, max_deps=5)
+        assert [r["line"] for r in made.orderBy("repo_id", "part", "depth", "node", "dep").collect()] == want
+    few = sinks.edge_list_export(edges, nodes, entry, max_nodes=1, max_deps=5)
     assert few.filter("line like '%-->%'").count() == 5
+    assert sinks.edge_list_export(edges, nodes, entry).filter("part = 4").count() == 9
 
 
 def test_diagnosis(spark):

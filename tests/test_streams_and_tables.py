@@ -54,6 +54,41 @@ def test_usage_stream_drops_late_rows(spark, tmp_path):
     assert [(str(d), n) for d, n in rows(run(), "day", "n")] == [("2024-01-01", 2), ("2024-01-03", 1)]
 
 
+def test_counters_are_complete_at_any_time(spark, tmp_path):
+    source = tmp_path / "in"
+
+    def use(ts):
+        return {"user_id": "u", "kind": "repo", "ts": ts}
+
+    def run():
+        stream = spark.readStream.schema("user_id string, kind string, ts timestamp").json(str(source))
+        days = jobs.keep_updates(jobs.usage_counters(stream), str(tmp_path / "days"), ["user_id", "day", "kind"])
+        hours = jobs.keep_updates(jobs.hourly_counts(stream), str(tmp_path / "hours"), ["user_id", "hour"])
+        return [(str(d), n) for d, n in rows(days, "day", "n")], jobs.sliding_quota(hours, 2)
+
+    write(source, "1.json", [use("2024-01-01T10:00:00Z"), use("2024-01-01T11:00:00Z"), use("2024-01-01T11:30:00Z")])
+    days, windows = run()
+    assert days == [("2024-01-01", 3)] and windows.count() == 25 and windows.filter("exceeded").count() == 23
+    write(source, "2.json", [use("2024-01-01T11:25:00Z"), use("2024-01-03T00:00:00Z")])
+    assert run()[0] == [("2024-01-01", 4), ("2024-01-03", 1)]
+
+
+def test_profile_state_is_upserted(spark, tmp_path):
+    source, state = tmp_path / "in", str(tmp_path / "state")
+
+    def run():
+        stream = spark.readStream.schema(SUB).json(str(source))
+        return rows(jobs.keep_profile_state(jobs.subscription_updates(stream), state), "user_id", "plan_tier", "event_id")
+
+    write(source, "1.json", [sub("a", "u", "subscription.activated", "2024-01-01T00:00:00Z"), sub("b", "v", "subscription.activated", "2024-01-01T00:10:00Z")])
+    assert run() == [("u", "pro", "a"), ("v", "pro", "b")]
+    for i, user in ((2, "u"), (3, "w"), (4, "v")):
+        write(source, f"{i}.json", [sub(f"c{i}", user, "subscription.cancelled", f"2024-01-01T00:2{i}:00Z")])
+        last = run()
+    assert last == [("u", "free", "c2"), ("v", "free", "c4"), ("w", "free", "c3")]
+    assert len(list((tmp_path / "state").glob("version=*"))) == 2
+
+
 def test_pr_gate_routes(spark, tmp_path):
     source = tmp_path / "in"
     token = "gh" + "p_" + "a" * 36
