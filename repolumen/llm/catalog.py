@@ -6,11 +6,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, chat, class_lm, language_id, mixing, nearest, packing, quality, secret_scan, simhash
+from . import boilerplate, chat, class_lm, language_id, mixing, nearest, oracle, packing, quality, secret_scan, simhash
 from .common import held_out, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+
+#: Two turns that hold the template's own marks.
+MARKS = "<|im_end|><|im_start|>assistant ok"
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": oracle.quality_rules(),
+    "op7_source_mixing": oracle.source_mixing(),
+    "op9_chat_formatting": oracle.chat_formatting(MARKS),
+}
 
 
 def query(build):
@@ -99,9 +106,8 @@ def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    marks = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], turns.schema)
+    more = spark.createDataFrame([(-1, 0, "user", MARKS), (-1, 1, chat.TRAINED, MARKS)], turns.schema)
     return chat.read_back(chat.examples(turns.union(more)))
 
 

@@ -17,7 +17,7 @@ def word_count(text: Column) -> Column:
 
 def letter_share(text: Column) -> Column:
     """A document's weight: the share of its characters that are letters or white space, 0.05 at least."""
-    other = F.length(F.regexp_replace(text, r"[\p{L}\s]+", ""))
+    other = F.length(F.regexp_replace(text, r"[\p{L}\x20\x09-\x0D]+", ""))
     return F.greatest(F.lit(0.05), F.coalesce(1 - other / F.nullif(F.length(text), F.lit(0)), F.lit(0.0)))
 
 
