@@ -33,7 +33,7 @@ class Tables:
 
     # -- graphs ---------------------------------------------------------------
     def trade_edges(self) -> DataFrame:
-        """Customer nation → the three supplier nations with most line items per supplier."""
+        """Customer nation → supplier nation, weighted by their line items."""
         sup = self.raw("supplier").select("s_suppkey", "s_nationkey")
         flows = (
             self.raw("lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
@@ -42,14 +42,9 @@ class Tables:
             .join(sup, "s_suppkey").groupBy(F.col("c_nationkey").alias("s"), F.col("s_nationkey").alias("d"))
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        per = sup.groupBy(F.col("s_nationkey").alias("d")).agg(F.count(F.lit(1)).alias("k"))
-        best = Window.partitionBy("s").orderBy(F.desc("rate"), "d")
-        return (
-            flows.join(per, "d").withColumn("rate", F.col("n").cast("double") / F.col("k"))
-            .withColumn("rn", F.row_number().over(best)).filter("rn <= 3")
-            .select(F.lit("trade").alias("repo_id"), F.concat(F.lit("n"), "s").alias("src"),
-                    F.concat(F.lit("n"), "d").alias("dst"), F.col("n").cast("double").alias("weight"))
-        )
+        return flows.select(
+            F.lit("trade").alias("repo_id"), F.concat(F.lit("n"), "s").alias("src"),
+            F.concat(F.lit("n"), "d").alias("dst"), F.col("n").cast("double").alias("weight"))
 
     def trade_nodes(self) -> DataFrame:
         return self.raw("nation").select(F.lit("trade").alias("repo_id"), F.concat(F.lit("n"), "n_nationkey").alias("path"))
@@ -68,18 +63,19 @@ class Tables:
         return (down("customer", "c_custkey", "c_nationkey", "c:")
                 .unionByName(down("supplier", "s_suppkey", "s_nationkey", "s:")).unionByName(up))
 
-    def successor_edges(self) -> DataFrame:
-        """Supplier of a line → supplier of the next line of the order, the four most frequent."""
+    def successor_edges(self, most: int | None = None) -> DataFrame:
+        """Supplier of a line → supplier of the next line of the order, weighted by how often; or the ``most`` frequent ones."""
         line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
-        best = Window.partitionBy("s").orderBy(F.desc("weight"), "d")
-        return (
+        pairs = (
             self.raw("lineitem").select("l_orderkey", F.col("l_suppkey").alias("s"), F.lead("l_suppkey").over(line).alias("d"))
             .filter(F.col("d").isNotNull() & (F.col("s") != F.col("d")))
             .groupBy("s", "d").agg(F.count(F.lit(1)).alias("weight"))
-            .withColumn("rn", F.row_number().over(best)).filter("rn <= 4")
-            .select(F.lit("next").alias("repo_id"), F.concat(F.lit("s"), "s").alias("src"),
-                    F.concat(F.lit("s"), "d").alias("dst"), F.col("weight").cast("double").alias("weight"))
         )
+        if most is not None:
+            best = Window.partitionBy("s").orderBy(F.desc("weight"), "d")
+            pairs = pairs.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= most)
+        return pairs.select(F.lit("next").alias("repo_id"), F.concat(F.lit("s"), "s").alias("src"),
+                            F.concat(F.lit("s"), "d").alias("dst"), F.col("weight").cast("double").alias("weight"))
 
     # -- histories --------------------------------------------------------------
     def commit_rows(self) -> DataFrame:
@@ -133,7 +129,7 @@ class Tables:
     def _module_sources(self) -> DataFrame:
         """Source files (repo_id, path, content) written from orders, line items and suppliers.
 
-        A supplier is a module that imports its most frequent successors; an order is a file that
+        A supplier is a module that imports its successors; an order is a file that
         imports the suppliers of its lines in different notations and defines a function per line.
         """
         lines = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity")
@@ -299,10 +295,8 @@ TSCONFIG = '{\n  // aliases\n  "compilerOptions": { "paths": { "@/*": ["./src/*"
 
 TRADE = """trade AS (
   SELECT 'trade' AS repo_id, 'n' || s AS src, 'n' || d AS dst, CAST(n AS DOUBLE) AS weight FROM (
-    SELECT s, d, n, row_number() OVER (PARTITION BY s ORDER BY CAST(n AS DOUBLE)/k DESC, d) rn FROM (
-      SELECT c_nationkey s, s_nationkey d, count(*) n FROM orders JOIN lineitem ON l_orderkey=o_orderkey
-      JOIN customer ON c_custkey=o_custkey JOIN supplier ON s_suppkey=l_suppkey GROUP BY 1,2)
-    JOIN (SELECT s_nationkey d, count(*) k FROM supplier GROUP BY 1) USING (d)) WHERE rn <= 3),
+    SELECT c_nationkey s, s_nationkey d, count(*) n FROM orders JOIN lineitem ON l_orderkey=o_orderkey
+      JOIN customer ON c_custkey=o_custkey JOIN supplier ON s_suppkey=l_suppkey GROUP BY 1,2)),
 trade_nodes AS (SELECT 'trade' AS repo_id, 'n' || n_nationkey AS path FROM nation)"""
 
 FOREST = """forest AS (
@@ -312,10 +306,13 @@ FOREST = """forest AS (
 
 SUCCESSOR = """successor AS (
   SELECT 'next' AS repo_id, 's' || s AS src, 's' || d AS dst, CAST(w AS DOUBLE) AS weight FROM (
-    SELECT s, d, w, row_number() OVER (PARTITION BY s ORDER BY w DESC, d) rn FROM (
-      SELECT s, d, count(*) w FROM (SELECT l_suppkey s, lead(l_suppkey) OVER (
-        PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) d FROM lineitem)
-      WHERE d IS NOT NULL AND s <> d GROUP BY 1,2)) WHERE rn <= 4)"""
+    SELECT s, d, count(*) w FROM (SELECT l_suppkey s, lead(l_suppkey) OVER (
+      PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) d FROM lineitem)
+    WHERE d IS NOT NULL AND s <> d GROUP BY 1,2))"""
+
+# the relation of the pull-request queries, whose result is every request with every edge it reaches
+MAIN_SUCCESSOR = SUCCESSOR.replace("successor AS (", "all_successor AS (") + """, successor AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, CAST(substr(dst, 2) AS BIGINT)) rn FROM all_successor) WHERE rn <= 4)"""
 
 COMMITS = """commit_rows AS (
   SELECT 'repo' || (o_custkey % 4) AS repo_id, 'o' || l_orderkey AS sha, o_orderdate AS committed_at, 'dev' || (o_custkey % 50) AS author,

@@ -10,7 +10,7 @@ from ..operators import (
 from ..plans import repository
 from ..session import durable
 from ..sources import sinks
-from .bindings import FOREST, PRS, SUCCESSOR, TRADE
+from .bindings import FOREST, MAIN_SUCCESSOR, PRS, SUCCESSOR, TRADE
 from .imports import COVER_SQL, GRAPH, covered_files, module_graph
 from .inventory import boosted
 from .registry import query
@@ -206,26 +206,27 @@ def g1d(t):
     return tr.node_blast(t.trade_edges(), t.trade_nodes())[1]
 
 
-PR_SQL = f"{SW}, {SUCC_NODES}, {PRS}"
+PR_SQL = f"WITH RECURSIVE {MAIN_SUCCESSOR}, {SUCC_NODES}, {PRS}"
+MAIN = 4  # successors of a supplier in the graph of the pull requests
 
 
 @query("G2_pr_blast", PR_SQL + " SELECT * FROM classes")
 def g2(t):
-    return tr.pr_blast(t.successor_edges(), successor_nodes(t), t.supplier_prs())
+    return tr.pr_blast(t.successor_edges(MAIN), gs.union_nodes(t.successor_edges(MAIN)), t.supplier_prs())
 
 
 @query("G2_pr_edge_classes", PR_SQL + """ SELECT e.repo_id, a.pr_number, e.src, e.dst, CASE WHEN a.class = 'modified' AND b.class = 'modified' THEN 'modified' ELSE 'hot' END AS class
   FROM successor e JOIN classes a ON a.repo_id = e.repo_id AND a.path = e.src JOIN classes b ON b.repo_id = e.repo_id AND b.path = e.dst AND b.pr_number = a.pr_number""")
 def g2b(t):
-    edges = durable(t.successor_edges())
-    return tr.pr_edge_classes(edges, tr.pr_blast(edges, successor_nodes(t), t.supplier_prs()))
+    edges = durable(t.successor_edges(MAIN))
+    return tr.pr_edge_classes(edges, tr.pr_blast(edges, gs.union_nodes(t.successor_edges(MAIN)), t.supplier_prs()))
 
 
 @query("G2_pr_counts", PR_SQL + """ SELECT c.repo_id, pr_number, count(*) FILTER (WHERE class = 'modified') AS modified, count(*) FILTER (WHERE class = 'blast') AS blast, max(total) - count(n.path) AS unaffected
   FROM classes c LEFT JOIN succ_nodes n USING (repo_id, path) JOIN (SELECT repo_id, count(*) AS total FROM succ_nodes GROUP BY 1) USING (repo_id) GROUP BY 1, 2""")
 def g2c(t):
-    nodes = successor_nodes(t)
-    return tr.pr_unaffected_counts(nodes, tr.pr_blast(t.successor_edges(), nodes, t.supplier_prs()))
+    nodes = gs.union_nodes(t.successor_edges(MAIN))
+    return tr.pr_unaffected_counts(nodes, tr.pr_blast(t.successor_edges(MAIN), nodes, t.supplier_prs()))
 
 
 DEPTH = MG + f", {M_ENTRIES}" + """, present AS (SELECT e.repo_id, e.path FROM entries e JOIN nodes USING (repo_id, path)),
@@ -478,8 +479,7 @@ def w4(t):
 
 
 BTW = f"{SW}, {SUCC_NODES}" + """, e AS (SELECT DISTINCT src, dst FROM successor WHERE src <> dst),
-  d(s, v, dist) AS (SELECT path, path, 0 FROM succ_nodes UNION SELECT d.s, e.dst, d.dist + 1 FROM d JOIN e ON e.src = d.v WHERE d.dist < 12),
-  dist AS MATERIALIZED (SELECT s, v, min(dist) AS dist FROM d GROUP BY 1, 2),
+  dist(s, v, dist) USING KEY (s, v) AS (SELECT path, path, 0 FROM succ_nodes UNION SELECT d.s, e.dst, d.dist + 1 FROM dist d JOIN e ON e.src = d.v WHERE NOT EXISTS (SELECT 1 FROM recurring.dist r WHERE r.s = d.s AND r.v = e.dst)),
   {sigmas}
   sig AS MATERIALIZED ({union}),
   pairs AS (SELECT a.v AS path, sum(CAST(a.sigma AS DOUBLE) * b.sigma / st.sigma) AS x FROM sig a JOIN sig b ON b.s = a.v JOIN sig st ON st.s = a.s AND st.v = b.v

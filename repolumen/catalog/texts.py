@@ -6,7 +6,7 @@ from ..functions.columns import any_literal, any_pattern
 from ..operators import content as ct, graph_stats as gs, traces as tc, traversal as tr
 from ..plans import diagnosis, pull_request
 from ..session import durable
-from .bindings import DOC_FILES, MODULES, PR_FILES, PRS, SUCCESSOR, TRACES
+from .bindings import DOC_FILES, MAIN_SUCCESSOR, MODULES, PR_FILES, PRS, TRACES
 from .imports import GRAPH, module_graph
 from .registry import q, query
 
@@ -264,7 +264,7 @@ def q2(t):
     return diagnosis.diagnose(t.traces(), t.modules(), edges)[1].withColumn("line", F.coalesce("line", F.lit(0)))
 
 
-PR_SQL = f"WITH RECURSIVE {SUCCESSOR}, {PRS}" + """, pr_files AS (SELECT repo_id, pr_number, path, CASE WHEN pr_number % 3 = 0 THEN 'pass' || 'word = "' || md5(path) || '"' ELSE 'x' END AS patch FROM prs)"""
+PR_SQL = f"WITH RECURSIVE {MAIN_SUCCESSOR}, {PRS}" + """, pr_files AS (SELECT repo_id, pr_number, path, CASE WHEN pr_number % 3 = 0 THEN 'pass' || 'word = "' || md5(path) || '"' ELSE 'x' END AS patch FROM prs)"""
 
 
 @query("Q3_pr_impact", f"""{PR_SQL}, {ALERTS}, c AS (SELECT w.repo_id, w.pr_number, count(p.path) AS modified, count(*) - count(p.path) AS blast FROM walk w LEFT JOIN prs p USING (repo_id, pr_number, path) GROUP BY 1, 2),
@@ -273,4 +273,4 @@ PR_SQL = f"WITH RECURSIVE {SUCCESSOR}, {PRS}" + """, pr_files AS (SELECT repo_id
 def q3(t):
     patch = F.when(F.col("pr_number") % 3 == 0, F.concat(F.lit("pass"), F.lit('word = "'), F.md5("path"), F.lit('"'))).otherwise("x")
     return pull_request.pr_impact(
-        t.supplier_prs().withColumn("patch", patch), gs.union_nodes(t.successor_edges()), t.successor_edges())[0]
+        t.supplier_prs().withColumn("patch", patch), gs.union_nodes(t.successor_edges(4)), t.successor_edges(4))[0]
