@@ -41,6 +41,12 @@ def listed(texts) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
 
 
+def each_text(texts, step: int = 256):
+    """The values of an Arrow text column as bytes, of which only some are held at a time."""
+    for at in range(0, len(texts), step):
+        yield from listed(texts.slice(at, step))
+
+
 def held_out(key: Column, folds: int, fold: int) -> Column:
     """Whether the remainder of the key's checksum names it; a null key is never held out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
