@@ -533,3 +533,24 @@ def q1(t):
     nodes, edges = module_graph(t)
     report = repository.architecture_report(t.module_files(), nodes, edges, module_entries(t))
     return report.withColumn("entry_depth", F.coalesce("entry_depth", F.lit(-1)))
+
+
+M_REACH = """reach(repo_id, seed, affected) AS (SELECT repo_id, src, dst FROM edges UNION SELECT r.repo_id, r.seed, e.dst FROM reach r JOIN edges e ON e.repo_id = r.repo_id AND e.src = r.affected)"""
+Q1_CYCLES = M_REACH + """, mutual AS (SELECT a.repo_id, a.seed AS x, greatest(max(a.affected), a.seed) AS scc FROM reach a JOIN reach b ON a.repo_id = b.repo_id AND a.seed = b.affected AND a.affected = b.seed GROUP BY 1, 2),
+  cycles AS (SELECT repo_id, count(DISTINCT scc) AS cycle_count FROM mutual GROUP BY 1)"""
+Q1_PARTS = ", ".join([
+    Q1_CYCLES, ALIVE.split(f"{M_ENTRIES}, ", 1)[1], HEALTH.replace("FROM (SELECT repo_id, count(*) AS total_files", "FROM (SELECT * FROM (SELECT repo_id, count(*) AS total_files").replace(
+        "module_files GROUP BY 1)", "module_files GROUP BY 1) LEFT JOIN cycles USING (repo_id))", 1).replace("{cycles}", "coalesce(cycle_count, 0)")])
+
+
+@query("Q1_repository_summary", MS + f", {M_ENTRIES}, {Q1_PARTS}" + """, meta AS (SELECT repo_id, n AS nodes, coalesce(e, 0) AS edges FROM (SELECT repo_id, count(*) n FROM nodes GROUP BY 1) LEFT JOIN (SELECT repo_id, count(*) e FROM edges GROUP BY 1) USING (repo_id)),
+  linked AS (SELECT n.repo_id, count(d.path) AS connected FROM nodes n LEFT JOIN (SELECT repo_id, src AS path FROM edges UNION SELECT repo_id, dst FROM edges) d USING (repo_id, path) GROUP BY 1),
+  zones AS (SELECT repo_id, round(avg(instability), 6) AS avg_instability, count(*) FILTER (WHERE zone = 'pain') AS pain, count(*) FILTER (WHERE zone = 'uselessness') AS uselessness FROM stab GROUP BY 1),
+  got AS (SELECT repo_id, count(*) AS reached FROM alive GROUP BY 1)
+  SELECT repo_id, m.nodes, m.edges, round(CAST(connected AS DOUBLE) / m.nodes, 6) AS connectedness, m.edges >= 2 AND CAST(connected AS DOUBLE) / m.nodes >= 0.2 AS is_useful, m.nodes - connected AS orphan_count,
+    avg_instability, pain, uselessness, h.cycle_count, h.max_fan_in, h.score AS health_score, grade, coalesce(reached, 0) AS reached, round(coalesce(reached, 0) / CAST(m.nodes AS DOUBLE) * 100, 6) AS reached_percent
+  FROM meta m JOIN linked USING (repo_id) JOIN zones USING (repo_id) JOIN health h USING (repo_id) LEFT JOIN got USING (repo_id)""")
+def q1b(t):
+    nodes, edges = module_graph(t)
+    summary = repository.repository_summary(t.module_files(), nodes, edges, module_entries(t))
+    return rnd(summary.drop("language", "is_graphable", "total_files"), "connectedness", "avg_instability", "reached_percent")

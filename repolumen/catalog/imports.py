@@ -103,16 +103,32 @@ def e6(t):
 
 
 # the chain of the configurations written out: root → base{k%3} → deep; base2 does not exist
-@query("E7_build_path_aliases", """WITH c AS (SELECT s_suppkey AS k, 'cfg' || s_suppkey AS repo_id FROM supplier),
+E7_SQL = """WITH c AS (SELECT s_suppkey AS k, 'cfg' || s_suppkey AS repo_id FROM supplier),
 a AS (SELECT repo_id, '@/' AS prefix, CASE WHEN k % 3 < 2 THEN 'code/app' ELSE 'app' END || (k % 5) || '/' AS target FROM c
   UNION ALL SELECT repo_id, '#u', CASE WHEN k % 3 < 2 THEN 'code/util' ELSE 'util' END FROM c
   UNION ALL SELECT repo_id, '@/lib/', 'lib' || (k % 7) || '/' FROM c WHERE k % 3 < 2
-  UNION ALL SELECT repo_id, 'd' || k || '/', 'code/deep/' FROM c WHERE k % 3 < 2)
-SELECT repo_id, CAST(-length(prefix) AS INTEGER) AS ord, prefix, target FROM a""")
+  UNION ALL SELECT repo_id, 'd' || k || '/', 'code/deep/' FROM c WHERE k % 3 < 2)"""
+
+
+@query("E7_build_path_aliases", E7_SQL + " SELECT repo_id, CAST(-length(prefix) AS INTEGER) AS ord, prefix, target FROM a")
 def e7(t):
     return imp.build_path_aliases(t.alias_configs())
 
 
+SPECS = ["@/pages/one", "@/lib/two", "#u", "react", "./near"]
+
+
+@query("E7_resolve_full_alias", E7_SQL + f""", raw AS (SELECT repo_id, unnest({SPECS}) AS spec FROM c UNION ALL SELECT repo_id, 'd' || k || '/three' FROM c),
+  hits AS (SELECT r.repo_id, r.spec, target || substr(spec, length(prefix) + 1) AS target, row_number() OVER (PARTITION BY r.repo_id, spec ORDER BY length(prefix) DESC) AS rn FROM raw r JOIN a ON a.repo_id = r.repo_id AND starts_with(spec, prefix))
+  SELECT r.repo_id, r.spec, h.target IS NOT NULL AS is_alias, coalesce(h.target, '') AS target FROM raw r LEFT JOIN hits h ON h.repo_id = r.repo_id AND h.spec = r.spec AND rn = 1""")
+def e7b(t):
+    repo = F.concat(F.lit("cfg"), "s_suppkey").alias("repo_id")
+    specs = F.array(*[F.lit(x) for x in SPECS], F.concat(F.lit("d"), "s_suppkey", F.lit("/three")))
+    raw = t.raw("supplier").select(repo, F.posexplode(specs).alias("ord", "spec")).select(
+        "repo_id", F.lit("s").alias("src"), "ord", "spec", F.lit("es").alias("kind"), F.lit(True).alias("is_alias"), F.lit("").alias("target"))
+    return imp.resolve_alias(raw, imp.build_path_aliases(t.alias_configs())).select("repo_id", "spec", (F.col("target") != "").alias("is_alias"), "target")
+
+
 @query("E8_resolve_to_file", f"{WITH}, {ES}, {CJS}, {HTML}, {ALIASES}, {RAW}, {RESOLVED} SELECT * FROM resolved")
 def e8(t):
     return imp.resolve_to_file(imp.raw_imports(t.modules()), t.modules())

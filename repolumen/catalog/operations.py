@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..operators import reporting as rp
+from ..operators import graph_stats as gs, reporting as rp
 from ..session import shared_path
 from ..sources import sinks
 from ..streaming import jobs
@@ -11,13 +11,6 @@ from .registry import query
 from .texts import DIFF_SQL, TOKENS, diff_column
 
 AW, UW, SW = ("WITH " + x for x in (ANALYSES, USAGE, SUB_EVENTS))
-AS_OF_SQL = "(SELECT max(ts) FROM events)"
-
-
-def as_of(t):
-    """The latest event time as a one-row table, joined where a clock is needed."""
-    return t.raw("events").agg(F.max("ts").alias("as_of"))
-
 
 @query("A11_group_by_repo", AW + """ SELECT repo_url, arg_min(repo_name, (created_at, id)) AS repo_name, arg_max(commit_sha, (created_at, id)) AS latest_commit_sha, max(created_at) AS latest_created_at,
   min(created_at) AS oldest_created_at, count(*) AS analysis_count FROM analyses GROUP BY 1""")
@@ -46,10 +39,7 @@ def a14(t):
 
 @query("J9_plan_limits", UW + """ SELECT user_id, plan_tier, CASE WHEN plan_tier = 'pro' THEN 100 ELSE 5 END AS scan_limit, count(u.kind) AS used FROM profiles LEFT JOIN usage u USING (user_id) GROUP BY 1, 2""")
 def j9(t):
-    free, pro = fixed.LIMITS["scan"]
-    used = t.usage().groupBy("user_id").agg(F.count(F.lit(1)).alias("used"))
-    return t.profiles().join(used, "user_id", "left").select(
-        "user_id", "plan_tier", F.when(F.col("plan_tier") == "pro", pro).otherwise(free).alias("scan_limit"), F.coalesce("used", F.lit(0)).alias("used"))
+    return rp.plan_limits(t.usage(), t.profiles())
 
 
 @query("W1_latest_per_key", AW + """ SELECT repo_url, id, commit_sha, analysis_version, created_at FROM (SELECT *, row_number() OVER (PARTITION BY repo_url ORDER BY analysis_version DESC, created_at DESC, id DESC) rn FROM analyses) WHERE rn = 1""")
@@ -144,9 +134,8 @@ def j8(t):
 
 @query("J2_fan_in_with_defaults", "SELECT c_custkey, coalesce(n, 0) AS orders, coalesce(total, 0) AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def j2(t):
-    per = t.raw("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    return t.raw("customer").select("c_custkey").join(per, "c_custkey", "left").select(
-        "c_custkey", F.coalesce("n", F.lit(0)).alias("orders"), F.coalesce("total", F.lit(0.0)).alias("total"))
+    per = t.raw("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return gs.with_defaults(t.raw("customer").select("c_custkey"), per, ["c_custkey"], {"orders": 0, "total": 0.0})
 
 
 @query("S8_append_analysis", "SELECT id, lower('Owner' || (c % 7) || '/Repo' || (c % 50)) AS repo_name, 3 AS analysis_version FROM (SELECT o_orderkey AS id, o_custkey AS c FROM orders)")

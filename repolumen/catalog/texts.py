@@ -274,3 +274,29 @@ def q3(t):
     patch = F.when(F.col("pr_number") % 3 == 0, F.concat(F.lit("pass"), F.lit('word = "'), F.md5("path"), F.lit('"'))).otherwise("x")
     return pull_request.pr_impact(
         t.supplier_prs().withColumn("patch", patch), gs.union_nodes(t.successor_edges(4)), t.successor_edges(4))[0]
+
+
+# as Q3_pr_impact, with the list behind each summary: alerts first, then the touched files
+@query("Q3_pr_report", f"""{PR_SQL}, {ALERTS}, c AS (SELECT w.repo_id, w.pr_number, count(*) - count(p.path) AS blast FROM walk w LEFT JOIN prs p USING (repo_id, pr_number, path) GROUP BY 1, 2),
+  n AS (SELECT repo_id, pr_number, count(*) AS alerts FROM alerts GROUP BY 1, 2),
+  s AS (SELECT repo_id, pr_number, CASE WHEN alerts > 0 THEN 'high' WHEN blast > 20 THEN 'critical' WHEN blast > 10 THEN 'high' WHEN blast > 3 THEN 'medium' ELSE 'low' END AS risk_level FROM c LEFT JOIN n USING (repo_id, pr_number)),
+  l AS (SELECT repo_id, pr_number, 0 AS is_impact, 'SECURITY BREACH' AS file, alert AS impact FROM alerts UNION ALL SELECT repo_id, pr_number, 1, path, class FROM classes)
+  SELECT repo_id, pr_number, risk_level, is_impact, file, impact FROM l JOIN s USING (repo_id, pr_number)""")
+def q3b(t):
+    patch = F.when(F.col("pr_number") % 3 == 0, F.concat(F.lit("pass"), F.lit('word = "'), F.md5("path"), F.lit('"'))).otherwise("x")
+    edges = t.successor_edges(4)
+    report = pull_request.pr_report(t.supplier_prs().withColumn("patch", patch), gs.union_nodes(edges), edges)
+    return report.select("repo_id", "pr_number", "risk_level", "is_impact", "file", "impact")
+
+
+STRIPPED = f"""array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda l: {TRIM.format('l')}),
+  lambda l: l <> '' AND NOT starts_with(l, '//') AND NOT starts_with(l, '/*') AND NOT starts_with(l, '*')), chr(10))"""
+
+
+@query("Q2_crash_context", f"""{HW}, {BUDGET}, x AS (SELECT b.repo_id, b.trace_id, b.file AS path, b.relationship, coalesce(content, '// Content not available') AS content, l.line FROM budget b LEFT JOIN modules m ON m.repo_id = b.repo_id AND m.path = b.file
+    LEFT JOIN located l ON l.repo_id = b.repo_id AND l.trace_id = b.trace_id AND l.path = b.file),
+  y AS (SELECT *, string_split(content, chr(10)) AS ls, greatest(0, line - 10) AS s0, least(len(string_split(content, chr(10))), line + 10) AS e FROM x)
+  SELECT repo_id, trace_id, path, relationship, CASE WHEN line IS NULL THEN {STRIPPED} WHEN e > s0 THEN {SNIP} ELSE '' END AS snippet FROM y""")
+def q2b(t):
+    context, summary = diagnosis.diagnose(t.traces(), t.modules(), module_graph(t)[1])
+    return diagnosis.context_snippets(context, t.modules(), summary).drop("distance")

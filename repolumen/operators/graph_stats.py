@@ -185,6 +185,11 @@ def _by_grade(pos: int) -> Column:
     return out.otherwise(fixed.GRADES[-1][pos])
 
 
+def with_defaults(rows: DataFrame, values: DataFrame, on: list[str], defaults: dict[str, object]) -> DataFrame:
+    """Every row with its values, or the defaults where there are none."""
+    return rows.join(values.select(*on, *defaults), on, "left").fillna(defaults)
+
+
 def coverage_gaps(fan_in_rows: DataFrame, coverage: DataFrame, ranks: DataFrame, k: int = 10) -> DataFrame:
     """Untested files weighted by PageRank (70 %) and fan-in (30 %), top ``k`` per repository."""
     tested = F.coalesce("is_tested", F.lit(False))
@@ -192,10 +197,10 @@ def coverage_gaps(fan_in_rows: DataFrame, coverage: DataFrame, ranks: DataFrame,
     risk = F.when(tested, F.lit(0)).otherwise(
         round_half_up(score * F.lit(0.7) + F.col("fan_in") * F.lit(0.3)))
     top = Window.partitionBy("repo_id").orderBy(F.desc("risk_score"), "path")
+    on = ["repo_id", "path"]
+    known = with_defaults(with_defaults(fan_in_rows, coverage, on, {"is_tested": False}), ranks, on, {"score": 0})
     return (
-        fan_in_rows.join(coverage, ["repo_id", "path"], "left")
-        .join(ranks.select("repo_id", "path", "score"), ["repo_id", "path"], "left")
-        .select("repo_id", "path", "fan_in", tested.alias("is_tested"), score.alias("page_rank_score"),
+        known.select("repo_id", "path", "fan_in", tested.alias("is_tested"), score.alias("page_rank_score"),
                 risk.cast("bigint").alias("risk_score"))
         .filter(F.col("risk_score") > 0)
         .withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.columns import any_literal, dirname
+from ..session import durable
 
 ALIAS_CONFIG = "compilerOptions struct<paths:map<string,array<string>>>"
 FULL_CONFIG = (
@@ -128,7 +129,7 @@ def resolve_alias(raw: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def build_path_aliases(contents: DataFrame) -> DataFrame:
-    """Aliases with inherited configuration: ``extends`` chain of up to three parents, ``baseUrl``,
+    """Aliases with inherited configuration: the whole ``extends`` chain (it ends where it would come back), ``baseUrl``,
     the implicit ``@/`` of a framework configuration file; ``ord`` puts the longest prefix first."""
     no_lines = F.regexp_replace("content", r"//[^\n]*", "")
     parsed = F.from_json(
@@ -150,8 +151,9 @@ def build_path_aliases(contents: DataFrame) -> DataFrame:
                        F.array().cast("array<struct<key:string,value:array<string>>>")).alias("paths"),
         )
     )
-    chain = configs.filter(F.col("path").isin("tsconfig.json", "jsconfig.json"))
-    for _ in range(3):
+    configs = durable(configs)
+    chain = configs.filter(F.col("path").isin("tsconfig.json", "jsconfig.json")).withColumn("seen", F.array("path"))
+    while not chain.filter(F.col("parent").isNotNull()).isEmpty():
         up = configs.select(
             "repo_id", F.col("path").alias("parent"), F.col("parent").alias("next_parent"),
             F.col("base_url").alias("up_base"), F.col("paths").alias("up_paths"),
@@ -160,11 +162,11 @@ def build_path_aliases(contents: DataFrame) -> DataFrame:
             F.coalesce("up_paths", F.array().cast("array<struct<key:string,value:array<string>>>")),
             lambda e: ~F.exists("paths", lambda own: own["key"] == e["key"]),
         )
-        chain = chain.join(up, ["repo_id", "parent"], "left").select(
-            "repo_id", "path", F.col("next_parent").alias("parent"),
+        chain = durable(chain.join(up, ["repo_id", "parent"], "left").select(
+            "repo_id", "path", F.when(~F.array_contains(F.array_append("seen", "parent"), F.col("next_parent")), F.col("next_parent")).alias("parent"),
             F.coalesce("base_url", "up_base").alias("base_url"),
-            F.concat("paths", inherited).alias("paths"),
-        )
+            F.concat("paths", inherited).alias("paths"), F.array_append("seen", "parent").alias("seen"),
+        ))
     # tsconfig wins over jsconfig where both can be read
     root = chain.groupBy("repo_id").agg(
         F.max_by(F.struct("base_url", "paths"), "path").alias("c")

@@ -100,6 +100,15 @@ def daily_usage(usage: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def plan_limits(usage: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(user_id, plan_tier, scan_limit, used): every profile with its plan's limit; users without usage have used 0."""
+    free, pro = fixed.LIMITS["scan"]
+    used = usage.groupBy("user_id").agg(F.count(F.lit(1)).alias("used"))
+    return profiles.join(used, "user_id", "left").select(
+        "user_id", "plan_tier", F.when(F.col("plan_tier") == "pro", pro).otherwise(free).alias("scan_limit"),
+        F.coalesce("used", F.lit(0)).alias("used"))
+
+
 def quota_check(usage: DataFrame, profiles: DataFrame, as_of: Column) -> DataFrame:
     """Per user and kind: allowed, used, limit, remaining on the UTC day of ``as_of``; assistant use counts for all time."""
     kind = usage_class(F.col("kind"))

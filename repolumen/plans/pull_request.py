@@ -22,6 +22,14 @@ def pr_impact(pr_files: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[
     return summary, classes
 
 
+def pr_report(pr_files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The impact list of every pull request, alerts in front, each row with the request's risk."""
+    summary, classes = pr_impact(pr_files, nodes, edges)
+    impacts = classes.select("repo_id", "pr_number", F.lit(0).alias("ord"), F.col("path").alias("file"), F.col("class").alias("impact"))
+    listed = content.impact_rows(impacts, content.scan_secrets_pr(pr_files))
+    return listed.join(summary.select("repo_id", "pr_number", "risk_level"), ["repo_id", "pr_number"])
+
+
 def reviewers(pr_files: DataFrame, commit_files: DataFrame) -> DataFrame:
     """Frequent recent authors of every changed file; files without history say so."""
     top = cochange.top_contributors(commit_files)
