@@ -147,14 +147,14 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", into:
     reference or word list, are not held against them. References are learned twice: from all documents, then from
     those within twice the limits of the first, so that a share of junk does not pass for the language. The text is
     read once: counts are written with the row's other columns (without the text if ``keep_text`` is false), and
-    references are small groupings of the counts.
+    references are small groupings of the counts, written so that Spark knows their size when it plans the join.
     Repeated rows get equal verdicts; an empty table gives no rows.
     """
     kept = [c for c in docs.columns if c != into and (keep_text or c != text)]
     counted = written(text_counts(docs, text, lang, into).select(*kept, into), "counts")
-    first = language_references(counted, lang, into, least_words)
+    first = written(language_references(counted, lang, into, least_words), "references")
     seen = judged(counted, first, kept, lang, into, least_words, 2 * most_classes, most_words)
-    refs = language_references(seen, lang, into, least_words, F.col(f"{into}.kept"))
+    refs = written(language_references(seen, lang, into, least_words, F.col(f"{into}.kept")), "references")
     return judged(counted, refs, kept, lang, into, least_words, most_classes, most_words)
 
 
