@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import listed, written
+from .common import each_text, written
 
 GRAM = 4
 #: Slots of the filter are numbered by three slices of this many bits of an n-gram's hash.
@@ -79,7 +79,7 @@ def predict(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> Da
 
         model = shared.value
         for batch in batches:
-            found = [_language(t.decode("utf-8", "replace"), model) for t in listed(batch.column(text))]
+            found = [_language(t.decode("utf-8", "replace"), model) for t in each_text(batch.column(text))]
             names, scores = zip(*found, strict=True) if found else ((), ())
             rest = batch.select([f.name for f in kept])
             yield pa.RecordBatch.from_arrays(
@@ -141,7 +141,7 @@ def _counted(batches):
             names=["lang", "gram", "n"])
 
     for batch in batches:
-        for t, lang in zip(listed(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+        for t, lang in zip(each_text(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             found = grams(t.decode("utf-8", "replace"))
             if len(found):
                 held.setdefault(lang, []).append(found)

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, listed
+from .common import each_text, fresh
 
 #: Kinds in the order in which spans with the same start are listed; the structural kinds come last.
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
@@ -41,7 +41,7 @@ def secret_spans(docs: DataFrame, text: str = "text", into: str = "secrets") ->
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t.decode("utf-8", "replace"))]
-                     for t in listed(batch.column(text))]
+                     for t in each_text(batch.column(text))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, into])
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, listed, smallest_reachable, written
+from .common import each_text, fresh, smallest_reachable, written
 
 #: A segment value that more fingerprints than this share is divided by the segments of the other half.
 CROWDED = 128
@@ -30,7 +30,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, name: st
         import pyarrow as pa
 
         for batch in batches:
-            out = np.fromiter((_fingerprint(t, shingle) for t in listed(batch.column(text))), np.uint64, batch.num_rows)
+            out = np.fromiter((_fingerprint(t, shingle) for t in each_text(batch.column(text))), np.uint64, batch.num_rows)
             rest = [n for n in batch.schema.names if n != text]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in rest), pa.array(out.view(np.int64))], names=[*rest, name])
