@@ -209,7 +209,8 @@ def test_files_by_depth(spark):
     assert dict(rows(tr.bfs_depth(edges, nodes, entry), "path", "depth")) == want
     assert set(dict(rows(tr.bfs_depth(edges, nodes, entry, max_depth=1), "path", "depth"))) == {"page", "Nav", "utils"}
     ranked = spark.createDataFrame([("r", 1, "orphan"), ("r", 2, "page")], "repo_id string, position int, path string")
-    assert dict(rows(tr.files_by_depth(edges, nodes, entry, fallback=ranked), "path", "depth")) == {**want, "orphan": 4}
+    assert dict(rows(tr.files_by_depth(edges, nodes, entry, max_depth=3, max_nodes=60, fallback=ranked), "path", "depth")) == {**want, "orphan": 4}
+    assert dict(rows(tr.files_by_depth(edges, nodes, entry), "path", "depth")) == want
     assert tr.files_by_depth(edges, nodes, entry, max_nodes=2).count() == 2
     none = entry.filter("path = 'x'")
     assert dict(rows(tr.bfs_depth(edges, nodes, none, max_depth=0), "path", "depth")) == {"Nav": 0, "constants": 0, "helpers": 0, "utils": 0}
