@@ -66,7 +66,9 @@ def tokenized(docs: DataFrame, vocabulary: str, text: str = "text", capacity: in
 def _encoder(vocabulary: str):
     """A function from texts to their ids as bytes.
 
-    The vocabulary's pieces never span ASCII white space, so words are encoded one by one and remembered.
+    The vocabulary's pieces never span ASCII white space, so words are encoded one by one and remembered. A comma or
+    full stop after a letter is a piece of its own, and the vocabulary has lower case only, so words that differ in
+    these are encoded once.
     """
     import os
     import struct
@@ -81,14 +83,23 @@ def _encoder(vocabulary: str):
     tokenizer, known = store["tokens", vocabulary]
 
     def encode(texts: list[bytes], end: int) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
+        # a mark of a special token must stand as it is
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         missing = {w for words in split for w in words if w not in known}
-        rare = {}
-        for at in (missing := list(missing)) and range(0, len(missing), 4096):
-            some = missing[at:at + 4096]
+        parts = {w: (w[:-1], w[-1:]) if w[-1:] in (b",", b".") and w[-2:-1].isalpha() else (w,) for w in missing}
+        wanted = list({p for ps in parts.values() for p in ps if p not in known})
+        made = {}
+        for at in range(0, len(wanted), 4096):
+            some = wanted[at:at + 4096]
             for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                ids = e.ids
-                (known if len(w) <= LONGEST and len(known) < REMEMBERED else rare)[w] = struct.pack(f"<{len(ids)}I", *ids)
+                made[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        rare = {}
+        for w, ps in parts.items():
+            ids = b"".join([made[p] if p in made else known[p] for p in ps])
+            (known if len(w) <= LONGEST and len(known) < REMEMBERED else rare)[w] = ids
+        for w in made:
+            if w not in parts and len(w) <= LONGEST and len(known) < REMEMBERED:
+                known[w] = made[w]
         last = struct.pack("<I", end)
         for words in split:
             if rare:
