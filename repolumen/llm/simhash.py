@@ -161,7 +161,11 @@ def _labels(seen: DataFrame, key: str, distance: int) -> DataFrame:
 
 def _roots(classes: DataFrame, distance: int) -> DataFrame:
     """The classes with the smallest fingerprint they can reach as ``root``."""
-    up = smallest_reachable(near_pairs(classes.select("fingerprint"), distance))
+    return _rooted(classes, near_pairs(classes.select("fingerprint"), distance))
+
+
+def _rooted(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    up = smallest_reachable(pairs)
     return classes.join(up.withColumnRenamed("u", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", "first", F.coalesce("v", "fingerprint").alias("root"))
 
@@ -177,7 +181,12 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     seen = written(fingerprints(columns, shingle=shingle), "fingerprints")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
     classes = written(seen.groupBy("fingerprint").agg(F.min(order).alias("first")), "classes")
-    stay = _roots(classes, distance).groupBy("root").agg(F.min("first").alias("first"))
+    return first_of_groups(kept, mark, seen, classes, near_pairs(classes.select("fingerprint"), distance))
+
+
+def first_of_groups(kept: DataFrame, mark: str, seen: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``kept`` that come first among the fingerprints which ``pairs`` link; ``mark`` numbers them and goes."""
+    stay = _rooted(classes, pairs).groupBy("root").agg(F.min("first").alias("first"))
     stay = stay.select(F.col("first.mark").alias(mark))
     gone = written(seen.select(F.col("mark").alias(mark)).join(stay, mark, "left_anti"), "copies")
     return kept.join(gone, mark, "left_anti").drop(mark)
