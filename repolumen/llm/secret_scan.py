@@ -26,9 +26,10 @@ def secret_spans(docs: DataFrame, text: str = "text", into: str = "secrets") ->
     """The table with ``into``: the secrets of the whole text as (kind, start, end) in code points, end exclusive.
 
     ``assign``, ``access`` and ``hex`` are the plain patterns, leftmost and without overlap within a kind. Runs of
-    base64 or hexadecimal digits are decoded and reported only if what they hold is confirmed: ``pem`` is a private
-    key block whose body parses as one of these; ``der`` a key in nested ASN.1 whose lengths fit; ``ssh`` an OpenSSH
-    key whose length-prefixed fields fit; ``jwt`` a signed token with a header that names an algorithm and a payload
+    base64 (either alphabet, also over lines) or hexadecimal digits (either case) are decoded and reported only if what
+    they hold is confirmed: ``pem`` is a private key block whose body parses as one of these or, under a DEK-Info
+    header, is whole cipher blocks; ``der`` a key in nested ASN.1 whose lengths fit; ``ssh`` an OpenSSH key whose
+    length-prefixed fields fit; ``jwt`` a signed token with a header that names an algorithm and a payload
     that is an object. Spans are ordered by start, then kind, then end. Null and empty texts have none. One pass over
     the rows, with no exchange.
     """
@@ -90,7 +91,14 @@ def _patterns():
             # a shorter run fails as a whole, so asking for the length at once finds the same matches
             "access": re.compile(r"AKIA[A-Z0-9]{%d,}" % (LEAST_ACCESS - 4)),
             "hex": re.compile(r"(?<![0-9a-f])[0-9a-f]{%d,}" % LEAST_HEX),
-            "pem": re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----"),
+            "anyhex": re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{%d,}" % LEAST_HEX),
+            "pem": re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----"
+                              r"((?:(?:\s|\\[nr])*[A-Za-z][A-Za-z0-9-]*:(?:(?!\\n)[^\n])*(?:\n|\\n))*)"
+                              r"([A-Za-z0-9+/=\s\\]+)-----END \1-----"),
+            "dek": re.compile(r"DEK-Info:\x20*([A-Za-z0-9-]+),\x20*([0-9A-Fa-f]+)"),
+            # lines of digits of either alphabet, with indents and line ends, also escaped ones, between them
+            "lines": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}"),
+            "wrap": re.compile(r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"),
             "base64": re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}"),
             "jwt": re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{20,})"),
         }
@@ -104,21 +112,35 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         spans += [("assign", *m.span()) for m in find["assign"].finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in find["access"].finditer(text)]
-    for m in find["hex"].finditer(text):
-        spans.append(("hex", *m.span()))
-        if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
-            spans.append((kind, *m.span()))
+    spans += [("hex", *m.span()) for m in find["hex"].finditer(text)]
+    keys = set()  # the structural spans outside key blocks: a run can be found by several patterns
+    for name in ("hex", "anyhex"):
+        for m in find[name].finditer(text):
+            if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
+                keys.add((kind, *m.span()))
     blocks = []
     if "PRIVATE KEY-----" in text:
         for m in find["pem"].finditer(text):
-            if _key_kind(_decoded(m[2].replace("\\n", ""))):
+            body = _decoded(m[3].replace("\\r", "").replace("\\n", ""))
+            if _key_kind(body) or _is_encrypted(find["dek"].search(m[2]), body):
                 blocks.append(m.span())
                 spans.append(("pem", *m.span()))
     for m in find["base64"].finditer(text):
         if not any(a <= m.start() < b for a, b in blocks) and (kind := _key_kind(_decoded(m[0]))):
-            spans.append((kind, *m.span()))
+            keys.add((kind, *m.span()))
+    taken = {start for _, start, _ in keys}
+    for m in find["lines"].finditer(text):
+        if m.start() not in taken and not any(a <= m.start() < b for a, b in blocks) and (found := _wrapped_key(m[0], find["wrap"])):
+            keys.add((found[0], m.start(), m.start() + found[1]))
+    spans += keys
     if "eyJ" in text or "ey" in text and "." in text:
-        spans += [("jwt", *m.span()) for m in find["jwt"].finditer(text) if _is_signed(m[1], m[2])]
+        at = 0
+        while m := find["jwt"].search(text, at):
+            if _is_signed(m[1], m[2]):
+                spans.append(("jwt", *m.span()))
+                at = m.end()
+            else:
+                at = m.start(2)  # the word before the dot may not be the header
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -136,6 +158,39 @@ def _decoded(digits: str, url: bool = False) -> bytes:
         return b""
 
 
+def _is_encrypted(dek, body: bytes) -> bool:
+    """The body of a block with a DEK-Info header is whole cipher blocks, and the starting value is at least 8 bytes."""
+    if not dek or not body or len(dek[2]) < 16:
+        return False
+    return len(body) % (16 if dek[1].upper().startswith("AES") else 8) == 0
+
+
+def _wrapped_key(run: str, wrap) -> tuple[str, int] | None:
+    """(kind, length) of the private key that a run of base64 lines starts with, in either alphabet.
+
+    The key's own lengths tell where it ends, so words after its last line do not matter.
+    """
+    head = _decoded(run[:40].replace("-", "+").replace("_", "/"))
+    if head[:1] != b"\x30" and not head.startswith(OPENSSH):
+        return None
+    digits, places, at = [], [], 0
+    for gap in [*wrap.finditer(run), None]:
+        end = gap.start() if gap else len(run.rstrip("="))
+        digits.append(run[at:end])
+        places.append((places[-1][0] + places[-1][2] - places[-1][1] if places else 0, at, end))
+        at = gap.end() if gap else end
+    data = _decoded("".join(digits).replace("-", "+").replace("_", "/"))
+    size = _fields_end(data, len(OPENSSH)) if head.startswith(OPENSSH) else (_element(data, 0, len(data)) or (0, 0, 0))[2]
+    if not size or not (kind := _key_kind(data[:size])):
+        return None
+    need = -(-size * 4 // 3)
+    before, start, _ = next(p for p in places if p[0] + p[2] - p[1] >= need)
+    end = start + need - before
+    while run[end:end + 1] == "=":
+        end += 1
+    return kind, end
+
+
 def _is_signed(header: str, payload: str) -> bool:
     """A token header names its algorithm, and its payload is an object."""
     import json
@@ -174,7 +229,7 @@ def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 def _key_kind(data: bytes) -> str | None:
     """``der`` or ``ssh`` if the bytes are a private key of that encoding."""
     if data.startswith(OPENSSH):
-        return "ssh" if _fields_fit(data, len(OPENSSH)) else None
+        return "ssh" if _fields_end(data, len(OPENSSH)) else None
     outer = _element(data, 0, len(data)) if data[:1] == b"\x30" else None
     # up to two bytes may follow, as a run of base64 digits ends on no byte
     if outer is None or len(data) - outer[2] > 2:
@@ -185,6 +240,8 @@ def _key_kind(data: bytes) -> str | None:
     tags = [t for t, _, _ in parts]
     if len(tags) >= 9 and set(tags[:9]) == {2}:
         return "der"  # RSA: version and eight numbers
+    if tags == [2] * 6 and data[parts[0][1]:parts[0][2]] == b"\0":
+        return "der"  # DSA: version and five numbers
     if tags[:2] == [2, 4] and {0xA0, 0xA1} & {*tags[2:]}:
         return "der"  # elliptic curve: version, number, then the curve
     if tags[:3] == [2, 0x30, 4]:  # version, algorithm, wrapped key
@@ -197,17 +254,17 @@ def _key_kind(data: bytes) -> str | None:
     return None
 
 
-def _fields_fit(data: bytes, at: int) -> bool:
-    """Cipher, derivation, its options, number of keys, public key, private part: each with its length before it."""
+def _fields_end(data: bytes, at: int) -> int:
+    """Cipher, derivation, its options, number of keys, public key, private part: each with its length before it; 0 if they do not fit."""
     for field in range(5):
         if at + 4 > len(data):
-            return False
+            return 0
         if field == 3:
             keys, at = int.from_bytes(data[at:at + 4]), at + 4
             if keys != 1:
-                return False
+                return 0
         size, at = int.from_bytes(data[at:at + 4]), at + 4
         if at + size > len(data):
-            return False
+            return 0
         at += size
-    return True
+    return at
