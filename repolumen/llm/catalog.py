@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, chat, class_lm, language_id, mixing, nearest, oracle, packing, quality, secret_scan, simhash
-from .common import held_out, written
+from . import boilerplate, chat, class_lm, language_id, mixing, nearest, negatives, ngram_join, oracle, packing, periodic, quality, secret_scan, simhash
+from .common import divided, held_out, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -17,6 +17,7 @@ ORACLE: dict[str, str] = {
     "op2_quality_rules": oracle.quality_rules(),
     "op7_source_mixing": oracle.source_mixing(),
     "op9_chat_formatting": oracle.chat_formatting(MARKS),
+    "op12_hard_negatives": oracle.hard_negatives(),
 }
 
 
@@ -94,6 +95,9 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    def scaled(x):  # beyond 2 ** 45 every such number is whole
+        return F.when(F.abs(x) < 2.0 ** 45, F.floor(256 * x).cast("double")).otherwise(256 * x)
+
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return nearest.search(vectors, F.col("vec_id") % 50 == 0)
 
@@ -119,3 +123,49 @@ def op10_class_scores(spark: SparkSession, folder: str) -> DataFrame:
     scored = class_lm.score(docs.select("doc_id", out.alias("held_out"), "text"), model)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long")).withColumn("perplexity", perplexity)
+
+
+@query
+def op13_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.components(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("text", F.when(h % 10 == 0, cycled(F.col("text"), F.floor(h / 10))).otherwise(F.col("text")))
+    found = periodic.find_runs(docs)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    length = -longest["less"]
+    each = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(each, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), longest["start"].alias("start"), length.alias("length"), longest["period"].alias("period"),
+        F.floor(1000 * length / longest["period"]).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def cycled(text, g):
+    """The text with a cycle from word ``a = g % n`` on, of ``1 + (n - a) / (3 + g % 8)`` words, over and over."""
+    def turned(w):
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        return F.when(n > 0, F.slice(F.concat(F.slice(w, 1, a), F.flatten(F.array_repeat(F.slice(w, a + 1, p), times))), 1, n)).otherwise(w)
+
+    words = F.array_remove(divided(text), "")
+    return F.array_join(F.element_at(F.transform(F.array(words), turned), 1), " ")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    def scaled(x):  # beyond 2 ** 45 every such number is whole
+        return F.when(F.abs(x) < 2.0 ** 45, F.floor(256 * x).cast("double")).otherwise(256 * x)
+
+    vectors = table(spark, folder, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: scaled(x.cast("double"))).alias("embedding"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)

@@ -19,6 +19,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(land(df, name))
 
 
+#: What keeps the rows of a table of files as they are, one for one.
+PLAIN = {"Project", "Filter", "SubqueryAlias", "LocalLimit", "LogicalRelation"}
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a column that tells its rows apart, the same in every read, and that column's name.
+
+    It holds a hash of the file and the row's number there, so the table is not copied; only one that is not read
+    from Parquet files, or is made from these by more than choosing rows and columns, is written first.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in PLAIN and node.children().size() == 1:
+        node = node.children().head()
+    of_files = node.nodeName() == "LogicalRelation" and node.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    rows = docs if of_files and node.relation().fileFormat().toString() == "Parquet" else written(docs, "rows")
+    mark = fresh(docs, "row")
+    return rows.withColumn(mark, F.struct(
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))), mark
+
+
 def divided(text: Column) -> Column:
     """Split at white space; with no other white space than blanks and line ends, without a pattern."""
     other = text.contains("\t") | text.contains("\v") | text.contains("\f") | text.contains("\r")

@@ -78,3 +78,15 @@ placed AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY i)) AS turns_sha256,
   CAST(coalesce(sum(length(t)) FILTER (WHERE r = '{chat.TRAINED}'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY i) FILTER (WHERE r = '{chat.TRAINED}'), '')) AS loss_sha256,
   CAST(sum(CASE WHEN r = '{chat.TRAINED}' OR i = n THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars FROM placed GROUP BY 1"""
+
+
+def hard_negatives() -> str:
+    first = "row_number() OVER (PARTITION BY {by} ORDER BY score DESC, v.vec_id)"
+    score = "CAST(list_sum(list_transform(list_zip(a.v, v.v), lambda z: z[1] * z[2])) AS BIGINT)"
+    return f"""WITH vectors AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS alike, {score} AS score FROM vectors a JOIN vectors v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id AND len(a.v) = len(v.v)),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, {first.format(by='anchor_id')} AS rank FROM scored v WHERE alike) WHERE rank <= 5),
+negatives AS (SELECT v.anchor_id, positive_id, positive_score, v.vec_id AS negative_id, score AS negative_score, CAST({first.format(by='v.anchor_id, positive_id')} AS INTEGER) AS rank
+  FROM scored v JOIN positives p ON p.anchor_id = v.anchor_id AND NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5"""
