@@ -63,19 +63,20 @@ class Tables:
         return (down("customer", "c_custkey", "c_nationkey", "c:")
                 .unionByName(down("supplier", "s_suppkey", "s_nationkey", "s:")).unionByName(up))
 
-    def successor_edges(self, most: int | None = None) -> DataFrame:
-        """Supplier of a line → supplier of the next line of the order, weighted by how often; or the ``most`` frequent ones."""
+    def successor_edges(self) -> DataFrame:
+        """Supplier of a line → supplier of the next line of the order, weighted by how often; landed once per application."""
         line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
-        pairs = (
-            self.raw("lineitem").select("l_orderkey", F.col("l_suppkey").alias("s"), F.lead("l_suppkey").over(line).alias("d"))
-            .filter(F.col("d").isNotNull() & (F.col("s") != F.col("d")))
-            .groupBy("s", "d").agg(F.count(F.lit(1)).alias("weight"))
-        )
-        if most is not None:
-            best = Window.partitionBy("s").orderBy(F.desc("weight"), "d")
-            pairs = pairs.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= most)
-        return pairs.select(F.lit("next").alias("repo_id"), F.concat(F.lit("s"), "s").alias("src"),
-                            F.concat(F.lit("s"), "d").alias("dst"), F.col("weight").cast("double").alias("weight"))
+
+        def build():
+            pairs = (
+                self.raw("lineitem").select("l_orderkey", F.col("l_suppkey").alias("s"), F.lead("l_suppkey").over(line).alias("d"))
+                .filter(F.col("d").isNotNull() & (F.col("s") != F.col("d")))
+                .groupBy("s", "d").agg(F.count(F.lit(1)).alias("weight"))
+            )
+            return pairs.select(F.lit("next").alias("repo_id"), F.concat(F.lit("s"), "s").alias("src"),
+                                F.concat(F.lit("s"), "d").alias("dst"), F.col("weight").cast("double").alias("weight"))
+
+        return self.landed("successor", build)
 
     # -- histories --------------------------------------------------------------
     def commit_rows(self) -> DataFrame:
@@ -310,10 +311,6 @@ SUCCESSOR = """successor AS (
       PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) d FROM lineitem)
     WHERE d IS NOT NULL AND s <> d GROUP BY 1,2))"""
 
-# the relation of the pull-request queries, whose result is every request with every edge it reaches
-MAIN_SUCCESSOR = SUCCESSOR.replace("successor AS (", "all_successor AS (") + """, successor AS (
-  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, CAST(substr(dst, 2) AS BIGINT)) rn FROM all_successor) WHERE rn <= 4)"""
-
 COMMITS = """commit_rows AS (
   SELECT 'repo' || (o_custkey % 4) AS repo_id, 'o' || l_orderkey AS sha, o_orderdate AS committed_at, 'dev' || (o_custkey % 50) AS author,
     'f' || l_suppkey AS path, min(CASE WHEN l_returnflag='R' THEN 'removed' ELSE 'modified' END) AS status

@@ -10,7 +10,7 @@ from ..operators import (
 from ..plans import repository
 from ..session import durable
 from ..sources import sinks
-from .bindings import FOREST, MAIN_SUCCESSOR, PRS, SUCCESSOR, TRADE
+from .bindings import FOREST, PRS, SUCCESSOR, TRADE
 from .imports import COVER_SQL, GRAPH, covered_files, module_graph
 from .inventory import boosted
 from .registry import query
@@ -189,6 +189,12 @@ def g1b(t):
     return tr.blast_risk(tr.blast_radius(t.forest_edges(), seeds), seeds)
 
 
+# as G1_blast_risk, with counts up to 20, and 21 for all above, which takes no list of what each file affects
+@query("G1_blast_levels", BLAST + f" SELECT repo_id, seed, least(n, 21) AS n, {RISK} AS risk FROM (SELECT s.repo_id, s.path AS seed, count(affected) AS n FROM seeds s LEFT JOIN reach r ON r.repo_id = s.repo_id AND r.seed = s.path GROUP BY 1, 2)")
+def g1l(t):
+    return tr.blast_levels(t.forest_edges(), forest_nodes(t))
+
+
 CYC = f"{SW}, {SUCC_NODES}" + """, reach(repo_id, seed, affected) AS (
   SELECT repo_id, dst, src FROM successor UNION SELECT r.repo_id, r.seed, f.src FROM reach r JOIN successor f ON f.repo_id = r.repo_id AND f.dst = r.affected)"""
 
@@ -206,27 +212,26 @@ def g1d(t):
     return tr.node_blast(t.trade_edges(), t.trade_nodes())[1]
 
 
-PR_SQL = f"WITH RECURSIVE {MAIN_SUCCESSOR}, {SUCC_NODES}, {PRS}"
-MAIN = 4  # successors of a supplier in the graph of the pull requests
+PR_SQL = f"WITH RECURSIVE {SUCCESSOR}, {SUCC_NODES}, {PRS}"
 
 
 @query("G2_pr_blast", PR_SQL + " SELECT * FROM classes")
 def g2(t):
-    return tr.pr_blast(t.successor_edges(MAIN), gs.union_nodes(t.successor_edges(MAIN)), t.supplier_prs())
+    return tr.pr_blast(t.successor_edges(), gs.union_nodes(t.successor_edges()), t.supplier_prs())
 
 
 @query("G2_pr_edge_classes", PR_SQL + """ SELECT e.repo_id, a.pr_number, e.src, e.dst, CASE WHEN a.class = 'modified' AND b.class = 'modified' THEN 'modified' ELSE 'hot' END AS class
   FROM successor e JOIN classes a ON a.repo_id = e.repo_id AND a.path = e.src JOIN classes b ON b.repo_id = e.repo_id AND b.path = e.dst AND b.pr_number = a.pr_number""")
 def g2b(t):
-    edges = durable(t.successor_edges(MAIN))
-    return tr.pr_edge_classes(edges, tr.pr_blast(edges, gs.union_nodes(t.successor_edges(MAIN)), t.supplier_prs()))
+    edges = durable(t.successor_edges())
+    return tr.pr_edge_classes(edges, tr.pr_blast(edges, gs.union_nodes(t.successor_edges()), t.supplier_prs()))
 
 
 @query("G2_pr_counts", PR_SQL + """ SELECT c.repo_id, pr_number, count(*) FILTER (WHERE class = 'modified') AS modified, count(*) FILTER (WHERE class = 'blast') AS blast, max(total) - count(n.path) AS unaffected
   FROM classes c LEFT JOIN succ_nodes n USING (repo_id, path) JOIN (SELECT repo_id, count(*) AS total FROM succ_nodes GROUP BY 1) USING (repo_id) GROUP BY 1, 2""")
 def g2c(t):
-    nodes = gs.union_nodes(t.successor_edges(MAIN))
-    return tr.pr_unaffected_counts(nodes, tr.pr_blast(t.successor_edges(MAIN), nodes, t.supplier_prs()))
+    nodes = gs.union_nodes(t.successor_edges())
+    return tr.pr_unaffected_counts(nodes, tr.pr_blast(t.successor_edges(), nodes, t.supplier_prs()))
 
 
 DEPTH = MG + f", {M_ENTRIES}" + """, present AS (SELECT e.repo_id, e.path FROM entries e JOIN nodes USING (repo_id, path)),

@@ -128,9 +128,12 @@ def resolve_alias(raw: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
-def build_path_aliases(contents: DataFrame) -> DataFrame:
-    """Aliases with inherited configuration: the whole ``extends`` chain (it ends where it would come back), ``baseUrl``,
-    the implicit ``@/`` of a framework configuration file; ``ord`` puts the longest prefix first."""
+def build_path_aliases(contents: DataFrame, levels: int | None = None) -> DataFrame:
+    """Aliases with inherited configuration: the ``extends`` chain, ``baseUrl``, the implicit ``@/`` of a framework
+    configuration file; ``ord`` puts the longest prefix first.
+
+    The chain is followed to its end, or where it would come back; with ``levels``, no further than so many steps up.
+    """
     no_lines = F.regexp_replace("content", r"//[^\n]*", "")
     parsed = F.from_json(
         F.regexp_replace(no_lines, r"(?s)/\*.*?\*/", ""), FULL_CONFIG,
@@ -153,7 +156,9 @@ def build_path_aliases(contents: DataFrame) -> DataFrame:
     )
     configs = durable(configs)
     chain = configs.filter(F.col("path").isin("tsconfig.json", "jsconfig.json")).withColumn("seen", F.array("path"))
-    while not chain.filter(F.col("parent").isNotNull()).isEmpty():
+    step = 0
+    while (levels is None or step < levels) and not chain.filter(F.col("parent").isNotNull()).isEmpty():
+        step += 1
         up = configs.select(
             "repo_id", F.col("path").alias("parent"), F.col("parent").alias("next_parent"),
             F.col("base_url").alias("up_base"), F.col("paths").alias("up_paths"),

@@ -3,7 +3,8 @@
 One loop serves every reachability operator: a frontier keyed by a search (seed, trace, pull
 request or the repository itself) is joined with the edges, what was seen before is removed by
 an anti-join, and the rest is the next frontier. Each round is one job that also measures the
-frontier; a measured-small frontier is broadcast, a larger one shuffles on the join key.
+frontier; a measured-small frontier is broadcast, a larger one shuffles to the edges, which are
+laid out once.
 """
 from __future__ import annotations
 
@@ -12,18 +13,14 @@ from pyspark.sql import functions as F
 
 from ..session import Cut, durable, measured, together
 from .graph_stats import fan_in
+from .layout import Layout, lay_out
 
 COMPACT_EVERY = 8
 
 
-def _hop_table(edges: DataFrame, reverse: bool) -> DataFrame:
-    a, b = ("dst", "src") if reverse else ("src", "dst")
-    return edges.select("repo_id", F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-
-
 def expand(
     seeds: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | Layout,
     keys: list[str],
     reverse: bool = False,
     max_depth: int | None = None,
@@ -32,27 +29,43 @@ def expand(
     """All nodes reached from ``seeds(keys…, node)``: (keys…, node, depth), depth of the first visit.
 
     ``keys`` contains ``repo_id``. With ``mark_seeds=False`` the seeds are not taken as visited:
-    they appear only when a path leads back to them.
+    they appear only when a path leads back to them. ``edges`` may be laid out already, in the direction of the walk;
+    seeds that it does not name reach themselves only. Searches and nodes are numbers in the loop, and only these
+    numbers are shuffled.
     """
-    hops = durable(_hop_table(edges, reverse))
-    start = measured(seeds.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
-    seen: list[Cut] = [start] if mark_seeds else []
-    frontier, level = start, 0
+    given = edges if isinstance(edges, Layout) else None
+    walk = given or lay_out(edges, reverse=reverse)
+    start = walk.ids(seeds.select(*keys, "node").distinct().withColumnRenamed("node", "seed_node"), "seed_node")
+    search = keys != ["repo_id"]
+    if search:  # ids are numbers over all repositories, so a search by repository needs no key of its own
+        searches = durable(seeds.select(*keys).distinct().withColumn("search", F.monotonically_increasing_id()))
+        start = start.join(searches, keys)
+    start = durable(start)
+    by = ["search", "node"] if search else ["node"]
+    first = measured(start.filter(F.col("node").isNotNull()).select(*by, "parts", F.lit(0).alias("depth")))
+    seen: list[Cut] = [first] if mark_seeds else []
+    frontier, level = first, 0
     while frontier.rows and (max_depth is None or level < max_depth):
         level += 1
-        found = (
-            frontier.for_join().join(hops, ["repo_id", "node"])
-            .select(*keys, F.col("next").alias("node")).distinct()
-        )
+        found = walk.follow(frontier.for_join().select(*by, "parts")).select(
+            *by[:-1], F.col("next").alias("node"), F.col("next_parts").alias("parts")).distinct()
         if seen:
-            known = together(seen).for_join().select(*keys, "node")
-            found = found.join(known, [*keys, "node"], "left_anti")
+            found = found.join(together(seen).for_join().select(*by), by, "left_anti")
         frontier = measured(found.withColumn("depth", F.lit(level)))
         if frontier.rows:
             seen.append(frontier)
         if len(seen) >= COMPACT_EVERY:
             seen = [measured(together(seen).df)]
-    return together(seen).df if seen else start.df.limit(0)
+    reached = together(seen).df if seen else first.df.limit(0)
+    reached = walk.named(reached, "reached").drop("parts")
+    if search:
+        reached = reached.drop("repo_id").join(searches, "search").drop("search")
+    out = reached.select(*keys, F.col("reached").alias("node"), "depth")
+    if mark_seeds:
+        out = out.union(start.filter(F.col("node").isNull()).select(*keys, "seed_node", F.lit(0)))
+    if given is None:
+        walk.drop()
+    return out
 
 
 def risk_level(n):
@@ -79,6 +92,41 @@ def blast_risk(affected: DataFrame, seeds: DataFrame) -> DataFrame:
     )
 
 
+def blast_levels(edges: DataFrame, seeds: DataFrame, most: int = 20) -> DataFrame:
+    """(repo_id, seed, n, risk) as ``blast_risk`` has it, without listing what is affected; n is ``most + 1`` for all above.
+
+    A node keeps the ``most + 1`` smallest ids of the files that reach it, which suffice to tell every count up to
+    ``most`` and thereby the risk. Ids are handed against the imports until nothing changes: of what arrives at a node,
+    only ids that enter its list go on. So the state has at most ``most + 1`` rows a node, however many files a seed
+    affects, and a hub's list is cut in each task before it is shuffled. ``most`` is 20 at least.
+    """
+    walk = lay_out(edges, seeds)  # an importer's id goes to what it imports
+    kept = max(most, 20) + 1
+    smallest = Window.partitionBy("node").orderBy("id")
+    hand = ["node", "parts", "id"]
+
+    def lists(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rn", F.row_number().over(smallest)).filter(F.col("rn") <= kept).drop("rn")
+
+    first = walk.arcs.select(F.col("next").alias("node"), F.col("next_parts").alias("parts"), F.col("node").alias("id")).distinct()
+    state = measured(lists(first).withColumn("new", F.lit(True)))
+    entered = state.rows
+    while entered:
+        sent = walk.follow(state.df.filter("new").select(*hand)).select(
+            F.col("next").alias("node"), F.col("next_parts").alias("parts"), "id").distinct()
+        known = state.df.select(*hand, F.lit(False).alias("new"))
+        # one row of an id that a node had and gets again, which is not new
+        both = known.unionByName(sent.withColumn("new", F.lit(True))).groupBy(*hand).agg(F.min("new").alias("new"))
+        state = measured(lists(both), F.count_if("new").alias("entered"))
+        entered = state.seen["entered"]
+    counts = walk.named(state.df.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "seed")
+    n = F.coalesce("n", F.lit(0))
+    out = seeds.select("repo_id", F.col("path").alias("seed")).distinct().join(counts, ["repo_id", "seed"], "left").select(
+        "repo_id", "seed", F.least(n, F.lit(most + 1)).alias("n"), risk_level(n).alias("risk"))
+    walk.drop()
+    return out
+
+
 def node_blast(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The variant that includes the start node, with the edges walked: (nodes, edges)."""
     start = seeds.select("repo_id", F.col("path").alias("seed"), F.col("path").alias("node"))
@@ -212,21 +260,22 @@ def site_traversal(
     keys = ["repo_id", "site"]
     start = durable(crashes.select("repo_id", F.col("path").alias("site")).distinct()).withColumn("node", F.col("site"))
 
-    def side(reverse: bool, name: str) -> DataFrame:
-        return (
-            expand(start, edges, keys, reverse=reverse, max_depth=reach)
-            .filter(F.col("depth") > 0)
-            .select(*keys, F.col("node").alias("file"), F.col("depth").alias("distance"),
-                    F.lit(name).alias("relationship"))
-        )
-
+    # both directions in one walk: each node stands for two, one that is left along its imports and one against them
+    ways = ("downstream", "upstream")
+    arcs = edges.select("repo_id", "src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL")
+    sided = [arcs.select("repo_id", F.concat(F.lit(w[0]), a).alias("src"), F.concat(F.lit(w[0]), b).alias("dst"))
+             for w, a, b in zip(ways, ("src", "dst"), ("dst", "src"), strict=True)]
+    seeds = start.select(*keys, F.explode(F.array(*[F.concat(F.lit(w[0]), "node") for w in ways])).alias("node"))
+    met = expand(seeds, sided[0].union(sided[1]), keys, max_depth=reach).filter(F.col("depth") > 0)
+    sides = met.select(*keys, F.substring("node", F.lit(2), F.length("node")).alias("file"), F.col("depth").alias("distance"),
+                       F.when(F.substring("node", 1, 1) == ways[0][0], ways[0]).otherwise(ways[1]).alias("relationship"))
     site = start.select(*keys, F.col("node").alias("file"), F.lit(0).alias("distance"),
                         F.lit("crash_site").alias("relationship"))
     fan = F.coalesce("fan_in", F.lit(0))
     relevance = F.when(F.col("relationship") == "crash_site", F.lit(1000.0)).otherwise(
         (F.lit(reach) - F.col("distance")) * (F.lit(1.0) + F.log(fan + 1.0)))
     around = (
-        site.unionByName(side(False, "downstream")).unionByName(side(True, "upstream"))
+        site.unionByName(sides)
         .join(fan_in_rows.withColumnRenamed("path", "file"), ["repo_id", "file"], "left")
         .select(*keys, "file", "distance", fan.alias("fan_in"), "relationship", relevance.alias("relevance_score"))
     )

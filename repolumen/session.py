@@ -9,7 +9,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,7 @@ class Cut:
     df: DataFrame
     rows: int
     bytes: int
+    seen: dict | None = None
 
     def for_join(self) -> DataFrame:
         """Hinted for broadcast when the measured size is below the session's own threshold.
@@ -89,8 +90,8 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(text)
 
 
-def measured(df: DataFrame) -> Cut:
-    """``durable`` that also measures rows and bytes in the same job."""
+def measured(df: DataFrame, *more: Column) -> Cut:
+    """``durable`` that also measures rows and bytes, and ``more`` aggregates by their names, in the same job."""
     seen = Observation(uuid.uuid4().hex)
     width = F.lit(16)
     for field in df.schema.fields:
@@ -98,9 +99,9 @@ def measured(df: DataFrame) -> Cut:
             width = width + F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
         else:
             width = width + 16
-    cut = durable(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")))
+    cut = durable(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(width).alias("b"), *more))
     got = seen.get
-    return Cut(cut, int(got["n"]), int(got["b"] or 0))
+    return Cut(cut, int(got["n"]), int(got["b"] or 0), got)
 
 
 def is_landed(spark: SparkSession, path: str) -> bool:

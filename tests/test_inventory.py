@@ -100,8 +100,9 @@ def test_inherited_aliases(spark):
     chain = [("tsconfig.json", '{"extends": "./p1.json", "compilerOptions": {"paths": {"#own": ["own.ts"]}}}')]
     chain += [(f"p{i}.json", f'{{"extends": "./p{i + 1}.json", "compilerOptions": {{"paths": {{"k{i}/*": ["t{i}/*"]}}}}}}') for i in range(1, 6)]
     df = contents(spark, chain + [("next.config.mjs", "")])
-    got = dict(rows(imp.build_path_aliases(df), "prefix", "target"))
-    assert got == {"#own": "own.ts", "k1/": "t1/", "k2/": "t2/", "k3/": "t3/", "@/": "src/"}
+    first = {"#own": "own.ts", "k1/": "t1/", "k2/": "t2/", "k3/": "t3/", "@/": "src/"}
+    assert dict(rows(imp.build_path_aliases(df, levels=3), "prefix", "target")) == first
+    assert dict(rows(imp.build_path_aliases(df), "prefix", "target")) == {**first, "k4/": "t4/", "k5/": "t5/"}
     raw = spark.createDataFrame([("r", "s", 0, s, "es", True, s) for s in ("@/x", "#own", "zz")],
                                 "repo_id string, src string, ord int, spec string, kind string, is_alias boolean, target string")
     assert dict(rows(imp.resolve_alias(raw, imp.build_path_aliases(df)), "spec", "target")) == {"@/x": "src/x", "#own": "own.ts", "zz": "zz"}
