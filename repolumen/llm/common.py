@@ -39,6 +39,28 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
         F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))), mark
 
 
+#: Bits of a bitmap that Spark aggregates.
+BITS = 32768
+
+
+def chosen(rows: DataFrame, mark: str, marks: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows whose ``mark``, as ``numbered`` gives it, is among ``marks`` (its only column), or those where it is not.
+
+    Marks become bitmaps, a bit for each row of a file, so the table of them has an eighth of a byte per row of the
+    input however many are chosen. Spark broadcasts it up to the session's threshold, and texts need no shuffle.
+    """
+    name, file, at, bits = marks.columns[0], fresh(rows, "file"), fresh(rows, "at"), fresh(rows, "bits")
+    number = F.col(f"{name}.row")
+    found = marks.filter(F.col(name).isNotNull()).groupBy(F.col(f"{name}.file").alias(file), F.floor(number / BITS).alias(at)).agg(
+        F.bitmap_construct_agg(number % BITS).alias(bits))
+    found = written(found, "bits")
+    place = (F.col(f"{mark}.row") % BITS).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.bit_get(byte, place.bitwiseAND(7)) > 0, F.lit(False))
+    joined = rows.join(found, (F.col(f"{mark}.file") == F.col(file)) & (F.floor(F.col(f"{mark}.row") / BITS) == F.col(at)), "inner" if keep else "left")
+    return joined.filter(hit if keep else ~hit).select(*[F.col(c) for c in rows.columns])
+
+
 def divided(text: Column) -> Column:
     """Split at white space; with no other white space than blanks and line ends, without a pattern."""
     other = text.contains("\t") | text.contains("\v") | text.contains("\f") | text.contains("\r")

@@ -65,16 +65,18 @@ def mix(docs: DataFrame, size: Column, quality: Column, key: str = "doc_id", sou
     their text. Documents without words are taken with their neighbours. Empty tables give no rows.
 
     Per source, sizes are summed by slices of the key order, and only the slice that holds the end of the part is
-    looked at row by row; so a large source is no single task, and texts are not shuffled. Texts are read once and
-    left out of the result if ``keep_text`` is false.
+    looked at row by row; so a large source is no single task, and texts are neither copied nor shuffled: keys and
+    sizes are written without them, and computed again for a result that has them (unless ``keep_text`` is false).
     """
     kept, a = [c for c in docs.columns if c != into and (keep_text or c != text)], fresh(docs, "mix")
     name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.md5(text), F.lit(""))))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13), 16, 10).cast("double") + 0.5) / float(16 ** 13)
-    rows = written(docs.select(*kept, F.struct(
+    rows = docs.select(*kept, F.struct(
         size.alias("size"), (-F.log(u) / quality).alias("key"), F.col(key).isNull().alias("none"), F.col(key).alias("id"),
-        F.xxhash64(text).alias("hash")).alias(a)), "drawn")
+        F.xxhash64(text).alias("hash")).alias(a))
+    rows = rows if keep_text else written(rows, "drawn")
     drawn = rows.select(F.col(source).alias("source"), f"{a}.*")
+    drawn = written(drawn, "drawn") if keep_text else drawn
     ends = written(_ends(drawn, written(source_targets(drawn, weights, most), "targets")), "ends")
     b = fresh(docs, "end")
     ends = ends.select(F.struct("*").alias(b))

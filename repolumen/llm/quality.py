@@ -145,15 +145,17 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", into:
     A document is kept if the plain rules keep it and its distances to the references of its language, learned from
     all documents of that language, are within the limits. Texts under ``least_words``, and languages that have no
     reference or word list, are not held against them. References are learned twice: from all documents, then from
-    those within twice the limits of the first, so that a share of junk does not pass for the language. The text is
-    read once: counts are written with the row's other columns (without the text if ``keep_text`` is false), and
-    references are small groupings of the counts, written so that Spark knows their size when it plans the join.
-    Repeated rows get equal verdicts; an empty table gives no rows.
+    those within twice the limits of the first, so that a share of junk does not pass for the language. Counts are
+    written without texts, and references are small groupings of them, written so that Spark knows their size when it
+    plans the join. If the result is to have the texts, these are counted again as it is read, which costs less than a
+    copy or a shuffle of them. Repeated rows get equal verdicts; an empty table gives no rows.
     """
     kept = [c for c in docs.columns if c != into and (keep_text or c != text)]
-    counted = written(text_counts(docs, text, lang, into).select(*kept, into), "counts")
-    first = written(language_references(counted, lang, into, least_words), "references")
-    seen = judged(counted, first, kept, lang, into, least_words, 2 * most_classes, most_words)
+    counted = text_counts(docs, text, lang, into)
+    known = written(counted.select(lang, into) if keep_text else counted.select(*kept, into), "counts")
+    counted = counted.select(*kept, into) if keep_text else known
+    first = written(language_references(known, lang, into, least_words), "references")
+    seen = judged(known, first, [lang], lang, into, least_words, 2 * most_classes, most_words)
     refs = written(language_references(seen, lang, into, least_words, F.col(f"{into}.kept")), "references")
     return judged(counted, refs, kept, lang, into, least_words, most_classes, most_words)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import each_text, fresh, smallest_reachable, written
+from .common import chosen, each_text, numbered, smallest_reachable, written
 
 #: A segment value that more fingerprints than this share is divided by the segments of the other half.
 CROWDED = 128
@@ -175,18 +175,15 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
 
     Rows with null keys come last; among rows with the same key, one stays. All columns are returned unchanged.
     """
-    mark = fresh(docs, "row")
-    kept = written(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
+    kept, mark = numbered(docs)
     columns = kept.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(mark).alias("mark"))
     seen = written(fingerprints(columns, shingle=shingle), "fingerprints")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
     classes = written(seen.groupBy("fingerprint").agg(F.min(order).alias("first")), "classes")
-    return first_of_groups(kept, mark, seen, classes, near_pairs(classes.select("fingerprint"), distance))
+    return first_of_groups(kept, mark, classes, near_pairs(classes.select("fingerprint"), distance))
 
 
-def first_of_groups(kept: DataFrame, mark: str, seen: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of ``kept`` that come first among the fingerprints which ``pairs`` link; ``mark`` numbers them and goes."""
+def first_of_groups(kept: DataFrame, mark: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``kept`` that come first among the classes which ``pairs`` link; ``mark`` numbers them and goes."""
     stay = _rooted(classes, pairs).groupBy("root").agg(F.min("first").alias("first"))
-    stay = stay.select(F.col("first.mark").alias(mark))
-    gone = written(seen.select(F.col("mark").alias(mark)).join(stay, mark, "left_anti"), "copies")
-    return kept.join(gone, mark, "left_anti").drop(mark)
+    return chosen(kept, mark, stay.select("first.mark")).drop(mark)

@@ -3,20 +3,15 @@ from __future__ import annotations
 
 from itertools import islice, repeat
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, fresh, written
+from .common import chosen, each_text, numbered, written
 from .simhash import first_of_groups
+from .trees import links_of
 
 #: A pair of similarity 0.8 has all values of a band in common with probability 0.8 ** 5, so 20 bands find 0.9996 of them.
 BANDS, VALUES = 20, 5
-#: A bucket of more sets than this is compared with one of them first.
-CROWDED = 32
-#: So many times; what is crowded then is compared in full.
-ROUNDS = 4
-#: The pairs of a set that stands for a crowd are dealt into so many shares.
-SHARES = 16
 #: Runs mixed at once.
 CHUNK = 1 << 12
 
@@ -69,90 +64,41 @@ def _signed(rows: DataFrame, size: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
                 names=["key", "mark", "fingerprint", "bands"])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "mark", "text").mapInArrow(run, f"key {kind}, mark bigint, fingerprint bigint, bands array<bigint>")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "mark")}
+    return rows.select("key", "mark", "text").mapInArrow(
+        run, f"key {kinds['key']}, mark {kinds['mark']}, fingerprint bigint, bands array<bigint>")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """(fingerprint, runs) from (fingerprint, text)."""
+    """(fingerprint, runs) of texts, the only column."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                runs = [word_runs(t, size).view(np.int64) for t in each_text(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(runs, pa.list_(pa.int64()))], names=["fingerprint", "runs"])
-
-    return rows.select("fingerprint", "text").mapInArrow(run, "fingerprint bigint, runs array<bigint>")
-
-
-def _likeness(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
-
+                runs = [word_runs(t, size) for t in each_text(batch.column(0).slice(at, 256))]
+                prints = np.array([xxh64_intdigest(r.tobytes(), 42) for r in runs], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(prints), pa.array([r.view(np.int64) for r in runs], pa.list_(pa.int64()))], names=["fingerprint", "runs"])
 
-def _side(sets: DataFrame, name: str) -> DataFrame:
-    return sets.select(F.col("fingerprint").alias(name), F.col("runs").alias(f"{name}_runs"))
+    return rows.mapInArrow(run, "fingerprint bigint, runs array<bigint>")
 
 
-def similar_pairs(classes: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+def similar_pairs(classes: DataFrame, columns: DataFrame, similarity: float, size: int) -> DataFrame:
     """(a, b): pairs of sets of at least this similarity, enough of them to link all that share a bucket and are similar.
 
-    ``classes`` has fingerprint and bands, one row per distinct set, ``texts`` fingerprint and text. Sets of a bucket are
-    compared with each other. In a crowded bucket each is compared with one of them, the pivot, first: those that are
-    similar to it are linked by it. One minus the similarity is a metric, so of the others only those at most twice as far
-    from the pivot as a link may be long can be similar to a linked one, and only to one that is as much nearer; these
-    pairs are compared, and the others among themselves go on as a bucket of their own. No pair of a bucket that could
-    add a link is left out.
+    ``classes`` has fingerprint, mark and bands, one row per distinct set, ``columns`` the texts by mark. Only texts of
+    sets that share a bucket are read again; prefix trees compare these and return no more links than sets.
     """
-    far = 1 - similarity
-    filed = classes.select("fingerprint", F.posexplode("bands").alias("band", "bucket"))
-    counted = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(filed.join(written(counted, "buckets"), "bucket").select("fingerprint", "band", "bucket"), "shared")
-    members = shared.select("fingerprint").distinct()
-    sets = written(_sets(texts.join(members, "fingerprint", "left_semi"), size), "sets")
-
-    def near(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that are similar; each pair may be found in several buckets."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
-        return written(found.filter(_likeness(F.col("a_runs"), F.col("b_runs")) >= similarity).select("a", "b"), name)
-
-    def within(rows: DataFrame) -> DataFrame:
-        one, two = (rows.select("bucket", F.col("fingerprint").alias(c)) for c in ("a", "b"))
-        return one.join(two, "bucket").filter("a < b")
-
-    found = []
-    for turn in range(ROUNDS + 1):
-        # four orders of the sets, so that most buckets of a crowd name the same few pivots
-        first = F.min(F.struct(F.xxhash64("fingerprint", F.col("band") % 4, F.lit(turn)), "fingerprint"))["fingerprint"]
-        buckets = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), first.alias("pivot"))
-        crowds = written(buckets.filter(F.col("n") > CROWDED), "crowds")
-        if turn == ROUNDS or crowds.isEmpty():
-            found.append(near(within(shared), "near"))
-            break
-        found.append(near(within(shared.join(crowds, "bucket", "left_anti")), "near"))
-        crowded = shared.join(crowds.select("bucket", "pivot"), "bucket").filter("fingerprint != pivot")
-        asked = crowded.select("fingerprint", "pivot").distinct().withColumn("share", F.pmod("fingerprint", F.lit(SHARES)))
-        standing = _side(sets, "pivot").join(crowds.select("pivot").distinct(), "pivot", "left_semi").withColumn(
-            "share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))))
-        rated = asked.join(sets, "fingerprint").join(standing, ["pivot", "share"])
-        rated = written(rated.select("fingerprint", "pivot", _likeness(F.col("runs"), F.col("pivot_runs")).alias("like")), "rated")
-        linked = F.col("like") >= similarity
-        found.append(rated.filter(linked).select(F.col("fingerprint").alias("a"), F.col("pivot").alias("b")))
-        placed = written(crowded.join(rated, ["fingerprint", "pivot"]), "placed")
-        # what is too far from the pivot, but near enough to be similar to what is not
-        fringe = placed.filter(~linked & (1 - F.col("like") <= 2 * far + 1e-9)).select(
-            "bucket", F.col("fingerprint").alias("a"), F.col("like").alias("of_a"))
-        inner = placed.filter(linked & (F.col("like") < 1)).select("bucket", F.col("fingerprint").alias("b"), F.col("like").alias("of_b"))
-        found.append(near(fringe.join(inner, "bucket").filter(F.col("of_b") - F.col("of_a") <= far + 1e-9), "fringe"))
-        shared = written(placed.filter(~linked).select("fingerprint", "band", "bucket"), "shared")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return pairs
+    filed = classes.select("fingerprint", F.explode("bands").alias("value"))
+    counted = filed.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
+    shared = written(filed.join(written(counted, "buckets"), "value").select("value", F.col("fingerprint").alias("id")), "shared")
+    members = classes.join(shared.select(F.col("id").alias("fingerprint")).distinct(), "fingerprint", "left_semi").select("mark")
+    sets = _sets(chosen(columns, "mark", members).select("text"), size).select(F.col("fingerprint").alias("id"), F.size("runs").cast("bigint").alias("n"), F.col("runs").alias("grams"),
+                                     F.lit(None).cast("array<int>").alias("often"))
+    return links_of(shared, written(sets, "sets"), round(similarity * 1000), 1000)
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
@@ -162,13 +108,10 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     node, and blank texts are copies of each other. Rows with null keys come last; among rows with the same key, one
     stays. All columns are returned unchanged.
     """
-    mark = fresh(docs, "row")
-    kept = written(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
+    kept, mark = numbered(docs)
     columns = kept.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(mark).alias("mark"))
     seen = written(_signed(columns, size), "fingerprints")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
     classes = written(seen.groupBy("fingerprint").agg(F.min(order).alias("first"), F.first("bands").alias("bands")), "classes")
-    texts = columns.select("mark", "text").join(
-        classes.select("fingerprint", F.col("first.mark").alias("mark")), "mark").select("fingerprint", "text")
-    pairs = similar_pairs(classes.select("fingerprint", "bands"), texts, similarity, size)
-    return first_of_groups(kept, mark, seen, classes.select("fingerprint", "first"), pairs)
+    pairs = similar_pairs(classes.select("fingerprint", "first.mark", "bands"), columns, similarity, size)
+    return first_of_groups(kept, mark, classes.select("fingerprint", "first"), pairs)

@@ -4,7 +4,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from repolumen.llm import similar
+from repolumen.llm import similar, trees
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -56,9 +56,9 @@ def brute(rows):
     return set(least.values()), pairs
 
 
-@pytest.mark.parametrize("rounds", [4, 0])
-def test_similar_texts_stay_once(spark, monkeypatch, rounds):
-    monkeypatch.setattr(similar, "ROUNDS", rounds)
+@pytest.mark.parametrize("held", [512, 8])
+def test_similar_texts_stay_once(spark, monkeypatch, held):
+    monkeypatch.setattr(trees, "HELD", held)  # crowds are divided in blocks beyond it
     rows = made()
     want, pairs = brute(rows)
     docs = spark.createDataFrame(rows, SCHEMA)
