@@ -4,10 +4,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, numbered, smallest_reachable, written
+from .common import chosen, each_text, numbered, smallest_reachable, written
 from .similar import word_runs
 from .trees import links_of
 
+#: The part of a set that two links must meet in before the sets are read in full: one in so many n-grams.
+MET = 20
+
 
 def least_common(n: Column, num: int, den: int) -> Column:
     """How many n-grams a set of n has in common with any set that it links to, at least."""
@@ -15,9 +18,9 @@ def least_common(n: Column, num: int, den: int) -> Column:
 
 
 def _head(runs, num: int, den: int):
-    """The least hashes of a set: links meet there in ``1 + n // 10`` of them, or as many as the smaller set has."""
+    """The least hashes of a set: links meet there in ``1 + n // MET`` of them, or as many as the smaller set has."""
     n = len(runs)
-    return runs[:n - (num * n + den - 1) // den + 1 + n // 10]
+    return runs[:n - (num * n + den - 1) // den + 1 + n // MET]
 
 
 def _signed(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -44,19 +47,21 @@ def _signed(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def _grams(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n, grams) from (id, text)."""
+    """(id, n, grams) of texts, the only column; id is the fingerprint."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                runs = [word_runs(t, size).view(np.int64) for t in each_text(part.column(1))]
+                runs = [word_runs(t, size) for t in each_text(batch.column(0).slice(at, 256))]
+                prints = np.array([xxh64_intdigest(r.tobytes(), 42) for r in runs], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, pa.list_(pa.int64()))], names=["id", "n", "grams"])
+                    [pa.array(prints), pa.array([len(r) for r in runs], pa.int64()), pa.array([r.view(np.int64) for r in runs], pa.list_(pa.int64()))],
+                    names=["id", "n", "grams"])
 
-    return rows.select("id", "text").mapInArrow(run, "id bigint, n bigint, grams array<bigint>")
+    return rows.mapInArrow(run, "id bigint, n bigint, grams array<bigint>")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -69,8 +74,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     Extra columns are ignored; an empty table gives no rows. N-grams and whole sets are told apart by 64-bit hashes.
 
     Two linked sets have at least ``least_common`` n-grams in common. Under any order that all sets share, they
-    therefore meet among the first ``n - least_common + l`` of each in l n-grams. First, in hash order, with l a tenth of
-    the set: sets whose beginning holds too few n-grams that any other beginning has are linked with nothing, and only
+    therefore meet among the first ``n - least_common + l`` of each in l n-grams. First, in hash order, with l a
+    twentieth of the set: sets whose beginning holds too few n-grams that any other beginning has are linked with nothing, and only
     the rest is read again in full. Then in the order of how many sets hold an n-gram, the rarest first, with l = 1:
     this prefix is what a set is found by. An n-gram that no other set has counts in the size only.
     """
@@ -79,15 +84,16 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     seen = written(_signed(columns, size, num, den), "sets")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
     classes = written(seen.filter("n > 0").groupBy("fingerprint").agg(
-        F.min(order).alias("first"), F.first("n").alias("n"), F.first("head").alias("head")), "classes")
+        F.min(order).alias("first")), "classes")
 
-    heads = classes.select("fingerprint", "n", F.explode("head").alias("gram"))
+    firsts = chosen(seen, "mark", classes.select("first.mark"))
+    heads = firsts.select("fingerprint", "n", F.explode("head").alias("gram"))
     met = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
-    enough = 1 + F.floor(least_common(F.col("n"), num, den) / 10)
+    enough = 1 + F.floor(least_common(F.col("n"), num, den) / MET)
     live = heads.join(written(met, "met"), "gram", "left_semi").groupBy("fingerprint", "n").agg(F.count(F.lit(1)).alias("c"))
     live = written(live.filter(F.col("c") >= enough).select("fingerprint"), "live")
-    marks = classes.join(live, "fingerprint", "left_semi").select(F.col("fingerprint").alias("id"), F.col("first.mark").alias("mark"))
-    read = written(_grams(columns.select("mark", "text").join(written(marks, "marks"), "mark"), size), "grams")
+    marks = classes.join(live, "fingerprint", "left_semi").select("first.mark")
+    read = written(_grams(chosen(columns.select("mark", "text"), "mark", marks).select("text"), size), "grams")
 
     held = read.select("id", "n", F.explode("grams").alias("gram"))
     often = written(held.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("often")).filter("often > 1"), "often")
