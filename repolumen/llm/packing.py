@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .common import fresh, listed, written
 
 #: Words whose ids a worker remembers, and the longest such word in bytes; other words are encoded each time.
-REMEMBERED, LONGEST = 1 << 18, 64
+REMEMBERED, LONGEST = 1 << 19, 64
 #: Shares of each length that are numbered by separate tasks.
 SHARES = 256
 
@@ -66,33 +66,61 @@ def tokenized(docs: DataFrame, vocabulary: str, text: str = "text", capacity: in
 def _encoder(vocabulary: str):
     """A function from texts to their ids as bytes.
 
-    The vocabulary's pieces never span ASCII white space, so words are encoded one by one and remembered. A comma or
-    full stop after a letter is a piece of its own, and the vocabulary has lower case only, so words that differ in
-    these are encoded once.
+    A vocabulary that ``_splits_words`` finds to drop white space and fold case between pieces that never span words
+    is used word by word: words are encoded once and remembered, whatever their case and closing comma or full stop.
+    Words of letters alone, of which each ends in the one id that has the mark of a word's end, are encoded many at a
+    time. With any other vocabulary, whole texts are encoded.
     """
     import os
     import struct
     import sys
 
+    import numpy as np
+
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     store = sys.__dict__.setdefault("_repolumen_llm", {})
     if ("tokens", vocabulary) not in store:
-        store["tokens", vocabulary] = (Tokenizer.from_file(vocabulary), {})
-    tokenizer, known = store["tokens", vocabulary]
+        tokenizer = Tokenizer.from_file(vocabulary)
+        mark = _splits_words(tokenizer)
+        closes = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        if mark:
+            closes[[i for w, i in tokenizer.get_vocab().items() if w.endswith(mark)]] = True
+        store["tokens", vocabulary] = (tokenizer, mark, closes, {})
+    tokenizer, mark, closes, known = store["tokens", vocabulary]
+
+    def each(words: list[bytes]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+
+    def plain(words: list[bytes]) -> list[bytes]:
+        """Of words of letters."""
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.nonzero(closes[ids])[0] + 1)).tolist()
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return each(words)
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(texts: list[bytes], end: int) -> Iterator[bytes]:
+        last = struct.pack("<I", end)
+        if not mark:
+            for t in texts:
+                yield each([t])[0] + last
+            return
         # a mark of a special token must stand as it is
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        missing = {w for words in split for w in words if w not in known}
+        got = [list(map(known.get, words)) for words in split]
+        missing = {w for words, ids in zip(split, got, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
         parts = {w: (w[:-1], w[-1:]) if w[-1:] in (b",", b".") and w[-2:-1].isalpha() else (w,) for w in missing}
-        wanted = list({p for ps in parts.values() for p in ps if p not in known})
+        wanted = {p for ps in parts.values() for p in ps if p not in known}
+        letters = [w for w in wanted if w.isalpha() or w.decode().isalpha() and w.decode().lower().isalpha()]
+        other = list(wanted.difference(letters))
         made = {}
-        for at in range(0, len(wanted), 4096):
-            some = wanted[at:at + 4096]
-            for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                made[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for some, way in ((letters, plain), (other, each)):
+            for at in range(0, len(some), 1024):
+                made.update(zip(some[at:at + 1024], way(some[at:at + 1024]), strict=True))
         rare = {}
         for w, ps in parts.items():
             ids = b"".join([made[p] if p in made else known[p] for p in ps])
@@ -100,16 +128,33 @@ def _encoder(vocabulary: str):
         for w in made:
             if w not in parts and len(w) <= LONGEST and len(known) < REMEMBERED:
                 known[w] = made[w]
-        last = struct.pack("<I", end)
-        for words in split:
-            if rare:
-                yield b"".join([known[w] if w in known else rare[w] for w in words]) + last
-            else:
-                yield b"".join(map(known.__getitem__, words)) + last
+        for words, ids in zip(split, got, strict=True):
+            if None in ids:
+                ids = [x if x is not None else rare[w] if w in rare else known[w] for w, x in zip(words, ids, strict=True)]
+            yield b"".join(ids) + last
 
     return encode
 
 
+def _splits_words(tokenizer) -> str:
+    """The mark of a word's end, if the vocabulary lower-cases, drops white space and ends every piece by the mark; or ''."""
+    import json
+
+    made = json.loads(tokenizer.to_str())
+
+    def listed_(step, name):
+        return [] if step is None else step[name] if step["type"] == "Sequence" else [step]
+
+    normal = [n["type"] for n in listed_(made["normalizer"], "normalizers")]
+    steps = listed_(made["pre_tokenizer"], "pretokenizers")
+    dropped = bool(steps) and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not any(
+        s.get("add_prefix_space") for s in steps)
+    words = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fixed value: pieces of letters, of one digit, of what else is no white space
+    splits = dropped and str(steps[0]["pattern"].get("Regex", "")).endswith(words)
+    same = set(normal) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in normal and made["model"]["type"] == "BPE"
+    return made["model"].get("end_of_word_suffix") or "" if splits and same and not made["model"].get("ignore_merges") else ""
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many sequences are filled so), using every piece once.
 
