@@ -93,6 +93,39 @@ def test_biconnected_equals_removal(spark):
         assert sorted(bridges.get(name, [])) == sorted(want_bridges), name
 
 
+def test_biconnected_needs_no_round_per_level(spark):
+    n, loop = 3000, 700
+    chain = [(f"f{i:05d}", f"f{i + 1:05d}") for i in range(n - 1)] + [(f"f{loop:05d}", "f00000")]
+    nodes, edges = graph(spark, chain)
+    out = bic.biconnected(nodes, edges)
+    assert dict(rows(out.articulation_points, "path", "fragment_size")) == {
+        f"f{i:05d}": max(i, n - 1 - i) for i in range(loop, n - 1)}
+    assert rows(out.bridges, "src", "dst") == sorted(chain[loop:-1])
+    sizes = out.blocks.groupBy("block").count()
+    assert sorted(r["count"] for r in sizes.collect()) == [1] * (n - 1 - loop) + [loop + 1]
+
+
+def test_ranges_are_folded_by_blocks(spark):
+    rnd = random.Random(5)
+    size = 400
+    low, high = [rnd.randrange(1000) for _ in range(size)], [rnd.randrange(1000) for _ in range(size)]
+    held = [p for p in range(size) if rnd.random() < 0.6]
+    asked = {k: sorted((rnd.choice(held), rnd.randrange(size))) for k in range(200)}
+    cells = spark.createDataFrame([(7, p, low[p], high[p]) for p in held], "root long, pos long, low long, high long")
+    wanted = spark.createDataFrame([(k, 7, a, b) for k, (a, b) in asked.items()], "node long, root long, lo long, hi long")
+    got = {r["node"]: (r["low"], r["high"]) for r in bic.fold_ranges(cells, wanted, size=4).collect()}
+    assert got == {k: (min(low[p] for p in held if a <= p <= b), max(high[p] for p in held if a <= p <= b)) for k, (a, b) in asked.items()}
+
+
+def test_hub_neighbours_in_groups_make_one_tour(spark, monkeypatch):
+    monkeypatch.setattr(bic, "NEIGHBOURS_PER_GROUP", 3)
+    leaves = [f"l{i}" for i in range(20)]
+    nodes, edges = graph(spark, [("hub", x) for x in leaves] + [("l0", "l1"), ("l2", "deep")])
+    out = bic.biconnected(nodes, edges)
+    assert dict(rows(out.articulation_points, "path", "fragment_size")) == {"hub": 2, "l2": 20}
+    assert rows(out.bridges, "src", "dst") == sorted([("hub", x) for x in leaves[2:]] + [("l2", "deep")])
+
+
 def reach(edges, start):
     out, queue = set(), [start]
     while queue:
