@@ -263,11 +263,21 @@ def stream(t, name):
 
 @query("ST1_pr_event_gate", f"""SELECT doc_id, CASE WHEN {TOKENS} THEN 'blocked' ELSE 'review' END AS route FROM (SELECT doc_id, {DIFF_SQL} AS d FROM documents WHERE doc_id % 4 IN (0, 1, 3) AND doc_id % 7 <> 0)""")
 def st1(t):
+    return jobs.run_to_table(jobs.pr_event_gate(gate_events(t)).select("doc_id", "route"), shared_path(t.spark, "pr-gate"))
+
+
+def gate_events(t):
     d = F.col("doc_id")
-    events = stream(t, "documents").select(
+    return stream(t, "documents").select(
         "doc_id", F.when(d % 7 == 0, "push").otherwise("pull_request").alias("event"),
         F.when(d % 4 == 0, "opened").when(d % 4 == 2, "closed").otherwise("synchronize").alias("action"), diff_column().alias("diff"))
-    return jobs.run_to_table(jobs.pr_event_gate(events).select("doc_id", "route"), shared_path(t.spark, "pr-gate"))
+
+
+@query("ST1_gate_tables", f"""SELECT doc_id, CASE WHEN {TOKENS} THEN 'blocked' ELSE 'review' END AS sink FROM (SELECT doc_id, {DIFF_SQL} AS d FROM documents WHERE doc_id % 4 IN (0, 1, 3) AND doc_id % 7 <> 0)""")
+def st1_tables(t):
+    tables = jobs.run_gate(jobs.pr_event_gate(gate_events(t)).select("doc_id", "route"), shared_path(t.spark, "pr-gate"))
+    blocked, review = [tables[r].withColumn("sink", F.lit(r)) for r in jobs.GATE_ROUTES]
+    return blocked.unionByName(review)
 
 
 def sub_stream(t):

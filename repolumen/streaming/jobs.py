@@ -14,6 +14,10 @@ from ..operators.reporting import latest_per_key, profile_update, usage_class
 from ..session import is_landed, remove
 
 
+#: Where a gated event goes; each route has its own table.
+GATE_ROUTES = ("blocked", "review")
+
+
 def stream_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*").parquet(folder)
 
@@ -36,6 +40,37 @@ def pr_event_gate(events: DataFrame) -> DataFrame:
         "route", F.when(has_diff_tokens(F.col("diff")), "blocked").otherwise("review"))
 
 
+def write_route(batch: DataFrame, number: int, path: str) -> None:
+    """Write a batch of gated events to the table of each route, under the batch's number, in place of what is there."""
+    batch.persist()
+    for route in GATE_ROUTES:
+        rows = batch.filter(F.col("route") == route).drop("route")
+        rows.write.mode("overwrite").parquet(f"{path}/{route}/batch={number}")
+    batch.unpersist()
+
+
+def run_gate(gated: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Process the gated events available and return the table of each route, ``blocked`` and ``review``.
+
+    A batch that is repeated after a failure, also one between the two tables, replaces its own rows in both. Before
+    the first event the tables are empty.
+    """
+    spark = gated.sparkSession
+    query = (
+        gated.writeStream.outputMode("append").foreachBatch(lambda batch, number: write_route(batch, number, path))
+        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([f for f in gated.schema.fields if f.name != "route"])
+    kept = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    tables = {}
+    for route in GATE_ROUTES:
+        # a part without rows, so that the table is there before any batch
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{route}/batch=-1")
+        tables[route] = spark.read.schema(kept).parquet(f"{path}/{route}").drop("batch")
+    return tables
+
+
 def subscription_updates(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Profile changes, each event id once; ``reporting.profile_state`` over the table is the current state."""
     return profile_update(events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])).select(

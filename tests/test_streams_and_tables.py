@@ -37,6 +37,30 @@ def test_subscription_stream_drops_duplicates_across_runs(spark, tmp_path):
     assert rows(rp.profile_state(out), "user_id", "plan_tier", "subscription_status") == [("u", "free", "cancelled"), ("v", "free", "halted")]
 
 
+def test_gate_writes_two_tables_and_repeats_batches(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "out")
+
+    def event(i, route):
+        return {"id": i, "route": route}
+
+    def run():
+        tables = jobs.run_gate(spark.readStream.schema("id long, route string").json(str(source)), path)
+        return {route: rows(table, "id") for route, table in tables.items()}
+
+    source.mkdir()
+    assert run() == {"blocked": [], "review": []}
+    write(source, "1.json", [event(1, "blocked"), event(2, "review"), event(2, "review")])
+    first = {"blocked": [(1,)], "review": [(2,), (2,)]}
+    assert run() == first == run()
+    write(source, "2.json", [event(3, "review")])
+    both = {"blocked": [(1,)], "review": [(2,), (2,), (3,)]}
+    assert run() == both
+    # the second batch again, as after a failure before its commit
+    again = spark.createDataFrame([(3, "review")], "id long, route string")
+    jobs.write_route(again, 1, path)
+    assert run() == both
+
+
 def test_usage_stream_drops_late_rows(spark, tmp_path):
     source, table = tmp_path / "in", str(tmp_path / "out")
 
