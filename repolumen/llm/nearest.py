@@ -11,6 +11,8 @@ from .common import written
 TABLES, PROBES = 8, 12
 #: What one task compares at a time: about so many stored vectors with so many queries.
 STORED, ASKED = 4096, 1024
+#: Cosines of a matrix product this near are compared by their exact sums; so many pairs are summed at a time.
+MARGIN, SCORED = 1e-9, 1 << 15
 FILED = "entry bigint, vector array<double>, dim int, bucket int"
 
 
@@ -141,15 +143,17 @@ def _best(filed: DataFrame, looked: DataFrame, k: int) -> DataFrame:
             return pa.table({"entry": pa.array([], pa.int64()), "candidate": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         (ids, x, norms), (asked, q, q_norms) = matrix(left), matrix(right)
         near = (q / q_norms[:, None]) @ (x / norms[:, None]).T
-        most = min(len(ids), k + 8)
-        some = np.argpartition(-near, most - 1, axis=1)[:, :most]
+        least = np.partition(near, -min(len(ids), k + 1), axis=1)[:, -min(len(ids), k + 1)]
+        # whatever rounding may have put below the last place, so that no tie is lost
+        row, col = np.nonzero(near >= least[:, None] - MARGIN)
         # the same sum for each pair, so that equal vectors have equal scores wherever they are compared
-        score = (q[:, None, :] * x[some]).sum(axis=2) / (q_norms[:, None] * norms[some])
-        order = np.lexsort((ids[some], -score), axis=1)[:, :k + 1]
-        return pa.table({
-            "entry": np.repeat(asked, order.shape[1]),
-            "candidate": np.take_along_axis(ids[some], order, 1).reshape(-1),
-            "score": np.take_along_axis(score, order, 1).reshape(-1)})
+        score = np.concatenate([
+            (q[row[i:i + SCORED]] * x[col[i:i + SCORED]]).sum(axis=1) for i in range(0, len(row), SCORED)])
+        score /= q_norms[row] * norms[col]
+        order = np.lexsort((ids[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) <= k
+        return pa.table({"entry": asked[row[kept]], "candidate": ids[col[kept]], "score": score[kept]})
 
     found = dealt(filed, "stored", "asked").groupBy(*at).cogroup(dealt(looked, "asked", "stored").groupBy(*at)).applyInArrow(
         run, "entry bigint, candidate bigint, score double").distinct()

@@ -58,6 +58,11 @@ def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (2, [0.0, 1.0])], schema)
     got = nearest.search(df, F.col("vec_id") == 0, tables=1, probes=1).collect()
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 2, 0.0), (2, 1, -1.0)]
+    # more ties than places: different vectors of exactly the same cosine, the smallest keys first
+    made = np.random.default_rng(3).normal(size=(61, 8)).tolist()
+    made += [[x * 2.0 ** (20 - i) for x in made[50]] for i in range(40)]
+    got = nearest.search(spark.createDataFrame(list(enumerate(made)), schema), F.col("vec_id") == 50).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 61), (2, 62), (3, 63), (4, 64), (5, 65)]
 
 
 def pages():
