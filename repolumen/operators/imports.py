@@ -102,29 +102,31 @@ def parse_aliases(contents: DataFrame) -> DataFrame:
     )
 
 
-def _alias_lists(aliases: DataFrame) -> DataFrame:
-    # one configuration file per repository, so the list is as short as that file
-    return aliases.groupBy("repo_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "prefix", "target"))).alias("alias_list")
-    )
-
-
 def resolve_alias(raw: DataFrame, aliases: DataFrame) -> DataFrame:
     """Rewrite aliased specifiers: the first declared prefix that fits, or the longest one.
 
     ``aliases`` is declared order (``parse_aliases``) or longest-first (``build_path_aliases``);
-    both number their rows in ``ord``.
+    both number their rows in ``ord``. A distinct specifier asks for its beginnings of just the lengths that some
+    prefix has, so the join is on repository and prefix, and a large repository is not one key of it.
     """
-    hit = F.get(F.filter(
-        "alias_list", lambda a: F.col("is_alias") & F.startswith(F.col("spec"), a["prefix"])
-    ), F.lit(0))
-    swapped = F.concat(hit["target"], F.expr("substring(spec, length(hit.prefix) + 1)"))
+    lengths = aliases.agg(F.sort_array(F.collect_set(F.length("prefix")))).scalar()
+    asked = (
+        raw.filter(F.col("is_alias") & F.col("spec").isNotNull()).select("repo_id", "spec").distinct()
+        .withColumn("lengths", lengths)
+        .select("repo_id", "spec", F.explode(F.filter("lengths", lambda n: n <= F.length("spec"))).alias("n"))
+        .withColumn("prefix", F.expr("substring(spec, 1, n)"))
+    )
+    hits = (
+        asked.join(aliases.select("repo_id", "prefix", "ord", F.col("target").alias("to")), ["repo_id", "prefix"])
+        .groupBy("repo_id", "spec").agg(F.min(F.struct("ord", "prefix", "to")).alias("hit"))
+        .withColumn("is_alias", F.lit(True))
+    )
+    swapped = F.concat("hit.to", F.expr("substring(spec, length(hit.prefix) + 1)"))
     return (
-        raw.join(_alias_lists(aliases), "repo_id", "left")
-        .withColumn("hit", hit)
+        raw.join(hits, ["repo_id", "spec", "is_alias"], "left")
         .withColumn("target", F.when(
             F.col("hit").isNotNull(), F.regexp_replace(swapped, r"^\./", "")).otherwise(F.col("target")))
-        .drop("alias_list", "hit")
+        .select(*raw.columns)
     )
 
 
