@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,9 @@ class ClassModel:
     transition: object  # log10 probabilities, class by class
     emission: object  # log10 of 1 / (tokens + words + 1), by class
 
-    def light(self) -> ClassModel:
-        return ClassModel(None, *(getattr(self, f) for f in self.__dataclass_fields__ if f != "counts"))
+    def light(self) -> SimpleNamespace:
+        """All but the table, as plain values, which executors without this library can read."""
+        return SimpleNamespace(**{f: getattr(self, f) for f in self.__dataclass_fields__ if f != "counts"})
 
 
 def _codes(words: list[bytes], known: dict) -> list[int]:
@@ -254,6 +256,7 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
     class model: the class given the class before, times the word in its class, add-one with one more for unseen
     words. Words that tasks do not hold look up their counts in the distributed table, once for each document; these
     look-ups and the sums over them are keyed by word and by row, so no word or document is a task of its own.
+    A null text counts as an empty one, which is its end alone; an empty table gives an empty one, other columns stay.
     """
     import numpy as np
 
@@ -301,7 +304,7 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
         (F.col("base") + more + end - (F.col("n") + 1) * low).alias("base_score"), (F.col("total") + more).alias("score"))
 
 
-def _scored(words: list[bytes], m: ClassModel, seen, inner):
+def _scored(words: list[bytes], m, seen, inner):
     """Tokens, known tokens, their sums in both scores, and the words to be looked up."""
     from collections import Counter
 

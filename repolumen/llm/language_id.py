@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,12 +68,14 @@ def predict(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> Da
 
     Every n-gram occurrence of the whole text asks the filter once for all the languages that contain it. A language's
     hits, less those that chance gives it, decide; ties go to the smaller name. The score is the winner's part of all
-    corrected hits. A null text or one without a letter is ``und`` with score 0, and so is all if nothing was learned;
+    corrected hits. An empty table gives an empty one, other columns stay. A null text or one without a letter is ``und`` with score 0, and so is all if nothing was learned;
     a text with letters but no hit goes to the first language with score 0.
     """
     kept = [f for f in docs.schema.fields if f.name not in (text, "lang_pred", "score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    # plain values, which executors without this library can read
+    shared = docs.sparkSession.sparkContext.broadcast(
+        SimpleNamespace(languages=filters.languages, slots=filters.slots, chance=filters.chance))
 
     def run(batches):
         import pyarrow as pa
@@ -152,7 +155,7 @@ def _counted(batches):
         yield counted(lang)
 
 
-def _language(text: str, model: LanguageFilters) -> tuple[str, float]:
+def _language(text: str, model) -> tuple[str, float]:
     import numpy as np
 
     found = grams(text)
