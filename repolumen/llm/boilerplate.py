@@ -1,15 +1,22 @@
-"""Main text of web pages: boilerplate is what the suffixes of a host's pages share."""
+"""Main text of web pages: boilerplate is what suffixes of most distinct pages of a host share."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, written
+from .common import chosen, each_text, numbered, written
 
-#: Tokens that two pages of a host must share in a row before these count as boilerplate.
+#: Tokens in a row that pages of a host must share before these count as boilerplate.
 SHARED_RUN = 6
-#: The part of a block's tokens that must lie in shared runs for the block to go.
-LEAST_COVERED = 0.5
+#: The distinct pages of a host that must share a run, and the part of all its distinct pages that they must be.
+LEAST_PAGES, LEAST_SHARE = 3, 0.5
+#: The part of a block's tokens that must lie in shared runs for the block to go; a heading whose first words follow
+#: a shared block everywhere stays.
+LEAST_COVERED = 0.8
+#: The part of an article that shared blocks may be; beyond it, pages are copies of an article, not a frame around it.
+MOST_SHARED = 0.5
+#: Suffixes that a task holds before it judges those of its largest host.
+HELD = 1 << 21
 
 #: Element names by what they do.
 HIDDEN = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video",
@@ -139,52 +146,156 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
 
 
-def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-              run: int = SHARED_RUN, least_covered: float = LEAST_COVERED) -> DataFrame:
-    """(key, url, text): the main text of every page, blocks joined by line ends.
-
-    The tokens of a page's blocks outside its article are one stream of its host. Two suffixes of the host's streams
-    are neighbours with at least ``run`` tokens in common exactly if they start with the same ``run`` tokens; so the
-    suffixes are grouped by host and these tokens (64-bit hashes), and where a group holds distinct pages, its tokens
-    lie in a substring that these pages share. No host's suffixes are ordered in one task, and a run that all pages of
-    a large host share is summed in the tasks first. A block goes if at least ``least_covered`` of its tokens lie in
-    shared runs (short blocks if they are wholly equal to one of another page). What stays is the article element (or
-    main element) where there is one, without furniture inside it; on pages that have neither, every block that is
-    neither furniture by its markup nor shared. The article's own passages stay even where other pages repeat them,
-    and only pages without one wait for what is shared; so long pages are not shuffled.
-    Null and empty pages give an empty text; repeated rows count as distinct pages only if their keys differ.
+def _starts(codes, host: int, run: int):
+    """A 64-bit hash of the host and the first ``run`` tokens of each suffix of a stream that has so many."""
+    import numpy as np
+
+    if len(codes) < run:
+        return np.zeros(0, np.uint64)
+    codes = codes.view(np.uint64)
+    mixed = np.full(len(codes) - run + 1, host, np.int64).view(np.uint64)
+    for k in range(run):
+        mixed = (mixed ^ codes[k:len(codes) - run + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def _streams(batch):
+    """(host, codes) of the rows of an Arrow batch whose last two columns they are."""
+    codes = batch.column(batch.num_columns - 1)
+    values, ends = codes.values.to_numpy(zero_copy_only=False), codes.offsets.to_numpy()
+    for i, host in enumerate(batch.column(batch.num_columns - 2).to_pylist()):
+        yield host, values[ends[i]:ends[i + 1]]
+
+
+def _common(run: int, share: float):
+    """A task's suffix starts that at least ``share`` of the pages in some group of a host's pages have.
+
+    What is on that part of all pages is on it in one of the groups at least, however they are formed.
+    """
+    def work(batches):
+        import math
+
+        import numpy as np
+        import pyarrow as pa
+
+        held: dict[int, list] = {}
+        sizes: dict[int, int] = {}
+
+        def judged(host):
+            pages = held.pop(host)
+            sizes.pop(host)
+            found, n = np.unique(np.concatenate(pages), return_counts=True)
+            found = found[n >= math.ceil(share * len(pages))]
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["start"])
+
+        for batch in batches:
+            for host, codes in _streams(batch):
+                found = np.unique(_starts(codes, host, run))
+                held.setdefault(host, []).append(found)
+                sizes[host] = sizes.get(host, 0) + len(found)
+                if sum(sizes.values()) >= HELD:
+                    yield judged(max(sizes, key=sizes.get))
+        for host in list(held):
+            yield judged(host)
+    return work
+
+
+def _suffixes(run: int):
+    """(row, host, start, at, first): every suffix of a task's pages, and whether it is its page's first of that start."""
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["row", "host", "start", "at", "first"]
+        for batch in batches:
+            for row, (host, codes) in zip(batch.column(0).to_pylist(), _streams(batch), strict=True):
+                found = _starts(codes, host, run).view(np.int64)
+                first = np.zeros(len(found), bool)
+                first[np.unique(found, return_index=True)[1]] = True
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), row)), pa.array(np.full(len(found), host)), pa.array(found),
+                     pa.array(np.arange(len(found), dtype=np.int32)), pa.array(first)], names=names)
+    return work
+
+
+def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", run: int = SHARED_RUN,
+              least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_covered: float = LEAST_COVERED,
+              most_shared: float = MOST_SHARED) -> DataFrame:
+    """(key, url, text): the main text of every page, blocks joined by line ends; other columns are left out.
+
+    All tokens of a page, across its blocks, are a stream of its host; equal streams of a host count once. Neighbours
+    in the host's suffix array share ``run`` tokens exactly if they start with the same ones, so suffixes are grouped
+    by these (64-bit hashes), and no host's suffixes are ordered in one task. A run that at least ``least_pages`` and
+    ``least_share`` of the host's distinct pages have is boilerplate and covers its tokens. A task first judges the
+    groups of pages that it holds: a run short of that share in every group is short of it in the host, so only the
+    others are counted over all pages.
+
+    A block goes if at least ``least_covered`` of its tokens are covered. So short blocks go only within a longer
+    shared run. Besides, the article element (or main element) is what stays where there is one, without furniture
+    inside it, and elsewhere all that is no furniture by its markup. Where shared blocks are more than ``most_shared``
+    of an article, or all of a page without one, such pages are copies of each other, and these blocks stay.
+    Null and empty pages, and an empty table, give empty texts; pages without an address are one host.
     """
-    # the blocks once, with a number for each row
     source = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
     schema = f"key {pages.schema[key].dataType.simpleString()}, url string, blocks {BLOCK}"
     parsed = source.mapInArrow(_pages, schema).withColumn("row", F.monotonically_increasing_id())
-    parsed = written(parsed, "blocks")
-
-    inside = F.exists("blocks", lambda b: b["main"] & ~b["furniture"])
-    outer = parsed.select(
-        host_of(F.col("url")).alias("host"), "key", "row", inside.alias("has_main"), F.posexplode("blocks").alias("block", "b"))
-    outer = outer.filter(~F.col("b.main") | F.col("b.furniture"))
-    # blocks that only what other pages share can tell: no furniture by markup, and no article to go by
-    outer = outer.withColumn("open", ~F.col("has_main") & ~F.col("b.furniture"))
-    words = F.split("b.text", " ")
-    n = F.size(words)
-    starts = F.when(n > run, F.sequence(F.lit(1), n - run + 1)).otherwise(F.array(F.lit(1)))
-    suffixes = outer.select("host", "key", "row", "block", "open", n.alias("n"), words.alias("words"), F.explode(starts).alias("at"))
-    suffixes = written(suffixes.select(
-        "key", "row", "block", "open", "n", "at",
-        F.xxhash64("host", F.least(F.col("n"), F.lit(run)), F.array_join(F.slice("words", F.col("at"), F.lit(run)), " ")).alias("start")), "suffixes")
-    shared = suffixes.groupBy("start").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
-    shared = written(shared.select("start"), "shared")
-    hit = suffixes.filter("open").join(shared, "start", "left_semi")
-    # a shared suffix covers its run of tokens; of each, those that the one before it leaves count
-    placed = hit.groupBy("row", "block", "n").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    covered = F.aggregate("at", F.struct(F.lit(-run).alias("last"), F.lit(0).alias("sum")),
-                          lambda acc, i: F.struct(i.alias("last"), (acc["sum"] + F.least(F.lit(run), i - acc["last"])).alias("sum")),
-                          lambda acc: acc["sum"])
-    covered = F.least(covered, F.col("n"))
-    gone = placed.filter(covered >= least_covered * F.col("n")).groupBy("row").agg(F.collect_set("block").alias("gone"))
-    joined = parsed.join(written(gone, "boilerplate"), "row", "left").withColumn("main", inside)
-    none = F.array().cast("array<int>")
-    kept = F.filter("blocks", lambda b, i: ~b["furniture"] & F.when(F.col("main"), b["main"]).otherwise(
-        ~F.array_contains(F.coalesce("gone", none), i)))
-    return joined.select(F.col("key").alias(key), F.col("url").alias(url), F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
+    parsed = written(parsed, "blocks").withColumn("host", F.xxhash64(host_of(F.col("url"))))
+    texts = F.transform("blocks", lambda b: b["text"])
+
+    # one page of each text of a host, of hosts that have enough of them
+    marked, mark = numbered(parsed)
+    distinct = marked.groupBy("host", F.sha2(F.array_join(texts, "\n"), 256).alias("digest")).agg(
+        F.min(F.struct("row", mark)).alias("one"))
+    distinct = written(distinct.select("host", "one.*"), "distinct")
+    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
+    hosts = written(hosts, "hosts")
+
+    def streams(df):
+        codes = F.transform(F.flatten(F.transform("blocks", lambda b: F.split(b["text"], " "))), lambda w: F.xxhash64(w))
+        return df.select("row", "host", codes.alias("codes"))
+
+    judged = chosen(marked, mark, distinct.join(hosts, "host", "left_semi").select(mark))
+    likely = written(streams(judged).drop("row").mapInArrow(_common(run, least_share), "start bigint").distinct(), "likely")
+    hits = streams(parsed).mapInArrow(_suffixes(run), "row bigint, host bigint, start bigint, at int, first boolean")
+    hits = written(hits.join(likely, "start", "left_semi"), "hits")
+    counted = hits.filter("first").join(distinct.select("row"), "row", "left_semi").groupBy("host", "start").count()
+    shared = counted.join(hosts, "host").filter((F.col("count") >= least_pages) & (F.col("count") >= least_share * F.col("pages")))
+    covering = written(hits.join(shared.select("start"), "start", "left_semi").groupBy("row").agg(
+        F.sort_array(F.collect_list("at")).alias("starts")), "covering")
+
+    joined = parsed.select("key", "url", "blocks", "row").join(covering, "row", "left").select("key", "url", "blocks", "starts")
+    schema = f"key {pages.schema[key].dataType.simpleString()}, url string, text string"
+    return joined.mapInArrow(_texts(run, least_covered, most_shared), schema).toDF(key, url, "text")
+
+
+def kept_blocks(blocks: list[dict], starts: list[int], run: int, least_covered: float, most_shared: float) -> list[str]:
+    """The texts of a page's main blocks, where the runs at ``starts`` in its stream of tokens are boilerplate."""
+    import numpy as np
+
+    ends = np.cumsum([b["tokens"] for b in blocks])
+    # how many of the tokens before each place are covered
+    edges = np.zeros(ends[-1] + 1, np.int64) if blocks else np.zeros(1, np.int64)
+    np.add.at(edges, np.array(starts, np.int64), 1)
+    np.add.at(edges, np.array(starts, np.int64) + run, -1)
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(edges)[:-1] > 0)])
+    has_main = any(b["main"] and not b["furniture"] for b in blocks)
+    mine = [(b, covered[end] - covered[end - b["tokens"]] >= least_covered * b["tokens"]) for b, end in zip(blocks, ends, strict=True)
+            if not b["furniture"] and (b["main"] or not has_main)]
+    total = sum(b["tokens"] for b, _ in mine)
+    gone = sum(b["tokens"] for b, shared in mine if shared)
+    copies = gone > most_shared * total if has_main else gone == total
+    return [b["text"] for b, shared in mine if copies or not shared]
+
+
+def _texts(run: int, least_covered: float, most_shared: float):
+    def work(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = ["\n".join(kept_blocks(b, starts or [], run, least_covered, most_shared))
+                         for b, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["key", "url", "text"])
+    return work

@@ -66,31 +66,71 @@ def test_neighbours_of_few_rows(spark):
 
 
 def pages():
+    """(page, its main text by how it was made): repeated passages of articles stay, what most pages of a host hold goes."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     text = lambda n: " ".join(word() for _ in range(n))
     made, want = [], []
     shared = text(40)
-    for i in range(40):
+    for i in range(60):
         host = "big.example.com" if i % 3 else f"h{i % 2}.example.com"
-        body = [text(20) + " & <x>", shared, text(3)]
+        body = [text(20) + " & <x>", shared if i % 5 == 0 else text(30), "Summary", text(3)]
         menu = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("home page", "about us now", "contact"))
         notice = f"<div>{host} uses small files to remember who is reading this page today</div>"
+        inside = f"<div>All words of {host} may be</div><div>used again</div>"  # neutral markup, one run over two blocks
         inner = "".join(f"<p>{escape(b)}" + ("</p>" if j % 2 else "\n\t<br>") for j, b in enumerate(body))
-        article = f"<article><header><h1>Title {i}</h1></header>{inner}<div class='share-buttons'>share it</div></article>"
+        article = f"<article><header><h1>Title {i}</h1></header>{inner}{inside}<div class='share-buttons'>share it</div></article>"
         page = (f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>if(a<b)'</p>'</script></head><body class='page menu'>"
-                f"<nav><ul>{menu}</ul></nav><!-- c <p> -->{notice}{article if i % 2 else f'<div>{inner}</div>'}"
+                f"<nav><ul>{menu}</ul></nav><!-- c <p> -->{notice}{article if i % 2 else f'<div>{inner}{inside}</div>'}"
                 f"<section id='comments'><p>Nice {word()}</p></section><footer>&copy; {host}</footer></body></html>")
         made.append((i, f"https://{host}/p/{i}?q=1", page, "x", 1))
-        kept = [b if i % 2 or b != shared else None for b in body]
-        want.append("\n".join(([f"Title {i}"] if i % 2 else []) + [b for b in kept if b]))
+        want.append("\n".join(([f"Title {i}"] if i % 2 else []) + body))
     return made, want
 
 
+def by_suffix_array(made):
+    """The text of each page, from the sorted suffixes of all distinct pages of its host."""
+    hosts = {}
+    for i, url, page, *_ in made:
+        hosts.setdefault(re.search("(?://([^/?#]*)|$)", url or "")[1] or "", []).append((i, boilerplate.blocks_of(page or "")))
+    run, found = boilerplate.SHARED_RUN, []
+    for held in hosts.values():
+        distinct = sorted({tuple(t for t, *_ in blocks) for _, blocks in held})
+        streams = [[w for t in p for w in t.split(" ")] for p in distinct]
+        suffixes = sorted((s[at:at + run], n) for n, s in enumerate(streams) for at in range(len(s) - run + 1))
+        common, at = set(), 0
+        while at < len(suffixes):
+            end = at
+            while end < len(suffixes) and suffixes[end][0] == suffixes[at][0]:
+                end += 1
+            n = len({p for _, p in suffixes[at:end]})
+            if n >= boilerplate.LEAST_PAGES and n >= boilerplate.LEAST_SHARE * len(streams):
+                common.add(tuple(suffixes[at][0]))
+            at = end
+        for i, blocks in held:
+            words = [w for t, *_ in blocks for w in t.split(" ")]
+            covered = [any(tuple(words[k:k + run]) in common for k in range(max(0, p - run + 1), p + 1)) for p in range(len(words))]
+            has_main, place, mine = any(m and not f for _, m, f in blocks), 0, []
+            for t, m, f in blocks:
+                n = t.count(" ") + 1
+                if not f and (m or not has_main):
+                    mine.append((t, n, sum(covered[place:place + n]) >= boilerplate.LEAST_COVERED * n))
+                place += n
+            total, gone = sum(n for _, n, _ in mine), sum(n for _, n, g in mine if g)
+            copies = gone > boilerplate.MOST_SHARED * total if has_main else gone == total
+            found.append((i, "\n".join(t for t, _, g in mine if copies or not g)))
+    return found
+
+
 def test_main_text(spark):
     made, want = pages()
     edge = [(100, None, None, "x", 1), (101, "u", "", "x", 1), (102, "https://one.example/", "<p>A&amp;B&nbsp;C &lt;d&gt; &#233;<p>E<b>F</b>G", "x", 1),
             (103, "x", "<script>never closed", "x", 1), (104, "x", "plain < text", "x", 1), made[1], (None, None, "<p>no key</p>", "x", 1)]
+    # a host of copies: their texts stay, with and without an article; and one very long page
+    copy, twice = "<p>one text of many words that two pages of a host hold in full</p>", "<article><p>near copies of one long article all keep its words {}</p></article>"
+    edge += [(105, "//copies/a", copy, "x", 1), (106, "//copies/b", copy, "x", 1)]
+    edge += [(110 + i, "//near/", twice.format(i), "x", 1) for i in range(4)]
+    edge += [(120, "//big.example.com/", "<article><p>" + " ".join(f"w{i}" for i in range(100_000)) + "</p></article>", "x", 1)]
     df = spark.createDataFrame([*made, *edge], "page_id bigint, url string, html string, text string, row int")
     got = boilerplate.main_text(df).collect()
     assert len(got) == len(made) + len(edge)
@@ -99,9 +139,29 @@ def test_main_text(spark):
         assert by[i] == text, i
     assert (by[100], by[101], by[103], by[104], by[None]) == ("", "", "", "plain < text", "no key")
     assert by[102] == "A&B C <d> é\nEFG"
+    assert by[105] == by[106] == copy[3:-4] and by[112] == twice.format(2)[12:-14] and len(by[120].split()) == 100_000
+    assert sorted(map(str, ((r["page_id"], r["text"]) for r in got))) == sorted(map(str, by_suffix_array([*made, *edge])))
     assert boilerplate.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_main_text_equals_suffix_array(spark, seed):
+    """Random pages of few words on hosts of one to many pages, so that runs of every share and place occur."""
+    rng = random.Random(seed)
+    pieces = [" ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(1, 12))) for _ in range(25)]
+    made = []
+    for i in range(120):
+        host = rng.choice(["a", "a", "a", "b", "b", "c", f"h{i}"])
+        parts = [rng.choice(pieces[:6] if rng.random() < 0.6 else pieces) for _ in range(rng.randint(0, 7))]
+        tags = [rng.choice(["div", "p", "nav", "div"]) for _ in parts]
+        inner = "".join(f"<{t}>{p}</{t}>" for t, p in zip(tags, parts))
+        half = rng.random() < 0.5
+        made.append((i, f"http://{host}/{i}", f"<div>{pieces[0]}</div>" + (f"<article>{inner}</article>" if half else inner), "x", 1))
+    df = spark.createDataFrame(made, "page_id bigint, url string, html string, text string, row int").repartition(7)
+    got = sorted((r["page_id"], r["text"]) for r in boilerplate.main_text(df).collect())
+    assert got == sorted(by_suffix_array(made))
+
+
 def test_escapes_are_reversible():
     rng = random.Random(6)
     for _ in range(5000):
