@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from .common import each_text, written
 
-#: Fixed sizes of the model, whatever the input: words whose counts the tasks hold, words that are clustered, classes.
-KNOWN, CLUSTERED, CLASSES = 1 << 16, 2048, 64
+#: Fixed sizes of the model, whatever the input: words that tasks hold and that are clustered, and classes.
+CLASSES = 64
+KNOWN = CLUSTERED = 1 << 16
+#: Groups of words that tasks look for the best classes of.
+SHARES = 256
 #: Bytes of the longest word that tasks hold, and classes by length of the words that are not clustered.
 LONGEST, SHAPES = 64, 8
 #: Weight of the classes' own shares in a transition, and rounds of the exchange.
 PRIOR, ROUNDS = 10.0, 4
 #: Distinct words, and pairs of tokens, that a task gathers before it hands them on.
-WORDS_AT_ONCE, PAIRS_AT_ONCE = 200_000, 1 << 20
+WORDS_AT_ONCE, PAIRS_AT_ONCE = 200_000, 1 << 22
 #: Documents scored before their results are handed on.
 DOCUMENTS_AT_ONCE = 256
 
@@ -83,9 +86,9 @@ def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> ClassMod
 
     Words are counted by Spark in full. Of size, the driver holds the KNOWN most frequent words of at most LONGEST
     bytes and the tables of classes; all other words keep their counts in a distributed table. Pairs of neighbouring
-    units (the CLUSTERED most frequent words, and classes by length for all others) are counted by Spark too, at most
-    the square of their number. Each round of the exchange sums, for every clustered word, the classes before and
-    after it; tasks then find the class that would raise the likelihood most, and every other word may move.
+    units (these words, and classes by length for all others) are counted by Spark too. Each round of the exchange
+    sums, for every second known word, the classes before and after it; tasks then find the class that would raise the
+    likelihood most. The classes of the likeliest round are taken. An empty table gives a model that knows no word.
     """
     import numpy as np
 
@@ -95,17 +98,20 @@ def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> ClassMod
     whole = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, words = int(whole[0] or 0) + ends, int(whole[1]) + (ends > 0)
 
-    # the frequency that at most KNOWN words reach, from a histogram of at most a few hundred steps
+    # the step of frequency in which the KNOWN-th word lies, from a histogram of at most a few hundred steps; of the
+    # words in that step, which may be any number, a part by hash
     step = F.floor(F.log2("n") * 8).cast("int")
     short = counts.filter(F.octet_length("word") <= LONGEST)
-    at_least, total = None, 0
-    for row in sorted(short.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        total += row["count"]
-        if total > KNOWN:
+    steps = sorted(((r["step"], r["count"]) for r in short.groupBy(step.alias("step")).count().collect()), reverse=True)
+    total, last, part = 0, -1, 1.0
+    for value, n in steps:
+        if total + n > KNOWN:
+            last, part = value, (KNOWN - total) / n
             break
-        at_least = row["step"]
-    frequent = short.filter(step >= at_least).collect() if at_least is not None else []
-    frequent = sorted(((-r["n"], r["word"].encode()) for r in frequent))
+        total += n
+    drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(part * (1 << 30))
+    frequent = short.filter((step > last) | (step == last) & drawn).collect()
+    frequent = sorted(((-r["n"], r["word"].encode()) for r in frequent))[:KNOWN]
     known = {w: i for i, (_, w) in enumerate(frequent)}
     frequency = np.array([-n for n, _ in frequent], np.int64)
     shape = [min(len(w) >> 2, SHAPES - 1) for _, w in frequent]
@@ -116,13 +122,13 @@ def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> ClassMod
     group = np.concatenate([np.arange(CLUSTERED) % CLASSES, CLASSES + np.arange(SHAPES + 1)])
     best, most = group, -np.inf
     for turn in range(rounds + 1):
-        table, contexts = _summed(pairs, group)
+        both, table = _summed(pairs, group)
         value = _likelihood(table)
         if value > most:
             best, most, best_table = group, value, table
         if turn == rounds or clustered == 0:
             break
-        group = _exchanged(contexts, table, group, turn)
+        group = _exchanged(both, table, group, turn)
     group, table = best, best_table
 
     classes = CLASSES + SHAPES + 1
@@ -174,23 +180,18 @@ def _pairs(texts: DataFrame, known: dict, unit) -> DataFrame:
 
 
 def _summed(pairs: DataFrame, group):
-    """The counts of class pairs as a matrix, and (word, right, left, own): class counts after and before each word."""
+    """The pairs with the classes ``ca`` and ``cb`` of their units, and the counts of class pairs as a matrix."""
     import numpy as np
+    import pyarrow as pa
 
     spark, size = pairs.sparkSession, CLASSES + SHAPES + 1
     # a row for each unit: a fixed number
-    named = spark.createDataFrame([(int(u), int(c)) for u, c in enumerate(group)], "unit int, class int")
+    named = spark.createDataFrame(pa.table({"unit": np.arange(len(group), dtype=np.int32), "class": np.asarray(group, np.int32)}))
     both = pairs.join(F.broadcast(named.toDF("a", "ca")), "a").join(F.broadcast(named.toDF("b", "cb")), "b")
-    sides = both.select(F.explode(F.array(
-        F.struct(F.col("a").alias("word"), F.lit(0).alias("side"), F.col("cb").alias("class"), "n", (F.col("a") == F.col("b")).alias("own")),
-        F.struct(F.col("b").alias("word"), F.lit(1).alias("side"), F.col("ca").alias("class"), "n", (F.col("a") == F.col("b")).alias("own")),
-    )).alias("x")).select("x.*")
-    contexts = written(sides.groupBy("word", "side", "class", "own").agg(F.sum("n").alias("n")), "contexts")
     table = np.zeros((size, size))
-    right = contexts.filter("side = 0").join(F.broadcast(named.toDF("word", "from")), "word")
-    for row in right.groupBy("from", "class").agg(F.sum("n").alias("n")).collect():
-        table[row["from"], row["class"]] = row["n"]
-    return table, contexts
+    for row in both.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
+        table[row["ca"], row["cb"]] = row["n"]
+    return both, table
 
 
 def _f(x):
@@ -203,27 +204,34 @@ def _likelihood(table) -> float:
     return float(_f(table).sum() - _f(table.sum(axis=0)).sum() - _f(table.sum(axis=1)).sum())
 
 
-def _exchanged(contexts: DataFrame, table, group, turn: int):
-    """The classes after one round: every other clustered word moves to its best class."""
+def _exchanged(both: DataFrame, table, group, turn: int):
+    """The classes after one round: every other known word moves to its best class."""
+    own = (F.col("a") == F.col("b")).alias("own")
+    sides = both.select(F.explode(F.array(
+        F.struct(F.col("a").alias("word"), F.lit(0).alias("side"), F.col("cb").alias("class"), "n", own),
+        F.struct(F.col("b").alias("word"), F.lit(1).alias("side"), F.col("ca").alias("class"), "n", own),
+    )).alias("x")).select("x.*").filter((F.col("word") < CLUSTERED) & (F.col("word") % 2 == turn % 2))
+    contexts = sides.groupBy("word", "side", "class", "own").agg(F.sum("n").alias("n"))
+
     def run(key, rows):
         import numpy as np
         import pyarrow as pa
 
-        word = key[0].as_py()
-        right, left, own = np.zeros(len(table)), np.zeros(len(table)), 0.0
-        for r in rows.to_pylist():
-            if r["own"]:
-                own = float(r["n"])
-            elif r["side"] == 0:
-                right[r["class"]] += r["n"]
-            else:
-                left[r["class"]] += r["n"]
-        return pa.table({"word": pa.array([word], pa.int32()), "class": pa.array([best_class(table, int(group[word]), right, left, own)], pa.int32())})
-
-    moving = contexts.filter((F.col("word") < CLUSTERED) & (F.col("word") % 2 == turn % 2))
+        word, side, kind, own, n = (rows.column(c).to_numpy() for c in ("word", "side", "class", "own", "n"))
+        words, at = np.unique(word, return_inverse=True)
+        right, left, self = np.zeros((len(words), len(table))), np.zeros((len(words), len(table))), np.zeros(len(words))
+        for into, mine in ((right, side == 0), (left, side == 1)):
+            mine = mine & ~own
+            np.add.at(into, (at[mine], kind[mine]), n[mine])
+        mine = own & (side == 0)
+        np.add.at(self, at[mine], n[mine])
+        found = [best_class(table, int(group[w]), r, b, s) for w, r, b, s in zip(words, right, left, self, strict=True)]
+        return pa.table({"word": pa.array(words, pa.int32()), "class": pa.array(found, pa.int32())})
+
+    share = F.pmod(F.floor(F.col("word") / 2), F.lit(SHARES)).alias("share")
+    moved = contexts.groupBy(share).applyInArrow(run, "word int, class int").toArrow()
     after = group.copy()
-    for row in moving.groupBy("word").applyInArrow(run, "word int, class int").collect():
-        after[row["word"]] = row["class"]
+    after[moved["word"].to_numpy()] = moved["class"].to_numpy()
     return after
 
 
@@ -241,7 +249,8 @@ def best_class(table, now: int, right, left, own: float) -> int:
     n_right, n_left = right.sum() + own, left.sum() + own
     # whatever its class, other classes get back what stands before and after the word
     rows, columns = rest.sum(axis=1) + left, rest.sum(axis=0) + right
-    gain = (_f(rest + right) - _f(rest)).sum(axis=1) + (_f(rest + left[:, None]) - _f(rest)).sum(axis=0)
+    before = _f(rest)
+    gain = (_f(rest + right) - before).sum(axis=1) + (_f(rest + left[:, None]) - before).sum(axis=0)
     d = np.arange(len(table))
     gain += _f(rest[d, d] + right + left + own) + _f(rest[d, d]) - _f(rest[d, d] + right) - _f(rest[d, d] + left)
     gain -= _f(rows + n_right) - _f(rows) + _f(columns + n_left) - _f(columns)

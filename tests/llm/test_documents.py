@@ -364,6 +364,64 @@ def test_class_scores(docs, empty):
     assert all(r["base_score"] == 0 and r["n_known"] == 0 for r in class_lm.score(docs.select("doc_id", "text"), none).collect())
 
 
+def test_class_score_by_brute_force(docs, monkeypatch):
+    """The score from the classes alone: every count and probability again, from the texts."""
+    monkeypatch.setattr(class_lm, "KNOWN", 40)  # so that some words have a class by length
+    texts = [(r["text"] or "").encode().lower().split() for r in docs.collect()]
+    model = class_lm.learn(docs)
+    assert len(model.known) <= 40
+    counts = Counter(w for t in texts for w in t)
+    edge, classes = class_lm.CLASSES + class_lm.SHAPES, class_lm.CLASSES + class_lm.SHAPES + 1
+
+    def kind(w):
+        return int(model.group[model.known[w]]) if w in model.known else class_lm.CLASSES + min(len(w) // 4, class_lm.SHAPES - 1)
+
+    after, pairs, size, kinds = Counter(), Counter(), Counter(), Counter()
+    for w, n in counts.items():
+        size[kind(w)] += n
+        kinds[kind(w)] += 1
+    for t in texts:
+        row = [edge, *map(kind, t), edge]
+        pairs.update(zip(row, row[1:]))
+        after.update(row[1:])
+    whole = sum(pairs.values())
+    first = Counter()
+    for (a, _), n in pairs.items():
+        first[a] += n
+
+    def chance(a, b):
+        share = (after[b] + 1) / (whole + classes)
+        return (pairs[a, b] + class_lm.PRIOR * share) / (first[a] + class_lm.PRIOR)
+
+    more = ["the of unseenword cat", "zz", ""]
+    asked = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(-1 - i, t) for i, t in enumerate(more)], "a bigint, b string"))
+    text = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in asked.collect()}
+    for r in class_lm.score(asked, model).collect():
+        want, last = 0.0, edge
+        for w in text[r["doc_id"]]:
+            k = kind(w)
+            want += math.log10(chance(last, k)) + math.log10((counts[w] + 1) / (size[k] + kinds[k] + 1))
+            last = k
+        assert r["score"] == pytest.approx(want + math.log10(chance(last, edge)))
+
+
+def test_frequent_words_of_an_even_vocabulary(spark, monkeypatch):
+    """Words as frequent as each other are held too, as many as there is room for."""
+    monkeypatch.setattr(class_lm, "KNOWN", 200)
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(3000)),)], "text string")
+    assert 120 <= len(class_lm.learn(df, rounds=1).known) <= 200
+
+
+def test_languages_of_unseen_texts(docs):
+    """Texts that the filters did not learn from get the language they are written in."""
+    rng = random.Random(9)
+    words = {"en": "the of and to cat dog house river walking talking".split(), "fr": "le la et les été où garçon château manger parler".split()}
+    made = [(i, " ".join(rng.choices(words[("en", "fr")[i % 2]], k=30))) for i in range(40)]
+    df = docs.sparkSession.createDataFrame(made, "doc_id bigint, text string")
+    got = language_id.predict(df, language_id.learn(docs.filter("doc_id < 80"))).collect()
+    assert all(r["lang_pred"] == ("en", "fr")[r["doc_id"] % 2] and r["score"] > 0.5 for r in got)
+
+
 def test_class_probabilities_sum_to_one(docs):
     import numpy as np
 
