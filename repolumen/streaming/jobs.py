@@ -19,7 +19,9 @@ GATE_ROUTES = ("blocked", "review")
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*").parquet(folder)
+    """The files of a table as a stream, whether the table is one file or a folder of parts."""
+    # a pattern, also in place of the one file, as a stream takes a plain path for a folder
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}*")
 
 
 def run_to_table(stream: DataFrame, path: str) -> DataFrame:

@@ -183,3 +183,13 @@ def test_result_documents(spark):
     docs = [ok, bad_grade, wrong_type, {k: v for k, v in ok.items() if k != "owner"}]
     df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id int, result_json string")
     assert rows(rp.analysis_schema_check(df), "id", "valid") == [(0, True), (1, False), (2, False), (3, False)]
+
+
+def test_a_stream_reads_tables_of_one_file_and_of_parts(spark, tmp_path):
+    folder = tmp_path / "data"
+    spark.range(0, 5, 1, 3).write.parquet(str(folder / "many.parquet"))
+    spark.range(0, 4, 1, 1).write.parquet(str(folder / "other"))
+    (folder / "one.parquet").write_bytes(next((folder / "other").glob("part-*.parquet")).read_bytes())
+    for name, n in (("many", 5), ("one", 4)):
+        stream = jobs.stream_table(spark, str(folder), f"{name}.parquet", "id long")
+        assert rows(jobs.run_to_table(stream, str(tmp_path / f"out-{name}")), "id") == [(i,) for i in range(n)]
