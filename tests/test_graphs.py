@@ -286,3 +286,38 @@ def test_crash_traversal(spark):
 def test_severity_bands(spark):
     df = spark.createDataFrame([(0.0,), (0.05,), (0.10,), (0.20,)], "s double")
     assert [r[0] for r in df.select(gs.betweenness_severity(df.s)).collect()] == ["low", "medium", "high", "critical"]
+
+
+def test_change_sets_over_components(spark, monkeypatch):
+    rnd = random.Random(11)
+    arcs, changes = [], []
+    for g in range(6):
+        size = 150 if g == 0 else 9  # several blocks of 64 in the first
+        arcs += [(f"g{g}", f"n{rnd.randrange(size)}", f"n{rnd.randrange(size)}") for _ in range(int(size * rnd.choice((0.8, 1.3, 2))))]
+        changes += [(f"g{g}", pr, f"n{rnd.randrange(size + 3)}") for pr in range(4) for _ in range(rnd.randrange(1, 5))]
+    edges = spark.createDataFrame(arcs, "repo_id string, src string, dst string")
+    files = spark.createDataFrame(changes + changes[:3], "repo_id string, pr_number long, path string")
+    want = set()
+    for repo, pr in {c[:2] for c in changes}:
+        own = {p for r, n, p in changes if (r, n) == (repo, pr)}
+        met, todo = set(own), list(own)
+        while todo:
+            at = todo.pop()
+            new = {a for r, a, b in arcs if r == repo and b == at} - met
+            met |= new
+            todo += new
+        want |= {(repo, pr, p, "modified" if p in own else "blast") for p in met}
+    got = tr.pr_blast(edges, gs.union_nodes(edges), files)
+    assert rows(got, *got.columns) == sorted(want)
+    kind = {w[:3]: w[3] for w in want}
+    lines = [(r, n, a, b, "modified" if kind[r, n, a] == kind[r, n, b] == "modified" else "hot")
+             for r, n in {w[:2] for w in want} for q, a, b in arcs if q == r and (r, n, b) in kind]
+    classes = tr.pr_edge_classes(edges, got)
+    assert rows(classes, *classes.columns) == sorted(lines)
+
+    # files that all reach each other are found without a walk
+    monkeypatch.setattr(tr, "expand", None)
+    ring = spark.createDataFrame([("r", f"n{i}", f"n{(i + 1) % 5}") for i in range(5)], "repo_id string, src string, dst string")
+    one = spark.createDataFrame([("r", 1, "n2")], "repo_id string, pr_number long, path string")
+    assert rows(tr.pr_blast(ring, gs.union_nodes(ring), one), "path", "class") == [
+        (f"n{i}", "modified" if i == 2 else "blast") for i in range(5)]
