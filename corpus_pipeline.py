@@ -15,7 +15,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, linked by 0.8 or more of their runs of five words, the smallest id stays."""
+    """Of each group of near copies, linked by 0.8 or more of their runs of five words, the smallest id stays.
+
+    SimHash fingerprints within two bits propose links, MinHash bands further ones; the runs decide.
+    """
     return similar.first_of_each(docs)
 
 

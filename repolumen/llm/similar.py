@@ -1,4 +1,7 @@
-"""Near duplicates by the Jaccard similarity of their word runs: MinHash bands find pairs, whole sets confirm them."""
+"""Near duplicates by the Jaccard similarity of their word runs.
+
+SimHash fingerprints within two bits, found by multi-index hashing, and MinHash bands propose pairs; whole sets confirm them.
+"""
 from __future__ import annotations
 
 from itertools import islice, repeat
@@ -7,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chosen, each_text, numbered, written
-from .simhash import first_of_groups
+from .simhash import _fingerprint, _roots, first_of_groups
 from .trees import links_of
 
 #: A pair of similarity 0.8 has all values of a band in common with probability 0.8 ** 5, so 20 bands find 0.9996 of them.
@@ -45,7 +48,10 @@ def _bands(runs, salts, factors) -> list[int]:
 
 
 def _signed(rows: DataFrame, size: int) -> DataFrame:
-    """(key, mark, fingerprint of the set of runs, bands) from (key, mark, text); a blank text has zero and no bands."""
+    """(key, mark, fingerprint of the set of runs, bands, SimHash of three-word shingles) from (key, mark, text).
+
+    A blank text has zero and no bands.
+    """
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -55,18 +61,20 @@ def _signed(rows: DataFrame, size: int) -> DataFrame:
         salts, factors = (rng.integers(0, 1 << 64, BANDS * VALUES, np.uint64) for _ in range(2))
         factors |= np.uint64(1)
         for batch in batches:
-            sets, bands = [], []
+            sets, bands, near = [], [], []
             for text in each_text(batch.column(2)):
                 runs = word_runs(text, size)
                 sets.append(xxh64_intdigest(runs.tobytes(), 42) if len(runs) else 0)
                 bands.append(np.array(_bands(runs, salts, factors), np.uint64).view(np.int64))
+                near.append(_fingerprint(text, 3))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
-                names=["key", "mark", "fingerprint", "bands"])
+                [batch.column(0), batch.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())),
+                 pa.array(np.array(near, np.uint64).view(np.int64))],
+                names=["key", "mark", "fingerprint", "bands", "simhash"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "mark")}
     return rows.select("key", "mark", "text").mapInArrow(
-        run, f"key {kinds['key']}, mark {kinds['mark']}, fingerprint bigint, bands array<bigint>")
+        run, f"key {kinds['key']}, mark {kinds['mark']}, fingerprint bigint, bands array<bigint>, simhash bigint")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -89,10 +97,14 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
 def similar_pairs(classes: DataFrame, columns: DataFrame, similarity: float, size: int) -> DataFrame:
     """(a, b): pairs of sets of at least this similarity, enough of them to link all that share a bucket and are similar.
 
-    ``classes`` has fingerprint, mark and bands, one row per distinct set, ``columns`` the texts by mark. Only texts of
+    ``classes`` has fingerprint, mark, bands and simhash, one row per distinct set, ``columns`` the texts by mark. A
+    bucket is a value of a band, or all that SimHash links within two bits, directly or over others. Only texts of
     sets that share a bucket are read again; prefix trees compare these and return no more links than sets.
     """
-    filed = classes.select("fingerprint", F.explode("bands").alias("value"))
+    prints = written(classes.filter(F.size("bands") > 0).groupBy(F.col("simhash").alias("fingerprint")).agg(F.min("mark").alias("first")), "prints")
+    near = _roots(prints, 2).select(F.col("fingerprint").alias("simhash"), F.xxhash64(F.lit("simhash"), "root").alias("value"))
+    linked = classes.filter(F.size("bands") > 0).join(near, "simhash").select("fingerprint", "value")
+    filed = classes.select("fingerprint", F.explode("bands").alias("value")).union(linked)
     counted = filed.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
     shared = written(filed.join(written(counted, "buckets"), "value").select("value", F.col("fingerprint").alias("id")), "shared")
     members = classes.join(shared.select(F.col("id").alias("fingerprint")).distinct(), "fingerprint", "left_semi").select("mark")
@@ -112,6 +124,6 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     columns = kept.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(mark).alias("mark"))
     seen = written(_signed(columns, size), "fingerprints")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
-    classes = written(seen.groupBy("fingerprint").agg(F.min(order).alias("first"), F.first("bands").alias("bands")), "classes")
-    pairs = similar_pairs(classes.select("fingerprint", "first.mark", "bands"), columns, similarity, size)
+    classes = written(seen.groupBy("fingerprint").agg(F.min(order).alias("first"), F.first("bands").alias("bands"), F.min("simhash").alias("simhash")), "classes")
+    pairs = similar_pairs(classes.select("fingerprint", "first.mark", "bands", "simhash"), columns, similarity, size)
     return first_of_groups(kept, mark, classes.select("fingerprint", "first"), pairs)

@@ -2,9 +2,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from repolumen.llm import similar, trees
+from repolumen.llm import simhash, similar, trees
+from repolumen.llm.common import numbered
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -65,3 +67,17 @@ def test_similar_texts_stay_once(spark, monkeypatch, held):
     got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert len(pairs) > 1000 and got == want
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_simhash_proposes_links(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(w) for w in (["first", *words], words, [*words[:399], "other"])] + ["quite another text of a few words", ""]
+    prints = [simhash._fingerprint(t.encode(), 3) for t in texts[:3]]
+    assert all((prints[1] ^ p).bit_count() <= 2 for p in prints)
+    kept, mark = numbered(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+    columns = kept.select(F.col("doc_id").alias("key"), "text", F.col(mark).alias("mark"))
+    # every set in a band of its own, so that no band finds anything
+    classes = similar._signed(columns, 5).withColumn("bands", F.when(F.size("bands") > 0, F.array("fingerprint")).otherwise(F.array().cast("array<bigint>")))
+    links = similar.similar_pairs(classes, columns, 0.8, 5).collect()
+    near = {r["key"]: r["fingerprint"] for r in classes.collect()}
+    assert {x for link in links for x in link} == {near[0], near[1], near[2]} and len(links) >= 2
