@@ -53,6 +53,11 @@ def test_diagnosis(spark):
     snippets = {(r["trace_id"], r["path"]): r["snippet"] for r in diagnosis.context_snippets(context, contents, summary).collect()}
     assert snippets["t1", "src/b.ts"].split("\n")[2] == ">>>    3 | throw 1"
     assert snippets["t2", "src/a.ts"] == "import b from './b'"
+    # texts are met last and by file alone: no row is shuffled with one
+    plan = diagnosis.context_snippets(context, contents)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join " in line]
+    assert "BroadcastHashJoin" in joins[0] and "path" in joins[0] and "trace_id" not in joins[0] and "Union" not in plan.split(joins[0])[0]
+    assert {(r["trace_id"], r["path"]): r["snippet"] for r in diagnosis.context_snippets(context.drop("line"), contents, summary).collect()} == snippets
 
 
 def test_pull_request_impact(spark):
