@@ -1,18 +1,35 @@
-"""Betweenness centrality: Brandes' accumulation, one join round per distance level.
+"""Betweenness centrality: Brandes' accumulation, one round of block products per distance level.
 
-All searches of a batch of sources advance together; the state is (source, node) pairs, so the
-batch count bounds it: ``batches`` splits the sources by hash and adds the partial sums.
+Nodes are numbered by connected component, and the numbers are cut into parts of 512. A row of the state holds what a
+block of 128 sources knows of one part, and a row of arcs is the block of arcs from one part to another, so a round is a
+join of the two on the part, a product of two small matrices per row, and a sum per block and part that Spark groups.
+Only pairs that are reached are kept. All searches of a batch of sources advance together; ``batches`` splits the sources
+by their blocks and adds the partial sums, which bounds the state.
 """
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Cut, durable, measured, together
+from ..session import Cut, broadcast_limit, durable, measured
+from .components import connected_components
 from .graph_stats import union_nodes
 
+#: Bits of a number that tell the source in its block, and the node in its part.
+SOURCE, NODE = 7, 9
+SOURCES, NODES = 1 << SOURCE, 1 << NODE
+STATE = "block long, part long, cells binary, vals binary"
+COMPACT_EVERY = 8
+
+# what runs in tasks travels with them, so executors need not have the library
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def betweenness(
     nodes: DataFrame, edges: DataFrame, normalize: bool = True, sources: DataFrame | None = None, batches: int = 1,
@@ -24,52 +41,140 @@ def betweenness(
     arcs = durable(edges.filter(F.col("src") != F.col("dst")).select("repo_id", "src", "dst").distinct())
     members = durable(nodes.select("repo_id", "path").union(union_nodes(edges)).distinct())
     sizes = members.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 3)
-    start = (members if sources is None else sources).select("repo_id", F.col("path").alias("s"))
-    start = start.join(arcs.select("repo_id", F.col("src").alias("s")), ["repo_id", "s"], "left_semi")
+    order = ["repo_id", "component", "path"]
+    placed = durable(connected_components(members, arcs).select(*order))
+    ids = durable(placed.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "repo_id", "path", F.monotonically_increasing_id().alias("id")))
+    numbered = durable(
+        arcs.join(ids.withColumnsRenamed({"path": "src", "id": "a"}), ["repo_id", "src"])
+        .join(ids.withColumnsRenamed({"path": "dst", "id": "b"}), ["repo_id", "dst"]).select("a", "b"))
+    blocks = _arc_blocks(numbered)
+    start = ids if sources is None else ids.join(sources.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+    start = durable(start.select("id").join(numbered.select(F.col("a").alias("id")), "id", "left_semi"))
     partial = [
-        _accumulate(start.filter(F.pmod(F.xxhash64("s"), F.lit(batches)) == i) if batches > 1 else start, arcs)
+        _accumulate(start.filter(F.pmod(F.xxhash64(F.shiftright("id", SOURCE)), F.lit(batches)) == i) if batches > 1 else start, blocks)
         for i in range(batches)
     ]
-    sums = reduce(DataFrame.unionByName, partial).groupBy("repo_id", "path").agg(F.sum("score").alias("score"))
+    sums = reduce(DataFrame.unionByName, partial).groupBy("id").agg(F.sum("score").alias("score"))
     scale = (F.col("n") - 1) * (F.col("n") - 2) if normalize else F.lit(1)
-    return members.join(sizes, "repo_id").join(sums, ["repo_id", "path"], "left").select(
+    return members.join(sizes, "repo_id").join(ids.join(sums, "id").drop("id"), ["repo_id", "path"], "left").select(
         "repo_id", "path", (F.coalesce("score", F.lit(0.0)) / scale).alias("score"))
 
 
-def _accumulate(start: DataFrame, arcs: DataFrame) -> DataFrame:
-    first = measured(start.select("repo_id", "s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))
+def _arc_blocks(arcs: DataFrame) -> DataFrame:
+    """(part, to, arcs): the arcs (a, b) from one part to another as numbers, at most 512 times 512."""
+    def pack(key, table):
+        return pa.table({"part": [key[0].as_py()], "to": [key[1].as_py()], "arcs": [table["code"].to_numpy().astype("<i4").tobytes()]})
+
+    last = F.lit(NODES - 1)
+    code = F.shiftleft(F.col("a").bitwiseAND(last), NODE).bitwiseOR(F.col("b").bitwiseAND(last)).cast("int")
+    packed = measured(
+        arcs.select(F.shiftright("a", NODE).alias("part"), F.shiftright("b", NODE).alias("to"), code.alias("code"))
+        .groupBy("part", "to").applyInArrow(pack, "part long, to long, arcs binary"), F.sum(F.octet_length("arcs")).alias("size"))
+    small = (packed.seen["size"] or 0) <= broadcast_limit(arcs.sparkSession)
+    return F.broadcast(packed.df) if small else packed.df
+
+
+def _dense(cells: bytes, vals: bytes) -> np.ndarray:
+    out = np.zeros(SOURCES * NODES)
+    out[np.frombuffer(cells, "<i4")] = np.frombuffer(vals, "<f8")
+    return out
+
+
+def _packed(dense: np.ndarray) -> tuple[bytes, bytes]:
+    cells = np.flatnonzero(dense)
+    return cells.astype("<i4").tobytes(), dense[cells].astype("<f8").tobytes()
+
+
+def _push(state: DataFrame, blocks: DataFrame, back: bool = False) -> DataFrame:
+    """What each block of sources hands along the arcs of its parts, or against them, not yet summed per part."""
+    def product(cells, vals, arcs):
+        codes = np.frombuffer(arcs, "<i4")
+        matrix = np.zeros((NODES, NODES))
+        matrix[codes >> NODE, codes & (NODES - 1)] = 1.0
+        return _packed((_dense(cells, vals).reshape(SOURCES, NODES) @ (matrix.T if back else matrix)).ravel())
+
+    run = F.udf(product, "cells binary, vals binary", useArrow=False)
+    way = blocks.select(F.col("to").alias("part"), F.col("part").alias("to"), "arcs") if back else blocks
+    sent = state.join(way, "part").select("block", F.col("to").alias("part"), run("cells", "vals", "arcs").alias("x"))
+    return sent.select("block", "part", "x.cells", "x.vals")
+
+
+def _row(key, cells: bytes, vals: bytes):
+    return pa.table({"block": [key[0].as_py()], "part": [key[1].as_py()], "cells": [cells], "vals": [vals]})
+
+
+def _tagged(sent: DataFrame, known: DataFrame):
+    return sent.withColumn("known", F.lit(False)).unionByName(known.withColumn("known", F.lit(True))).groupBy("block", "part")
+
+
+def _rows(table):
+    return zip(table["known"].to_pylist(), table["cells"].to_pylist(), table["vals"].to_pylist(), strict=True)
+
+
+def _first_met(key, table):
+    """What arrives at pairs that were not met before."""
+    total, met = np.zeros(SOURCES * NODES), []
+    for known, cells, vals in _rows(table):
+        if known:
+            met.append(np.frombuffer(cells, "<i4"))
+        else:
+            total += _dense(cells, vals)
+    for cells in met:
+        total[cells] = 0.0
+    cells, vals = _packed(total)
+    return _row(key, cells, vals).slice(0, 1 if cells else 0)
+
+
+def _joined(key, table):
+    cells, vals = b"".join(table["cells"].to_pylist()), b"".join(table["vals"].to_pylist())
+    return _row(key, cells, vals)
+
+
+def _shares(key, table):
+    """Dependencies of a level: its path counts times what comes back; with what it hands back and the sums of its nodes."""
+    total, sigma = np.zeros(SOURCES * NODES), None
+    for known, cells, vals in _rows(table):
+        if known:
+            sigma = _dense(cells, vals)
+        else:
+            total += _dense(cells, vals)
+    met = sigma is not None
+    sigma = sigma if met else np.zeros_like(total)
+    delta = sigma * total
+    cells, vals = _packed(np.divide(1.0 + delta, sigma, out=np.zeros_like(sigma), where=sigma != 0))
+    return _row(key, cells, vals).append_column("scores", pa.array([delta.reshape(SOURCES, NODES).sum(axis=0)], pa.list_(pa.float64()))).slice(
+        0, 1 if met else 0)
+
+
+def _accumulate(start: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(id, score): the dependencies of all sources ``start(id)`` on each node."""
+    def own(key, table):
+        number = table["id"].to_numpy()
+        dense = np.zeros((SOURCES, NODES))
+        dense[number & (SOURCES - 1), number & (NODES - 1)] = 1.0
+        cells, vals = _packed(dense.ravel())
+        return _row(key, cells, vals)
+
+    # a block of sources lies in one part
+    first = measured(start.select("id", F.shiftright("id", SOURCE).alias("block"), F.shiftright("id", NODE).alias("part"))
+                     .groupBy("block", "part").applyInArrow(own, STATE))
     levels: list[Cut] = [first]
-    seen: list[Cut] = [first]
+    seen = first.df
     while levels[-1].rows:
-        found = (
-            levels[-1].for_join().join(arcs.withColumnRenamed("src", "v"), ["repo_id", "v"])
-            .groupBy("repo_id", "s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
-        )
-        known = together(seen).for_join().select("repo_id", "s", "v")
-        levels.append(measured(found.join(known, ["repo_id", "s", "v"], "left_anti")))
-        seen.append(levels[-1])
-        if len(seen) >= 8:
-            seen = [measured(together(seen).df)]
+        levels.append(measured(_tagged(_push(levels[-1].df, blocks), seen).applyInArrow(_first_met, STATE)))
+        seen = seen.union(levels[-1].df)
+        if len(levels) % COMPACT_EVERY == 0:
+            seen = durable(seen.groupBy("block", "part").applyInArrow(_joined, STATE))
     levels.pop()
-    sums: list[DataFrame] = []
+    sums = [first.df.sparkSession.createDataFrame([], "id long, score double")]
     below: DataFrame | None = None
     for level in reversed(levels[1:]):
-        here = level.df
-        if below is None:
-            here = here.withColumn("delta", F.lit(0.0))
-        else:
-            share = (
-                here.select("repo_id", "s", F.col("v").alias("src"), F.col("sigma").alias("sv"))
-                .join(arcs, ["repo_id", "src"])
-                .join(below.withColumnRenamed("v", "dst"), ["repo_id", "s", "dst"])
-                .groupBy("repo_id", "s", F.col("src").alias("v"))
-                .agg(F.sum(F.col("sv") / F.col("sigma") * (1.0 + F.col("delta"))).alias("delta"))
-            )
-            here = here.join(share, ["repo_id", "s", "v"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
-        below = durable(here.select("repo_id", "s", "v", "sigma", "delta"))
-        sums.append(below.groupBy("repo_id", F.col("v").alias("path")).agg(F.sum("delta").alias("score")))
-    if not sums:
-        return start.select("repo_id", F.col("s").alias("path"), F.lit(0.0).alias("score")).limit(0)
+        sent = level.df.limit(0) if below is None else _push(below.select("block", "part", "cells", "vals"), blocks, back=True)
+        below = durable(_tagged(sent, level.df).applyInArrow(_shares, STATE + ", scores array<double>"))
+        each = below.select("part", F.posexplode("scores").alias("at", "score")).filter("score <> 0")
+        sums.append(each.groupBy("part", "at").agg(F.sum("score").alias("score")).select(
+            (F.col("part") * NODES + F.col("at")).alias("id"), "score"))
     return reduce(DataFrame.unionByName, sums)
 
 

@@ -192,6 +192,26 @@ def test_betweenness(spark):
         assert dict(got[name]) == pytest.approx(brandes(names, edges))
 
 
+def test_betweenness_over_parts(spark):
+    """More nodes than a part and more sources than a block; the state is rows of blocks, not of pairs."""
+    random.seed(8)
+    names = [f"v{i}" for i in range(1300)]
+    edges = sorted({(a, b) for a in names[:1250] for b in random.sample(names[:1250], 4) if a != b})
+    named = {"wide": (edges, names), "line": ([(f"w{i}", f"w{i + 1}") for i in range(12)], [])}
+    n, e = many(spark, named)
+    got = by_repo(btw.betweenness(n, e, batches=2), "path", "score")
+    assert dict(got["wide"]) == pytest.approx(brandes(names, edges))
+    assert dict(got["line"])["w6"] == pytest.approx(6 * 6 / (12 * 11))
+    start = n.filter("repo_id = 'line'").select("repo_id", "path").filter("path = 'w0'")
+    some = by_repo(btw.betweenness(n, e, normalize=False, sources=start), "path", "score")
+    assert dict(some["line"])["w1"] == 11 and not any(dict(some["wide"]).values())
+    ids = spark.range(700).select("id")
+    arcs = spark.range(700 * 700).selectExpr("id div 700 AS a", "id % 700 AS b").filter("a <> b")
+    blocks = btw._arc_blocks(arcs)
+    assert blocks.count() == 4
+    assert btw._accumulate(ids, blocks).filter("score <> 0").count() == 0
+
+
 def power(names, edges, rounds, dangling=True):
     out = {v: [b for a, b in edges if a == v] for v in names}
     n = len(names)
