@@ -73,6 +73,16 @@ def test_graph_from_sources(spark):
     assert "tsconfig.json" not in {p for (p,) in rows(sane_nodes, "path")}
 
 
+def test_names_are_resolved_once_for_all_files(spark):
+    """References are shuffled to make edges distinct, and for nothing else where their names are few."""
+    df = contents(spark, [("tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["./src/*"]}}}'), ("src/hub.ts", ""), ("hub.ts", "")] + [
+        (f"src/x{i}/f.ts", "import a from '../hub'\nimport b from '@/hub'\nexport * from 'src/hub'") for i in range(30)])
+    nodes, edges = imp.build_dependency_graph(df, df)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan  # one for the edges, one for the pages
+    assert rows(edges, "src", "dst") == sorted((f"src/x{i}/f.ts", "src/hub.ts") for i in range(30)) and nodes.count() == 33
+
+
 def test_resolution_order_equals_trying_every_candidate(spark):
     import random
 
