@@ -94,3 +94,19 @@ def test_ranks_equal_plain_iteration(spark, monkeypatch, kind):
             break
     got = dict(rows({"default": pr.pagerank_default, "weighted": pr.pagerank_weighted, "simple": pr.pagerank_simple}[kind](nodes, e), "path", "rank"))
     assert got.keys() == rank.keys() and all(abs(got[x] - rank[x]) < 1e-12 for x in names)
+
+
+def test_layout_leaves_no_copies_of_the_edges(spark):
+    """Edges are written as columns while numbers are given, not as checkpoints, and are gone afterwards."""
+    import os
+
+    from repolumen.session import shared_dir
+    _, edges = graph(spark, [(f"a{i}", f"b{i % 7}") for i in range(50)])
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    laid = layout.lay_out(edges)
+    new = {name.split("-")[0] for name in set(os.listdir(folder)) - before}
+    cuts = [name for name in set(os.listdir(folder)) - before if name.startswith("rdd-")]
+    assert new <= {"rdd", "arcs"} and len(cuts) <= 2  # names, and the nodes in several parts
+    assert laid.arcs.count() == 50 and laid.names.count() == 57
+    laid.drop()
