@@ -326,28 +326,34 @@ def sanitize_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     return all_nodes, kept
 
 
+def _presumed(path: Column) -> Column:
+    """The path that a test file presumably covers."""
+    return F.regexp_replace(
+        F.regexp_replace(path, r"(?i)\.(?:test|spec)(\.[jt]sx?)\z", "$1"),
+        r"(?i)^(.*?)__(?:tests|mocks)__/", "$1",
+    )
+
+
 def test_coverage_pairs(files: DataFrame) -> DataFrame:
     """(source, test) pairs: the path a test file presumably covers, where that file exists."""
     from .inventory import is_test_file
 
     path = F.col("path")
-    presumed = F.regexp_replace(
-        F.regexp_replace(path, r"(?i)\.(?:test|spec)(\.[jt]sx?)\z", "$1"),
-        r"(?i)^(.*?)__(?:tests|mocks)__/", "$1",
-    )
-    tests = files.filter(is_test_file(path)).select("repo_id", presumed.alias("path"), path.alias("test_path"))
+    tests = files.filter(is_test_file(path)).select("repo_id", _presumed(path).alias("path"), path.alias("test_path"))
     sources = files.filter(~is_test_file(path)).select("repo_id", "path")
     return tests.join(sources, ["repo_id", "path"]).select("repo_id", "path", "test_path")
 
 
 def test_coverage_map(files: DataFrame) -> DataFrame:
-    """Every non-test file with the number of tests that cover it."""
+    """Every non-test file with the number of tests that cover it, counted in one grouping by the path covered."""
     from .inventory import is_test_file
 
-    counts = test_coverage_pairs(files).groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("n_tests"))
+    is_test = is_test_file(F.col("path"))
+    pairs = F.when(F.col("repo_id").isNotNull(), F.col("tests") * F.col("sources")).otherwise(0)
     return (
-        files.filter(~is_test_file(F.col("path"))).select("repo_id", "path")
-        .join(counts, ["repo_id", "path"], "left")
-        .select("repo_id", "path", F.col("n_tests").isNotNull().alias("is_tested"),
-                F.coalesce("n_tests", F.lit(0)).alias("n_tests"))
+        files.select("repo_id", F.when(is_test, _presumed(F.col("path"))).otherwise(F.col("path")).alias("path"), is_test.alias("is_test"))
+        .groupBy("repo_id", "path")
+        .agg(F.count_if(F.col("is_test")).alias("tests"), F.count_if(~F.col("is_test")).alias("sources"))
+        .filter(F.col("sources") > 0)
+        .select("repo_id", "path", (pairs > 0).alias("is_tested"), pairs.alias("n_tests"))
     )

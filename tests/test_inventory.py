@@ -73,6 +73,15 @@ def test_graph_from_sources(spark):
     assert "tsconfig.json" not in {p for (p,) in rows(sane_nodes, "path")}
 
 
+def test_coverage_map_takes_one_shuffle(spark):
+    paths = ["src/a.ts", "src/a.test.ts", "src/__tests__/a.ts", "src/b.ts", "lib/c.spec.js", "lib/c.js", "gone.test.ts"]
+    df = spark.createDataFrame([("r", p) for p in paths] + [("s", "src/b.test.ts"), (None, "x.ts"), (None, "x.test.ts")], "repo_id string, path string")
+    covered = imp.test_coverage_map(df)
+    assert covered._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r["repo_id"], r["path"]): (r["is_tested"], r["n_tests"]) for r in covered.collect()}
+    assert got == {("r", "src/a.ts"): (True, 2), ("r", "src/b.ts"): (False, 0), ("r", "lib/c.js"): (True, 1), (None, "x.ts"): (False, 0)}
+
+
 def test_names_are_resolved_once_for_all_files(spark):
     """References are shuffled to make edges distinct, and for nothing else where their names are few."""
     df = contents(spark, [("tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["./src/*"]}}}'), ("src/hub.ts", ""), ("hub.ts", "")] + [
