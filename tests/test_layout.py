@@ -1,10 +1,11 @@
 """Laid-out graphs: hubs in parts, ids in order, and what loops over them give."""
 import random
+import re
 
 import pytest
 from conftest import graph, rows
 
-from repolumen.operators import layout, rank_flow as pr, traversal as tr
+from repolumen.operators import graph_stats as gs, layout, rank_flow as pr, traversal as tr
 
 
 def reach(edges, seeds, reverse=False):
@@ -110,3 +111,19 @@ def test_layout_leaves_no_copies_of_the_edges(spark):
     assert new <= {"rdd", "arcs"} and len(cuts) <= 2  # names, and the nodes in several parts
     assert laid.arcs.count() == 50 and laid.names.count() == 57
     laid.drop()
+
+
+def shuffles_by_repository(df):
+    """How many exchanges of a plan put each repository into one task."""
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+    return sum(k.startswith("repo_id#") and k.count("#") == 1 for k in keys)
+
+
+def test_stability_plot_keeps_large_repositories_in_many_tasks(spark):
+    nodes, edges = graph(spark, [("a", "b"), ("c", "b"), ("b", "d")], ["alone"])
+    entries = spark.createDataFrame([("r", "a"), ("r", "a"), ("r", "gone")], "repo_id string, path string")
+    got = gs.stability_plot(gs.stability(nodes, edges), entries)
+    assert shuffles_by_repository(got) == 0
+    assert rows(got, "path", "ca_scaled", "plot_class", "zone_tag") == [
+        ("a", 0.0, "uselessness", None), ("alone", 0.0, "healthy", "main-sequence"), ("b", 1.0, "healthy", "main-sequence"),
+        ("c", 0.0, "uselessness", "uselessness"), ("d", 0.5, "healthy", "balanced")]
