@@ -127,3 +127,11 @@ def test_stability_plot_keeps_large_repositories_in_many_tasks(spark):
     assert rows(got, "path", "ca_scaled", "plot_class", "zone_tag") == [
         ("a", 0.0, "uselessness", None), ("alone", 0.0, "healthy", "main-sequence"), ("b", 1.0, "healthy", "main-sequence"),
         ("c", 0.0, "uselessness", "uselessness"), ("d", 0.5, "healthy", "balanced")]
+
+
+def test_hub_nodes_keep_large_repositories_in_many_tasks(spark):
+    _, edges = graph(spark, [("a", "b"), ("c", "b"), ("b", "d"), ("e", "e")])
+    got = gs.hub_nodes(edges)
+    assert shuffles_by_repository(got) == 0
+    assert rows(got, "path", "degree", "is_hub") == [
+        ("a", 1, False), ("b", 3, True), ("c", 1, False), ("d", 1, False), ("e", 2, True)]
