@@ -135,3 +135,20 @@ def test_hub_nodes_keep_large_repositories_in_many_tasks(spark):
     assert shuffles_by_repository(got) == 0
     assert rows(got, "path", "degree", "is_hub") == [
         ("a", 1, False), ("b", 3, True), ("c", 1, False), ("d", 1, False), ("e", 2, True)]
+
+
+def test_ranks_keep_large_repositories_in_many_tasks(spark):
+    # many files import one, which imports another: only the two are ever met by the walk
+    edges = [(f"m{i:02d}", "hub") for i in range(30)] + [("hub", "leaf"), ("gone", "")]
+    nodes, e = graph(spark, edges)
+    nodes = nodes.filter("path <> 'gone'")
+    got = pr.pagerank_default(nodes, e.selectExpr("repo_id", "src", "nullif(dst, '') AS dst"))
+    assert shuffles_by_repository(got) == 0
+    n, links = 32, edges[:-1]
+    rank = {p: 1 / n for p in {x for a in links for x in a}}
+    for _ in range(20):
+        new = {p: 0.15 / n + 0.85 * rank["leaf"] / n for p in rank}
+        for a, b in links:
+            new[b] += 0.85 * rank[a]
+        rank = new
+    assert dict(rows(got, "path", "rank")) == pytest.approx(rank)
