@@ -39,6 +39,15 @@ def test_lint_top_files_and_summary(spark):
         (0, "[a.ts]"), (3, "  ERROR L3: Unreachable statement after ReturnStatement at line 2")]
 
 
+def test_summary_reads_findings_that_are_written_once(spark):
+    found = spark.createDataFrame([("r", "a.ts", 3, "error", "x"), ("r", "a.ts", 5, "warning", "y"), ("r", "b.ts", 3, "error", "x")],
+                                  "repo_id string, path string, line int, severity string, description string")
+    got = ct.findings_summary(found)
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got, "path", "line", "text") == [
+        ("a.ts", 0, "[a.ts]"), ("a.ts", 3, "  ERROR L3: x"), ("a.ts", 5, "  WARN L5: y"), ("b.ts", 0, "[b.ts]"), ("b.ts", 3, "  ERROR L3: x")]
+
+
 def chunks_by_hand(text, limit):
     out, cur = [], ""
     for line in text.split("\n"):
