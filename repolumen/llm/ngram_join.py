@@ -8,8 +8,8 @@ from .common import chosen, each_text, numbered, smallest_reachable, written
 from .similar import word_runs
 from .trees import links_of
 
-#: The part of a set that two links must meet in before the sets are read in full: one in so many n-grams.
-MET = 20
+#: N-grams that a piece of a set holds at least if the set is to be found by it.
+PIECE = 3
 
 
 def least_common(n: Column, num: int, den: int) -> Column:
@@ -17,33 +17,58 @@ def least_common(n: Column, num: int, den: int) -> Column:
     return F.ceil((num * n) / F.lit(den) - 1e-9).cast("int")
 
 
-def _head(runs, num: int, den: int):
-    """The least hashes of a set: links meet there in ``1 + n // MET`` of them, or as many as the smaller set has."""
+def _signs(runs, num: int, den: int):
+    """Numbers of which any two sets that link, but are not equal, have one in common at least; few others do.
+
+    ``runs`` are the distinct hashes of a set in order. Two linked sets differ in no more than ``most`` n-grams, of
+    either. Hashes are divided by value into pieces, as many for all sets of a range of sizes; a difference spoils one
+    piece, so among the first ``most + 1`` that hold ``PIECE`` n-grams or more in either set, one is the same in both.
+    A piece's number is the sum of its hashes. A set with fewer such pieces has them all, and its least hashes
+    besides, among which two such sets meet. Near the end of a range, a set is divided as the next range is, too.
+    """
+    import numpy as np
+
     n = len(runs)
-    return runs[:n - (num * n + den - 1) // den + 1 + n // MET]
+    most = n * (den - num) // num
+    if not most:
+        return runs[:0]
+    after = lambda end: max(-(-3 * end // 2), -(-den * end // num))
+    end = 2
+    while end <= n:
+        end = after(end)
+    signs = []
+    for limit in [end, after(end)] if den * n >= num * end else [end]:
+        least = (limit - 1) * (den - num) // num + 1
+        piece = ((runs >> np.uint64(32)) * np.uint64(least + least // 4 + 1)) >> np.uint64(32)
+        starts = np.concatenate([[0], np.flatnonzero(piece[1:] != piece[:-1]) + 1])
+        held = np.diff(np.append(starts, n)) >= PIECE
+        signs.append(np.add.reduceat(runs, starts)[held][:most + 1])
+        if len(signs[-1]) <= most:
+            signs.append(runs[:n - (num * n + den - 1) // den + 1])
+    return np.unique(np.concatenate(signs))
 
 
 def _signed(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(key, mark, n, fingerprint, head) from (key, mark, text)."""
+    """(key, mark, n, fingerprint, signs) from (key, mark, text)."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            sizes, prints, heads = [], [], []
+            sizes, prints, signs = [], [], []
             for text in each_text(batch.column(2)):
                 runs = word_runs(text, size)
                 sizes.append(len(runs))
                 prints.append(xxh64_intdigest(runs.tobytes(), 42))
-                heads.append(_head(runs, num, den).view(np.int64))
+                signs.append(_signs(runs, num, den).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)),
-                 pa.array(heads, pa.list_(pa.int64()))], names=["key", "mark", "n", "fingerprint", "head"])
+                 pa.array(signs, pa.list_(pa.int64()))], names=["key", "mark", "n", "fingerprint", "signs"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "mark")}
     return rows.select("key", "mark", "text").mapInArrow(
-        run, f"key {kinds['key']}, mark {kinds['mark']}, n bigint, fingerprint bigint, head array<bigint>")
+        run, f"key {kinds['key']}, mark {kinds['mark']}, n bigint, fingerprint bigint, signs array<bigint>")
 
 
 def _grams(rows: DataFrame, size: int) -> DataFrame:
@@ -73,11 +98,11 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     component of null keys has none. Rows with equal sets are one class, so copies cost no more than one document.
     Extra columns are ignored; an empty table gives no rows. N-grams and whole sets are told apart by 64-bit hashes.
 
-    Two linked sets have at least ``least_common`` n-grams in common. Under any order that all sets share, they
-    therefore meet among the first ``n - least_common + l`` of each in l n-grams. First, in hash order, with l a
-    twentieth of the set: sets whose beginning holds too few n-grams that any other beginning has are linked with nothing, and only
-    the rest is read again in full. Then in the order of how many sets hold an n-gram, the rarest first, with l = 1:
-    this prefix is what a set is found by. An n-gram that no other set has counts in the size only.
+    First, sets meet in pieces of their hashes (``_signs``), which sets that only share words or passages seldom do: a
+    set that no other set meets is linked with nothing, and only the rest is read again in full. Two linked sets have
+    at least ``least_common`` n-grams in common. Under any order that all sets share, they therefore meet among the
+    first ``n - least_common + 1`` of each. The order is that of how many of the sets read hold an n-gram, the rarest
+    first: this prefix is what a set is found by. An n-gram that no other of them has counts in the size only.
     """
     kept, mark = numbered(docs)
     columns = kept.select(F.col(key).alias("key"), F.col(mark).alias("mark"), F.col(text).alias("text"))
@@ -86,12 +111,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     classes = written(seen.filter("n > 0").groupBy("fingerprint").agg(
         F.min(order).alias("first")), "classes")
 
-    firsts = chosen(seen, "mark", classes.select("first.mark"))
-    heads = firsts.select("fingerprint", "n", F.explode("head").alias("gram"))
-    met = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
-    enough = 1 + F.floor(least_common(F.col("n"), num, den) / MET)
-    live = heads.join(written(met, "met"), "gram", "left_semi").groupBy("fingerprint", "n").agg(F.count(F.lit(1)).alias("c"))
-    live = written(live.filter(F.col("c") >= enough).select("fingerprint"), "live")
+    signs = chosen(seen, "mark", classes.select("first.mark")).select("fingerprint", F.explode("signs").alias("sign"))
+    met = written(signs.groupBy("sign").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sign"), "met")
+    live = written(signs.join(met, "sign", "left_semi").select("fingerprint").distinct(), "live")
     marks = classes.join(live, "fingerprint", "left_semi").select("first.mark")
     read = written(_grams(chosen(columns.select("mark", "text"), "mark", marks).select("text"), size), "grams")
 

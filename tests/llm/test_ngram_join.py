@@ -88,3 +88,39 @@ def test_tree_finds_what_sets_share(seed):
     assert set(links) <= similar and len(links) < 40 and similar
     assert all(label[a] == label[b] for a, b in similar)
     assert len(set(label.values())) == 40 - len(links)
+
+
+@pytest.mark.parametrize("num", [50, 80, 90, 95])
+def test_linked_sets_share_a_sign(num):
+    """Sets as different as a link allows, of all sizes, also where the number of pieces changes."""
+    rng = np.random.default_rng(num)
+    for n in [*range(1, 60), *rng.integers(60, 1500, 400)]:
+        out = int(rng.integers(0, n * (100 - num) // 100 + 1))
+        more = (n - out) * (100 - num) // num - out
+        hashes = rng.integers(0, 1 << 64, n + more, np.uint64)
+        a, b = np.sort(hashes[:n]), np.sort(hashes[out:])
+        assert 100 * (n - out) >= num * len(hashes)
+        if out or more:
+            assert len(np.intersect1d(ngram_join._signs(a, num, 100), ngram_join._signs(b, num, 100)))
+
+
+def test_only_sets_with_a_near_copy_are_read_in_full(spark, monkeypatch):
+    """Texts made of the same phrases have many n-grams in common with others, but only some have a near copy."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3000)}"
+    phrases = [" ".join(word() for _ in range(5)) for _ in range(300)]
+    texts = [" ".join(rng.sample(phrases, 30)) for _ in range(100)]
+    texts += [t + " end" for t in texts[:10]]
+    read = {}
+    write = ngram_join.written
+
+    def kept(df, name):
+        out = write(df, name)
+        read[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component"] for r in ngram_join.components(docs).collect()}
+    assert got == {i: i % 100 for i in range(110)}
+    assert 20 <= read["grams"] <= 30
