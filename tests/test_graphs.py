@@ -212,6 +212,27 @@ def test_betweenness_over_parts(spark):
     assert btw._accumulate(ids, blocks).filter("score <> 0").count() == 0
 
 
+def test_betweenness_of_held_graphs(spark, monkeypatch):
+    """A graph that a task holds takes no rounds; of a larger repository the components are held that fit, and both agree."""
+    random.seed(9)
+    names = [f"v{i}" for i in range(400)]
+    loose = sorted({(a, b) for a in names[:300] for b in random.sample(names[:300], 3) if a != b})
+    dense = sorted({(a, b) for a in names[300:] for b in random.sample(names[300:], 60) if a != b})
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(12)] + [("c5", "d0"), ("d0", "c7")]
+    named = {"two": (loose + dense, names), "chain": (chain, []), **random_graphs(11, count=3)}
+    n, e = many(spark, named)
+    rounds = []
+    monkeypatch.setattr(btw, "_accumulate", lambda *x, f=btw._accumulate: (rounds.append(1), f(*x))[1])
+    monkeypatch.setattr(btw, "STEPS", 1 << 14)  # several shares of the sources
+    for arcs, ran in ((btw.ARCS, 0), (1000, 1), (0, 1)):
+        monkeypatch.setattr(btw, "ARCS", arcs)
+        rounds.clear()
+        got = by_repo(btw.betweenness(n, e), "path", "score")
+        assert len(rounds) == ran
+        for name, (edges, some) in named.items():
+            assert dict(got[name]) == pytest.approx(brandes(sorted({*some, *sum(edges, ())}), edges))
+
+
 def power(names, edges, rounds, dangling=True):
     out = {v: [b for a, b in edges if a == v] for v in names}
     n = len(names)
