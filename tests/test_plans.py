@@ -60,6 +60,19 @@ def test_diagnosis(spark):
     assert {(r["trace_id"], r["path"]): r["snippet"] for r in diagnosis.context_snippets(context.drop("line"), contents, summary).collect()} == snippets
 
 
+def test_snippets_of_a_file_share_a_range(spark):
+    """Columnar files store a text that repeats once if few others are beside it; in the order of traces all are."""
+    context = spark.range(0, 400, 1, 2).selectExpr(
+        "'r' AS repo_id", "concat('t', id) AS trace_id", "concat('f', id % 5, '.ts') AS file", "'upstream' AS relationship", "1 AS distance",
+        "IF(id % 5 = 0, 1, NULL) AS line")
+    contents = spark.createDataFrame([("r", f"f{i}.ts", f"x{i}\n\ny{i}") for i in range(4)], "repo_id string, path string, content string")
+    made = diagnosis.context_snippets(context, contents).withColumn("part", F.spark_partition_id()).collect()
+    assert len(made) == 400 and len({r["part"] for r in made}) > 1
+    assert len({(r["part"], r["path"]) for r in made}) <= 5 + len({r["part"] for r in made}) - 1
+    assert {(r["path"], r["snippet"]) for r in made} == {
+        ("f0.ts", ">>>    1 | x0\n       2 | \n       3 | y0"), *((f"f{i}.ts", f"x{i}\ny{i}") for i in (1, 2, 3)), ("f4.ts", "")}
+
+
 def test_pull_request_impact(spark):
     nodes, edges = graph(spark, [("a", "b"), ("c", "a"), ("d", "c"), ("e", "d"), ("f", "e")])
     secret = "pass" + "word = '" + "x" * 24 + "'"
