@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import graph, rows
-from repolumen.operators import traversal as tr
+from repolumen.operators import traces as tc, traversal as tr
 from repolumen.plans import diagnosis, pull_request, repository
 from repolumen.sources import sinks
 
@@ -73,6 +73,21 @@ def test_snippets_of_a_file_share_a_range(spark):
         ("f0.ts", ">>>    1 | x0\n       2 | \n       3 | y0"), *((f"f{i}.ts", f"x{i}\ny{i}") for i in (1, 2, 3)), ("f4.ts", "")}
 
 
+def test_frames_are_parsed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    frames = spark.createDataFrame([(f"t{i}", "r", i % 2, f"src/f{i % 3}.ts", 1, 2, None) for i in range(30)],
+                                   "trace_id string, repo_id string, frame_no int, file string, line int, col int, func string")
+    frames = frames.withColumn("file", F.udf(count)("file"))
+    files = spark.createDataFrame([("r", f"src/f{i}.ts") for i in range(2)], "repo_id string, path string")
+    assert tc.locate_crash(frames, files).count() == 20
+    assert seen.value == 30
+
+
 def test_pull_request_impact(spark):
     nodes, edges = graph(spark, [("a", "b"), ("c", "a"), ("d", "c"), ("e", "d"), ("f", "e")])
     secret = "pass" + "word = '" + "x" * 24 + "'"
